@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import byte_bpe, quality_rules, simhash
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op5_simhash": simhash.query,
+    "op7_byte_bpe": byte_bpe.query,
 }
 
 #: Left out where SQL cannot express the operator; tests hold those against brute force.

@@ -44,7 +44,7 @@ class PerfectHash:
 
     def __init__(self, keys: list[bytes]):
         n = len(keys)
-        self.size, self.buckets = n, max(1, n // 4)
+        self.size, self.buckets = n, max(1, n // 2)
         parts = np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64)
         bucket = (parts % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, quality_rules, simhash
+from . import byte_bpe, pii, quality_rules, simhash, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_pii": pii.query,
     "op5_simhash": simhash.query,
     "op7_byte_bpe": byte_bpe.query,
+    "op8_token_counts": token_counts.query,
 }
 
 #: Left out where SQL cannot express the operator; tests hold those against brute force.

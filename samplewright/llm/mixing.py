@@ -53,9 +53,12 @@ def shuffle_steps(x: str, n: str, salt: str) -> list[dict[str, str]]:
 
 
 def _shuffled(df: DataFrame, x: str, n: str, salt: str) -> DataFrame:
-    for step in shuffle_steps(x, n, salt):
-        df = df.withColumns({name: F.expr(sql) for name, sql in step.items()})
-    return df.drop("_y", "_t")
+    """The same as one expression: columns upon columns would multiply in the optimiser."""
+    rounds = ", ".join(f"struct({48271**r % PRIME}L AS a, {69621**r % PRIME}L AS b, {48271**r % PRIME}L + {salt} * {69621**r % PRIME % 1000003}L AS c)" for r in range(1, ROUNDS + 1))
+    partner = f"pmod(pmod(r.c, {n}) - x, {n})"
+    coin = f"((greatest(x, y) % {PRIME}) * r.a + r.b + {salt}) % {PRIME}"
+    swap = f"aggregate(array({rounds}), {x}, (x, r) -> transform(array({partner}), y -> IF(({coin}) * ({coin}) % {PRIME} & 1024 > 0, y, x))[0])"
+    return df.withColumn(x, F.expr(swap))
 
 
 #: A pseudorandom number from an id, or from the size where the id is null.
@@ -175,16 +178,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle() -> str:
     """The same in DuckDB, with the same permutations."""
 
-    def shuffled(inner: str, x: str, n: str, salt: str) -> str:
-        sql = f"SELECT *, 0::BIGINT AS _y, 0::BIGINT AS _t FROM ({inner})"
-        for step in shuffle_steps(x, n, salt):
-            for name, text in step.items():
-                sql = f"SELECT * REPLACE ({text} AS {name}) FROM ({sql})"
-        return f"SELECT * EXCLUDE (_y, _t) FROM ({sql})"
+    def shuffled(name: str, inner: str, x: str, n: str, salt: str) -> str:
+        """CTEs, one a round, the last called name."""
+        steps, ctes = shuffle_steps(x, n, salt), [f"{name}0 AS MATERIALIZED (SELECT *, 0::BIGINT AS _y, 0::BIGINT AS _t FROM ({inner}))"]
+        for r in range(ROUNDS):
+            sql = f"{name}{r}"
+            for step in steps[3 * r : 3 * r + 3]:
+                for column, text in step.items():
+                    sql = f"(SELECT * REPLACE ({text} AS {column}) FROM {sql})"
+            ctes.append(f"{name}{r + 1} AS MATERIALIZED {sql}")
+        return ", ".join(ctes) + f", {name} AS (SELECT * EXCLUDE (_y, _t) FROM {name}{ROUNDS})"
 
     total = "(SELECT greatest(1, sum(n_slots)) FROM s)::BIGINT"
-    dealt = shuffled(f"SELECT j AS p, {total} AS total FROM (SELECT unnest(range(coalesce((SELECT sum(n_slots) FROM s), 0)::BIGINT)) AS j)", "p", "total", "0::BIGINT")
-    blocks = shuffled("SELECT rank, n_blocks, (p - first_slot) % n_blocks AS block FROM dealt JOIN s ON p >= first_slot AND p < first_slot + n_slots", "block", "n_blocks", "rank")
+    dealt = shuffled("dealt", f"SELECT j AS p, {total} AS total FROM (SELECT unnest(range(coalesce((SELECT sum(n_slots) FROM s), 0)::BIGINT)) AS j)", "p", "total", "0::BIGINT")
+    blocks = shuffled("blocks", "SELECT rank, n_blocks, (p - first_slot) % n_blocks AS block FROM dealt JOIN s ON p >= first_slot AND p < first_slot + n_slots", "block", "n_blocks", "rank")
     return rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
@@ -197,8 +204,9 @@ s3 AS (SELECT *, row_number() OVER f AS place,
 s4 AS (SELECT *, least({MOST} * source_size::DOUBLE, (SELECT min_by(level, place) FROM s3 WHERE level <= ratio) * weight) AS target FROM s3),
 s5 AS (SELECT source, rank, source_size, target, floor(target / {BLOCK} + 0.5)::BIGINT AS n_slots, ceil(source_size / {BLOCK})::BIGINT AS n_blocks FROM s4),
 s AS MATERIALIZED (SELECT *, coalesce(sum(n_slots) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_slot FROM s5),
-dealt AS MATERIALIZED ({dealt}),
-times AS (SELECT rank, block, count(*) AS times FROM ({blocks}) GROUP BY rank, block),
+{dealt},
+{blocks},
+times AS (SELECT rank, block, count(*) AS times FROM blocks GROUP BY rank, block),
 m AS (SELECT doc_id, size, rank, source_size, target, {ORDER} AS m FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
 placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY rank ORDER BY m % {BUCKETS}, m, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
   row_number() OVER () AS rid FROM m),

@@ -1,7 +1,7 @@
 """Quality scores by nearest-neighbour voting among labelled documents.
 
 A text becomes counts of hashed words and of hashed word shapes (letter case,
-digits and signs, run lengths dropped), with signs for repeated words and lines.
+digits and signs, run lengths dropped), with steps for the shares of repeated neighbouring words and of lines.
 A latent-semantic space is fitted on at most SAMPLE_ROWS labelled rows, taken by
 the smallest hash of the id, never on held-out rows. Their latent vectors, a
 fixed bound of SAMPLE_ROWS * RANK numbers, are sent to all tasks; every document
@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -32,7 +33,8 @@ from .common import on_workers, table, written
 
 #: Bounds of the fit: labelled rows, dimensions of the latent space.
 SAMPLE_ROWS, RANK = 4000, 48
-WORDS, SHAPES, REPEATS = 3072, 960, 64
+EDGES = (0.05, 0.1, 0.2, 0.3, 0.5)
+WORDS, SHAPES, REPEATS = 1024, 512, 2 * len(EDGES)
 WIDTH = WORDS + SHAPES + REPEATS
 NEIGHBOURS, POWER, THRESHOLD = 15, 8, 0.3
 BLOCK, CACHE_SIZE = 256, 1 << 17
@@ -64,23 +66,26 @@ _PLACES = _Places()
 
 def counts(text: str) -> dict[int, float]:
     """Column to count for one text."""
-    found = Counter(text.split())
+    words = text.split()
+    found = Counter(words)
     out: dict[int, float] = {}
     for token, n in found.items():
         word, shape = _PLACES[token]
         out[word] = out.get(word, 0.0) + n
         out[shape] = out.get(shape, 0.0) + n
     if found:
-        total = sum(found.values())
         lines = [x for x in text.split("\n") if x.strip()]
-        half = REPEATS // 2
-        for at, part in ((0, len(found) / total ** 0.9), (half, len(set(lines)) / len(lines))):
-            out[WORDS + SHAPES + at + int(min(0.999, part) * half)] = 1.0
+        # Shares of lines and of neighbouring words that repeat, by steps that add up.
+        shares = (1 - len(set(lines)) / len(lines), sum(map(eq, words, words[1:])) / len(words))
+        for at, share in enumerate(shares):
+            for step, edge in enumerate(EDGES):
+                if share > edge:
+                    out[WORDS + SHAPES + at * len(EDGES) + step] = 1.0
     return out
 
 
 def matrix(rows: list[dict[int, float]]) -> np.ndarray:
-    """Dense rows of dampened counts; words, shapes and repeats have length one each at most."""
+    """Dense rows of dampened counts; one for each text."""
     out = np.zeros((len(rows), WIDTH), np.float32)
     for k, row in enumerate(rows):
         out[k, list(row)] = list(row.values())
@@ -93,7 +98,7 @@ def _normal(x: np.ndarray) -> np.ndarray:
 
 def _blocks(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = x * idf
-    return np.hstack([_normal(x[:, :WORDS]), 2 * _normal(x[:, WORDS : WORDS + SHAPES]), 0.3 * x[:, WORDS + SHAPES :]])
+    return np.hstack([_normal(x[:, :WORDS]), 2 * _normal(x[:, WORDS : WORDS + SHAPES]), x[:, WORDS + SHAPES :] / 2])
 
 
 class Voters:

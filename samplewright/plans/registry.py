@@ -2,5 +2,99 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from samplewright.operators import resampling as R
+
+N, BOOTS, BLOCK = 50, 40, 5
+
+
+def samples(spark: SparkSession, sf_dir: str, value: str = "l_extendedprice") -> DataFrame:
+    """Order lines as a correlator: t by line number, N samples, mean value of each cell."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    cells = lines.groupBy((F.col("l_linenumber") - 1).alias("t"), (F.col("l_orderkey") % N).alias("s"))
+    return cells.agg(F.avg(value).alias("v"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by type, numbered in the order of time."""
+    order = W.partitionBy("event_type").orderBy("event_id")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("t"), (F.row_number().over(order) - 1).cast("long").alias("s"), F.col("value").alias("v"))
+
+
+def _rounded(df: DataFrame, **digits: int) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jackknife samples of each user's mean event value; a user is an ensemble of a group of ten."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 10).alias("t"), "user_id", F.col("event_id").alias("s"), F.col("value").alias("v"))
+    return R.jackknife(events, ["t", "user_id"])
+
+
+def _boots(spark: SparkSession, sf_dir: str, size: int = 1) -> DataFrame:
+    return R.bootstrap(samples(spark, sf_dir), R.resample_table(spark, N, BOOTS, size), ["t"])
+
+
+T = ["t"]
+QUERIES = {
+    "jackknife_error": lambda spark, d: _rounded(R.jackknife_error(R.jackknife(samples(spark, d), T), T), mean=4, error=4),
+    "moments": lambda spark, d: _rounded(R.moments(samples(spark, d), T), mean=4, variance=2, deviation=4, low=4, high=4, standard_error=4, third=6, fourth=6),
+    "covariance": lambda spark, d: _rounded(R.covariance(samples(spark, d), "t"), covariance=3),
+    "jackknife_covariance": lambda spark, d: _rounded(R.covariance(R.jackknife(samples(spark, d), T), "t", "jackknife"), covariance=3),
+    "bin": lambda spark, d: _rounded(R.binned(samples(spark, d), T, 4), v=4),
+    "bin_events": lambda spark, d: _rounded(R.binned(_events(spark, d), T, 16), v=6),
+    "jackknife": lambda spark, d: _rounded(R.jackknife(samples(spark, d), T), v=4),
+    "jackknife_to_raw": lambda spark, d: _rounded(R.unjackknife(R.jackknife(samples(spark, d), T), T), v=3),
+    "double_jackknife": lambda spark, d: _rounded(R.double_jackknife(samples(spark, d), T), v=4),
+    "double_jackknife_covariance": lambda spark, d: _rounded(R.double_jackknife_covariance(samples(spark, d), "t"), covariance=2),
+    "block_double_jackknife": lambda spark, d: _rounded(R.block_double_jackknife(samples(spark, d), T, 7), v=4),
+    "bootstrap": lambda spark, d: _rounded(_boots(spark, d), v=4),
+    "block_bootstrap": lambda spark, d: _rounded(_boots(spark, d, BLOCK), v=4),
+    "bootstrap_error": lambda spark, d: _rounded(R.bootstrap_error(_boots(spark, d), T), central=4, error=4, low=4, high=4),
+    "autocorrelation": lambda spark, d: _rounded(R.autocorrelation(_events(spark, d), T, 10), c=6, tau=6),
+    "weighted_average": lambda spark, d: _rounded(R.weighted_average(R.jackknife(samples(spark, d), T), "t"), v=4),
+    "effective_mass": lambda spark, d: _rounded(R.jackknife_error(R.effective_mass(R.jackknife(samples(spark, d), T)), T), mean=8, error=8),
+    "line_fit": lambda spark, d: _rounded(R.line_fit(R.jackknife(samples(spark, d), T)), a=3, b=4, chi2=5),
+    "superjackknife_error": lambda spark, d: _rounded(R.superjackknife_error(_users(spark, d), T, "user_id"), mean=4, error=6),
+    "relative_difference": lambda spark, d: _rounded(
+        R.relative_difference(R.jackknife(samples(spark, d), T), R.jackknife(samples(spark, d, "l_quantity"), T), T), v=9
+    ),
+}
+
+_LI = "li AS (SELECT l_linenumber - 1 AS t, l_orderkey % 50 AS s, avg(l_extendedprice) AS v, avg(l_quantity) AS q FROM lineitem GROUP BY 1, 2)"
+_JK = _LI + ", jk AS (SELECT t, s, (sum(v) OVER w - v) / (count(*) OVER w - 1) AS v, (sum(q) OVER w - q) / (count(*) OVER w - 1) AS q FROM li WINDOW w AS (PARTITION BY t))"
+_ER = _JK + ", er AS (SELECT t, 1 / ((count(*) - 1) * var_pop(v)) AS w FROM jk GROUP BY t)"
+_EV = "ev AS (SELECT event_type AS t, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS s, value AS v FROM events)"
+
+
+def _boots_sql(size: int) -> str:
+    n = N // size
+    table = f"SELECT id // {n} AS b, {R.draw('(id + 1234)', n)} * {size} + k AS s FROM range({BOOTS * n}) r(id), range({size}) z(k)"
+    return f"WITH {_LI}, tb AS ({table}), bt AS (SELECT t, b AS s, avg(v) AS v FROM li JOIN tb USING (s) GROUP BY t, b UNION ALL SELECT t, -1, avg(v) FROM li GROUP BY t)"
+
+
+ORACLES = {
+    "jackknife_error": f"WITH {_JK} SELECT t, round(avg(v), 4) AS mean, round(sqrt((count(*) - 1) * var_pop(v)), 4) AS error FROM jk GROUP BY t",
+    "moments": f"WITH {_LI}, m AS (SELECT t, avg(v) AS m, stddev_pop(v) AS d FROM li GROUP BY t) SELECT t, round(avg(v), 4) AS mean, round(var_pop(v), 2) AS variance, round(stddev_pop(v), 4) AS deviation, round(min(v), 4) AS low, round(max(v), 4) AS high, round(stddev_pop(v) / sqrt(count(*) - 1), 4) AS standard_error, round(avg(((v - m) / d) ** 3), 6) AS third, round(avg(((v - m) / d) ** 4), 6) AS fourth FROM li JOIN m USING (t) GROUP BY t",
+    "covariance": f"WITH {_LI} SELECT a.t AS t_i, b.t AS t_j, round(covar_pop(a.v, b.v) / (count(*) - 1), 3) AS covariance FROM li a JOIN li b ON a.s = b.s AND a.t <= b.t GROUP BY a.t, b.t",
+    "jackknife_covariance": f"WITH {_JK} SELECT a.t AS t_i, b.t AS t_j, round(covar_pop(a.v, b.v) * (count(*) - 1), 3) AS covariance FROM jk a JOIN jk b ON a.s = b.s AND a.t <= b.t GROUP BY a.t, b.t",
+    "bin": f"WITH {_LI} SELECT t, s // 4 AS s, round(avg(v), 4) AS v FROM li GROUP BY t, s // 4 HAVING count(*) = 4",
+    "bin_events": f"WITH {_EV} SELECT t, s // 16 AS s, round(avg(v), 6) AS v FROM ev GROUP BY t, s // 16 HAVING count(*) = 16",
+    "jackknife": f"WITH {_JK} SELECT t, s, round(v, 4) AS v FROM jk",
+    "jackknife_to_raw": f"WITH {_LI} SELECT t, s, round(v, 3) AS v FROM li",
+    "double_jackknife": f"WITH {_LI}, z AS (SELECT t, sum(v) AS z, count(*) AS n FROM li GROUP BY t) SELECT t, a.s AS s, b.s AS inner, round((z - a.v - b.v) / (n - 2), 4) AS v FROM li a JOIN li b USING (t) JOIN z USING (t) WHERE a.s <> b.s".replace("AS inner", 'AS "inner"'),
+    "double_jackknife_covariance": f"WITH {_LI}, z AS (SELECT t, sum(v) AS z, count(*) AS n FROM li GROUP BY t), dj AS (SELECT t, a.s AS o, b.s AS s, (z - a.v - b.v) / (n - 2) AS v FROM li a JOIN li b USING (t) JOIN z USING (t) WHERE a.s <> b.s) SELECT a.t AS t_i, b.t AS t_j, a.o AS s, round(covar_pop(a.v, b.v) * (count(*) - 1), 2) AS covariance FROM dj a JOIN dj b ON a.o = b.o AND a.s = b.s AND a.t <= b.t GROUP BY a.t, b.t, a.o",
+    "block_double_jackknife": f"WITH {_LI}, k AS (SELECT *, s // 7 AS own FROM li WHERE s < 49), z AS (SELECT t, sum(v) AS z FROM k GROUP BY t), p AS (SELECT t, own AS block, sum(v) AS p FROM k GROUP BY t, own) SELECT t, block, s, round((z - p - v) / 41, 4) AS v FROM k JOIN z USING (t) JOIN p USING (t) WHERE own <> block",
+    "bootstrap": f"{_boots_sql(1)} SELECT t, s, round(v, 4) AS v FROM bt",
+    "block_bootstrap": f"{_boots_sql(BLOCK)} SELECT t, s, round(v, 4) AS v FROM bt",
+    "bootstrap_error": f"{_boots_sql(1)}, l AS (SELECT t, list_sort(list(v)) AS l, stddev_pop(v) AS e, count(*) AS n FROM bt WHERE s >= 0 GROUP BY t) SELECT t, round(v, 4) AS central, round(e, 4) AS error, round(l[1 + 16 * n // 100], 4) AS low, round(l[n - 16 * n // 100], 4) AS high FROM l JOIN (SELECT t, v FROM bt WHERE s = -1) USING (t)",
+    "autocorrelation": f"WITH {_EV}, m AS (SELECT t, avg(v) AS m, var_pop(v) AS d FROM ev GROUP BY t), c AS (SELECT t, g::INT AS lag, avg((a.v - m) * (b.v - m) / d) AS c FROM ev a JOIN range(11) r(g) ON TRUE JOIN ev b ON a.t = b.t AND b.s = a.s + g JOIN m ON m.t = a.t GROUP BY a.t, g) SELECT t, lag, round(c, 6) AS c, round(sum(CASE lag WHEN 0 THEN 0.5 ELSE c END) OVER (PARTITION BY t ORDER BY lag), 6) AS tau FROM c".replace("SELECT t, g::INT", "SELECT a.t AS t, g::INT"),
+    "weighted_average": f"WITH {_ER} SELECT s, round(sum(w * v) / sum(w), 4) AS v FROM jk JOIN er USING (t) GROUP BY s",
+    "effective_mass": f"WITH {_JK}, em AS (SELECT a.t AS t, ln(a.v / b.v) AS v FROM jk a JOIN jk b ON b.t = a.t + 1 AND a.s = b.s WHERE a.v / b.v > 0) SELECT t, round(avg(v), 8) AS mean, round(sqrt((count(*) - 1) * var_pop(v)), 8) AS error FROM em GROUP BY t",
+    "line_fit": f"WITH {_ER}, m AS (SELECT s, sum(w * t) / sum(w) AS x, sum(w * v) / sum(w) AS y FROM jk JOIN er USING (t) GROUP BY s), f AS (SELECT s, x, y, sum(w * (t - x) * (v - y)) / sum(w * (t - x) ** 2) AS b FROM jk JOIN er USING (t) JOIN m USING (s) GROUP BY s, x, y) SELECT s, round(y - b * x, 3) AS a, round(b, 4) AS b, round(sum(w * (v - (y - b * x) - b * t) ** 2), 5) AS chi2 FROM jk JOIN er USING (t) JOIN f USING (s) GROUP BY s, x, y, b",
+    "superjackknife_error": "WITH e AS (SELECT user_id % 10 AS t, user_id, avg(value) AS m, var_pop(value) / (count(*) - 1) AS e FROM events GROUP BY user_id) SELECT t, round(sum(m), 4) AS mean, round(sqrt(sum(e)), 6) AS error FROM e GROUP BY t",
+    "relative_difference": f"WITH {_JK} SELECT t, s, round(2 * (q - v) / (q + v), 9) AS v FROM jk",
+}

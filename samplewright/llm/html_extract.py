@@ -60,10 +60,12 @@ _STOPS = frozenset("ul ol dl table".split())
 
 
 class _Node:
-    __slots__ = ("label", "flags", "kids", "blocks")
+    __slots__ = ("label", "flags", "depth", "article", "kids", "blocks")
 
-    def __init__(self, label: str, flags: str = ""):
+    def __init__(self, label: str, flags: str = "", up: "_Node | None" = None):
         self.label, self.flags = label, flags
+        self.depth = up.depth + 1 if up else 0
+        self.article = "a" in flags or up is not None and up.article
         self.kids: list[_Node] = []
         self.blocks: list[str] = []
 
@@ -152,11 +154,11 @@ def parse(html: str) -> _Node:
             if tag in _VOID:
                 continue
             here = stack[-1][1]
-            if tag in _STRUCTURE and len({id(x) for _, x in stack[-MAX_DEPTH:]}) < MAX_DEPTH:
-                label, flags = _opened(tag, m[3], any("a" in x.flags for _, x in stack))
+            if tag in _STRUCTURE and here.depth < MAX_DEPTH:
+                label, flags = _opened(tag, m[3], here.article)
                 kid = here.kids[-1] if here.kids and (here.kids[-1].label, here.kids[-1].flags) == (label, flags) else None
                 if kid is None:
-                    here.kids.append(kid := _Node(label, flags))
+                    here.kids.append(kid := _Node(label, flags, here))
                 here = kid
             stack.append((tag, here))
     flush()

@@ -165,3 +165,64 @@ def relative_difference(a: DataFrame, b: DataFrame, keys: Keys) -> DataFrame:
     """2 (b - a) / (a + b) for each jackknife sample."""
     other = b.select(*keys, "s", F.col("v").alias("_w"))
     return a.join(other, [*keys, "s"]).select(*keys, "s", F.expr("2 * (_w - v) / (_w + v)").alias("v"))
+
+
+def jackknife_to_double(df: DataFrame, keys: Keys) -> DataFrame:
+    """(keys, s, inner, v): double jackknife of a mean from its jackknife samples. N * N rows, so bin first."""
+    other = df.select(*keys, F.col("s").alias("inner"), F.col("v").alias("_w"))
+    two = df.join(totals(df, keys), list(keys)).join(other, list(keys)).where("s <> inner")
+    return two.select(*keys, "s", "inner", F.expr("(_n - 1) / (_n - 2) * (v + _w - _sum / (_n - 1))").alias("v"))
+
+
+def double_to_jackknife(df: DataFrame, keys: Keys) -> DataFrame:
+    """Means over the inner samples."""
+    return df.groupBy(*keys, "s").agg(F.avg("v").alias("v"))
+
+
+def boot_jackknife(df: DataFrame, table: DataFrame, keys: Keys) -> DataFrame:
+    """(keys, b, s, v): a jackknife inside each boot, and that of the raw samples as boot -1."""
+    boots = df.join(table, "s").select(*keys, "b", F.col("pos").alias("s"), "v").unionByName(df.select(*keys, F.lit(-1).cast("long").alias("b"), "s", "v"))
+    return jackknife(boots, [*keys, "b"])
+
+
+def boot_covariance(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Covariance of means inside each boot, and of the raw samples as boot -1, without the inner samples."""
+    both = pairs(df, key)
+    boots = both.join(table.select("b", "s"), "s").drop("s").unionByName(both.withColumn("b", F.lit(-1).cast("long")).drop("s"))
+    return boots.groupBy(f"{key}_i", f"{key}_j", "b").agg((F.covar_pop("x", "y") / (F.count("*") - 1)).alias("covariance"))
+
+
+def neighbour_table(spark, n: int, boots: int, size: int, circular: bool = False, seed: int = 1234) -> DataFrame:
+    """(b, pos, s): as resample_table, but blocks start at any sample; circular ones run on from the last to the first."""
+    blocks = n // size
+    starts = n if circular else n - size + 1
+    draws = spark.range(boots * blocks).select(F.expr(f"id div {blocks}").alias("b"), F.expr(f"id % {blocks}").alias("_p"), F.expr(draw(f"(id + {seed})", starts)).alias("_d"))
+    within = draws.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    return within.select("b", (F.col("_p") * size + F.col("_k")).alias("pos"), ((F.col("_d") + F.col("_k")) % n).alias("s"))
+
+
+def super_boost(df: DataFrame, keys: Keys, ensemble: str, layout: dict[str, int]) -> DataFrame:
+    """(keys, ens, s, v): jackknife samples of one ensemble on the layout of all; elsewhere their mean."""
+    slots = F.array(*(F.struct(F.lit(e).alias("ens"), F.lit(n).alias("n")) for e, n in layout.items()))
+    means = df.groupBy(*keys).agg(F.avg("v").alias("_m")).withColumn("_e", F.explode(slots))
+    filled = means.select(*keys, "_m", "_e.ens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_e.n").cast("long") - 1)).alias("s"))
+    own = df.select(*keys, F.lit(ensemble).alias("ens"), F.col("s").cast("long").alias("s"), "v")
+    return filled.join(own, [*keys, "ens", "s"], "left").select(*keys, "ens", "s", F.coalesce("v", "_m").alias("v"))
+
+
+def supermulti_error(df: DataFrame, keys: Keys, ensemble: str, kind: str) -> DataFrame:
+    """Root of the summed squared errors of independent ensembles, jackknife (J) or bootstrap (B) each by its own formula."""
+    of = F.var_pop("v") * F.when(F.col(kind) == "J", F.count("*") - 1).otherwise(1)
+    return df.groupBy(*keys, ensemble, kind).agg(of.alias("_e")).groupBy(*keys).agg(F.sqrt(F.sum("_e")).alias("error"))
+
+
+def bootstrap_autocorrelation(df: DataFrame, keys: Keys, most: int, size: int, boots: int, n: int, seed: int = 1234) -> DataFrame:
+    """(keys, lag, s, v): for each boot the binned lag products' mean over that of lag 0; n - most pairs at every lag."""
+    mean = df.groupBy(*keys).agg(F.avg("v").alias("_mean"))
+    left = df.where(F.col("s") < n - most).withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("_at", F.col("s") + F.col("lag"))
+    right = df.select(*keys, F.col("s").alias("_at"), F.col("v").alias("_w"))
+    products = left.join(right, [*keys, "_at"]).join(mean, list(keys)).select(*keys, "lag", "s", F.expr("(v - _mean) * (_w - _mean)").alias("v"))
+    table = resample_table(df.sparkSession, (n - most) // size, boots, seed=seed)
+    drawn = bootstrap(binned(products, [*keys, "lag"], size), table, [*keys, "lag"])
+    zero = drawn.where("lag = 0").select(*keys, "s", F.col("v").alias("_z"))
+    return drawn.join(zero, [*keys, "s"]).select(*keys, "lag", "s", F.expr("try_divide(v, _z)").alias("v"))

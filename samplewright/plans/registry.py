@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from samplewright.operators import resampling as R
+from samplewright.operators import series as S
 
 N, BOOTS, BLOCK = 50, 40, 5
 
@@ -98,3 +99,84 @@ ORACLES = {
     "superjackknife_error": "WITH e AS (SELECT user_id % 10 AS t, user_id, avg(value) AS m, var_pop(value) / (count(*) - 1) AS e FROM events GROUP BY user_id) SELECT t, round(sum(m), 4) AS mean, round(sqrt(sum(e)), 6) AS error FROM e GROUP BY t",
     "relative_difference": f"WITH {_JK} SELECT t, s, round(2 * (q - v) / (q + v), 9) AS v FROM jk",
 }
+
+
+def _jack(spark: SparkSession, sf_dir: str, value: str = "l_extendedprice") -> DataFrame:
+    return R.jackknife(samples(spark, sf_dir, value), T)
+
+
+def _multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ensemble A with jackknife samples, B with boots."""
+    a = _jack(spark, sf_dir).select("t", F.lit("A").alias("ens"), F.lit("J").alias("kind"), "v")
+    return a.unionByName(_boots(spark, sf_dir).where("s >= 0").select("t", F.lit("B").alias("ens"), F.lit("B").alias("kind"), "v"))
+
+
+def _neighbours(spark: SparkSession, sf_dir: str, circular: bool) -> DataFrame:
+    return R.bootstrap(samples(spark, sf_dir), R.neighbour_table(spark, N, BOOTS, BLOCK, circular), T)
+
+
+QUERIES |= {
+    "time_reflect": lambda spark, d: _rounded(S.reflected(samples(spark, d), 7), v=4),
+    "time_fold": lambda spark, d: _rounded(S.folded(samples(spark, d), 7), v=4),
+    "time_antifold_offset": lambda spark, d: _rounded(S.folded(samples(spark, d), 7, -1, 2), v=4),
+    "neighbour_difference": lambda spark, d: _rounded(S.less_next(samples(spark, d)), v=4),
+    "fixed_time_difference": lambda spark, d: _rounded(S.less_fixed(samples(spark, d), 3), v=4),
+    "remove_samples": lambda spark, d: _rounded(S.without_samples(samples(spark, d), 10, 20), v=4),
+    "scramble_samples": lambda spark, d: _rounded(S.scrambled(samples(spark, d), N), v=4),
+    "combine_channels": lambda spark, d: _rounded(S.combined(samples(spark, d), samples(spark, d, "l_quantity"), "ratio"), v=6),
+    "channel_correlation": lambda spark, d: _rounded(S.correlation(_jack(spark, d), _jack(spark, d, "l_quantity")), correlation=7),
+    "shifted_product": lambda spark, d: _rounded(S.shifted_product(samples(spark, d), samples(spark, d, "l_quantity"), 7), v=2),
+    "interpolate": lambda spark, d: _rounded(S.interpolated(samples(spark, d), POINTS), v=4),
+    "closest_points": lambda spark, d: _rounded(S.closest(samples(spark, d), TARGET), v=4),
+    "slope_at_target": lambda spark, d: _rounded(S.slope(samples(spark, d), TARGET), slope=4),
+    "closest_p_value": lambda spark, d: _rounded(S.p_value(samples(spark, d), TARGET), p=9),
+    "recentre": lambda spark, d: _rounded(S.recentred(samples(spark, d), spark.range(7).select(F.col("id").cast("int").alias("t"), (F.col("id") * 1000.0).alias("fit"))), v=4),
+    "jackknife_to_double": lambda spark, d: _rounded(R.jackknife_to_double(_jack(spark, d), T), v=3),
+    "double_to_jackknife": lambda spark, d: _rounded(R.double_to_jackknife(R.double_jackknife(samples(spark, d), T), T), v=4),
+    "boot_jackknife": lambda spark, d: _rounded(R.boot_jackknife(samples(spark, d), R.resample_table(spark, N, BOOTS), T), v=4),
+    "boot_covariance": lambda spark, d: _rounded(R.boot_covariance(samples(spark, d), R.resample_table(spark, N, BOOTS), "t"), covariance=2),
+    "overlapping_bootstrap": lambda spark, d: _rounded(_neighbours(spark, d, False), v=4),
+    "circular_bootstrap": lambda spark, d: _rounded(_neighbours(spark, d, True), v=4),
+    "super_boost": lambda spark, d: _rounded(R.super_boost(_jack(spark, d), T, "A", {"A": N, "B": 20}), v=4),
+    "supermulti_error": lambda spark, d: _rounded(R.supermulti_error(_multi(spark, d), T, "ens", "kind"), error=4),
+    "bootstrap_autocorrelation": lambda spark, d: _rounded(R.bootstrap_autocorrelation(samples(spark, d), T, 4, 2, BOOTS, N), v=6),
+}
+
+POINTS, TARGET = [-1.0, 0.0, 1.5, 3.25, 6.0, 7.5], 35000.0
+_TB1 = f"tb AS (SELECT id // {N} AS b, id % {N} AS pos, {R.draw('(id + 1234)', N)} AS s FROM range({BOOTS * N}) r(id))"
+_BJ = f"{_LI}, {_TB1}, bs AS (SELECT t, b, pos AS s, v FROM li JOIN tb USING (s) UNION ALL SELECT t, -1, s, v FROM li), bj AS (SELECT t, b, s, (sum(v) OVER w - v) / 49 AS v FROM bs WINDOW w AS (PARTITION BY t, b))"
+_PTS = ", ".join(f"({x})" for x in POINTS)
+
+
+def _neighbours_sql(circular: bool) -> str:
+    n = N // BLOCK
+    table = f"SELECT id // {n} AS b, ({R.draw('(id + 1234)', N if circular else N - BLOCK + 1)} + k) % {N} AS s FROM range({BOOTS * n}) r(id), range({BLOCK}) z(k)"
+    return f"WITH {_LI}, tb AS ({table}) SELECT t, b AS s, round(avg(v), 4) AS v FROM li JOIN tb USING (s) GROUP BY t, b UNION ALL SELECT t, -1, round(avg(v), 4) FROM li GROUP BY t"
+
+
+ORACLES |= {
+    "time_reflect": f"WITH {_LI} SELECT (7 - t) % 7 AS t, s, round(v, 4) AS v FROM li",
+    "time_fold": f"WITH {_LI} SELECT a.t, a.s, round(CASE a.t WHEN 0 THEN a.v ELSE (a.v + b.v) / 2 END, 4) AS v FROM li a JOIN li b ON a.s = b.s AND b.t = (7 - a.t) % 7",
+    "time_antifold_offset": f"WITH {_LI} SELECT a.t, a.s, round((a.v - b.v) / 2, 4) AS v FROM li a JOIN li b ON a.s = b.s AND b.t = (7 - 2 - a.t + 7) % 7",
+    "neighbour_difference": f"WITH {_LI} SELECT a.t, a.s, round(a.v - b.v, 4) AS v FROM li a JOIN li b ON a.s = b.s AND b.t = a.t + 1",
+    "fixed_time_difference": f"WITH {_LI} SELECT a.t, a.s, round(a.v - b.v, 4) AS v FROM li a JOIN li b ON a.s = b.s AND b.t = 3",
+    "remove_samples": f"WITH {_LI} SELECT t, row_number() OVER (PARTITION BY t ORDER BY s) - 1 AS s, round(v, 4) AS v FROM li WHERE s NOT BETWEEN 10 AND 19",
+    "scramble_samples": f"WITH {_LI} SELECT t, (s * 31 + 1234) % 50 AS s, round(v, 4) AS v FROM li",
+    "combine_channels": f"WITH {_LI} SELECT t, s, round(v / q, 6) AS v FROM li",
+    "channel_correlation": f"WITH {_LI} SELECT t, round(corr(v, q), 7) AS correlation FROM li GROUP BY t",
+    "shifted_product": f"WITH {_LI} SELECT (a.t - b.t + 7) % 7 AS t, a.s, round(avg(a.v * b.q), 2) AS v FROM li a JOIN li b ON a.s = b.s GROUP BY (a.t - b.t + 7) % 7, a.s",
+    "interpolate": f"WITH {_LI}, x AS (SELECT x::DOUBLE AS x, greatest(0, least(5, floor(x)::INT)) AS k FROM (VALUES {_PTS}) p(x)) SELECT x AS t, a.s, round(a.v + (b.v - a.v) * (x - a.t), 4) AS v FROM x JOIN li a ON a.t = k JOIN li b ON b.t = k + 1 AND b.s = a.s",
+    "closest_points": f"WITH {_LI}, c AS (SELECT t, s, v, row_number() OVER (PARTITION BY s ORDER BY abs(v - {TARGET}), t) AS rank FROM li) SELECT t, s, round(v, 4) AS v, rank FROM c WHERE rank <= 2",
+    "slope_at_target": f"WITH {_LI}, c AS (SELECT t, s, v, row_number() OVER (PARTITION BY s ORDER BY abs(v - {TARGET}), t) AS k FROM li) SELECT a.s, round((b.v - a.v) / (b.t - a.t), 4) AS slope FROM c a JOIN c b ON a.s = b.s AND a.k = 1 AND b.k = 2",
+    "closest_p_value": f"WITH {_LI}, c AS (SELECT t, arg_min(v, (abs(v - {TARGET}), v)) AS c FROM li GROUP BY t) SELECT t, round((count(*) - count(*) FILTER (v < c) - 1) / count(*), 9) AS p FROM li JOIN c USING (t) GROUP BY t",
+    "recentre": f"WITH {_LI} SELECT t, s, round(v + t * 1000 - avg(v) OVER (PARTITION BY t), 4) AS v FROM li",
+    "double_to_jackknife": f"WITH {_JK} SELECT t, s, round(v, 4) AS v FROM jk",
+    "boot_jackknife": f"WITH {_BJ} SELECT t, b, s, round(v, 4) AS v FROM bj",
+    "boot_covariance": f"WITH {_BJ} SELECT x.t AS t_i, y.t AS t_j, b, round(covar_pop(x.v, y.v) * 49, 2) AS covariance FROM bj x JOIN bj y USING (b, s) WHERE x.t <= y.t GROUP BY x.t, y.t, b",
+    "overlapping_bootstrap": _neighbours_sql(False),
+    "circular_bootstrap": _neighbours_sql(True),
+    "super_boost": f"WITH {_JK} SELECT t, 'A' AS ens, s, round(v, 4) AS v FROM jk UNION ALL SELECT t, 'B', k, round(avg(v), 4) FROM jk, range(20) r(k) GROUP BY t, k",
+    "supermulti_error": f"{_boots_sql(1)}, e AS (SELECT t, var_pop(v) / (count(*) - 1) AS e FROM li GROUP BY t UNION ALL SELECT t, var_pop(v) FROM bt WHERE s >= 0 GROUP BY t) SELECT t, round(sqrt(sum(e)), 4) AS error FROM e GROUP BY t",
+    "bootstrap_autocorrelation": f"WITH {_LI}, m AS (SELECT t, avg(v) AS m FROM li GROUP BY t), p AS (SELECT a.t AS t, b.s - a.s AS lag, a.s // 2 AS s, avg((a.v - m) * (b.v - m)) AS v FROM li a JOIN li b ON a.t = b.t AND b.s - a.s BETWEEN 0 AND 4 AND a.s < 46 JOIN m ON m.t = a.t GROUP BY a.t, b.s - a.s, a.s // 2), tb AS (SELECT id // 23 AS b, {R.draw('(id + 1234)', 23)} AS s FROM range({BOOTS * 23}) r(id)), g AS (SELECT t, lag, b AS s, avg(v) AS v FROM p JOIN tb USING (s) GROUP BY t, lag, b UNION ALL SELECT t, lag, -1, avg(v) FROM p GROUP BY t, lag) SELECT g.t, g.lag, g.s, round(g.v / z.v, 6) AS v FROM g JOIN g z ON z.lag = 0 AND z.t = g.t AND z.s = g.s",
+}
+ORACLES["jackknife_to_double"] = ORACLES["double_jackknife"].replace(", 4) AS v", ", 3) AS v")

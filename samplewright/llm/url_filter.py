@@ -79,8 +79,12 @@ def filed(addresses: DataFrame, rules: Sequence[Rule]) -> dict[str, list[Rule]]:
     spark = addresses.sparkSession
     tokens = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.concat("host", "path")), F.lit(TOKEN), F.lit(0))))
     of_rules = spark.createDataFrame([(t,) for t in wanted], "token string")
+    if len(wanted) <= MAX_BROADCAST:
+        of_rules = F.broadcast(of_rules)
+    # Counted within each task before any shuffle, so a token that all rows share costs no more than a rare one.
     # At most one row for each token of the rules comes back.
-    seen = {r["token"]: r["count"] for r in addresses.select(tokens.alias("token")).join(of_rules, "token", "left_semi").groupBy("token").count().collect()}
+    counts = addresses.select(tokens.alias("token")).groupBy("token").count()
+    seen = {r["token"]: r["count"] for r in counts.join(of_rules, "token", "left_semi").collect()}
     out: dict[str, list[Rule]] = {}
     for rule in rules:
         out.setdefault(min(literal_tokens(rule), key=lambda t: (seen.get(t, 0), t), default=""), []).append(rule)

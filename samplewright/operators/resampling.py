@@ -1,7 +1,7 @@
 """Resampling statistics on samples (keys, s, v): aggregates joined back by key.
 
 Totals come from partial aggregates and are joined to the samples, so no window
-holds a whole series in one task.
+holds a whole series in one task. What one sample, or two, can't give is null.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ def moments(df: DataFrame, keys: Keys) -> DataFrame:
     """Mean, population variance and deviation, range, standard error, third and fourth standardised moments."""
     return df.groupBy(*keys).agg(
         F.avg("v").alias("mean"), F.var_pop("v").alias("variance"), F.stddev_pop("v").alias("deviation"), F.min("v").alias("low"), F.max("v").alias("high"),
-        (F.stddev_pop("v") / F.sqrt(F.count("*") - 1)).alias("standard_error"), F.skewness("v").alias("third"), (F.kurtosis("v") + 3).alias("fourth"),
+        F.try_divide(F.stddev_pop("v"), F.sqrt(F.count("*") - 1)).alias("standard_error"), F.skewness("v").alias("third"), (F.kurtosis("v") + 3).alias("fourth"),
     )
 
 
@@ -36,7 +36,7 @@ def binned(df: DataFrame, keys: Keys, size: int) -> DataFrame:
 
 def jackknife(df: DataFrame, keys: Keys) -> DataFrame:
     """Averages over all samples but one."""
-    return df.join(totals(df, keys), list(keys)).select(*keys, "s", ((F.col("_sum") - F.col("v")) / (F.col("_n") - 1)).alias("v"))
+    return df.join(totals(df, keys), list(keys)).select(*keys, "s", F.try_divide(F.col("_sum") - F.col("v"), F.col("_n") - 1).alias("v"))
 
 
 def jackknife_error(df: DataFrame, keys: Keys) -> DataFrame:
@@ -60,7 +60,7 @@ def pairs(df: DataFrame, key: str) -> DataFrame:
 def covariance(df: DataFrame, key: str, kind: str = "raw") -> DataFrame:
     """Covariance of means between series, from raw or jackknife samples."""
     n = F.count("*") - 1
-    value = F.covar_pop("x", "y") / n if kind == "raw" else F.covar_pop("x", "y") * n
+    value = F.try_divide(F.covar_pop("x", "y"), n) if kind == "raw" else F.covar_pop("x", "y") * n
     return pairs(df, key).groupBy(f"{key}_i", f"{key}_j").agg(value.alias("covariance"))
 
 
@@ -69,15 +69,15 @@ def double_jackknife_covariance(df: DataFrame, key: str) -> DataFrame:
     both = pairs(df, key)
     ij = [f"{key}_i", f"{key}_j"]
     sums = both.groupBy(*ij).agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.count("*").alias("n"))
-    inner = F.expr("(sxy - x * y) / (n - 1) - (sx - x) * (sy - y) / ((n - 1) * (n - 1))")
-    return both.join(sums, ij).select(*ij, "s", (inner / (F.col("n") - 2)).alias("covariance"))
+    inner = F.expr("try_divide(sxy - x * y, n - 1) - try_divide((sx - x) * (sy - y), (n - 1) * (n - 1))")
+    return both.join(sums, ij).select(*ij, "s", F.try_divide(inner, F.col("n") - 2).alias("covariance"))
 
 
 def double_jackknife(df: DataFrame, keys: Keys) -> DataFrame:
     """(keys, s, inner, v): averages over all samples but two. N * N rows, so bin first."""
     other = df.select(*keys, F.col("s").alias("inner"), F.col("v").alias("_w"))
     two = df.join(totals(df, keys), list(keys)).join(other, list(keys)).where("s <> inner")
-    return two.select(*keys, "s", "inner", F.expr("(_sum - v - _w) / (_n - 2)").alias("v"))
+    return two.select(*keys, "s", "inner", F.expr("try_divide(_sum - v - _w, _n - 2)").alias("v"))
 
 
 def block_double_jackknife(df: DataFrame, keys: Keys, size: int) -> DataFrame:
@@ -87,7 +87,7 @@ def block_double_jackknife(df: DataFrame, keys: Keys, size: int) -> DataFrame:
     blocks = kept.groupBy(*keys, "block").agg(F.sum("v").alias("_part"))
     outer = blocks.join(kept.groupBy(*keys).agg(F.sum("v").alias("_sum")), list(keys))
     two = kept.withColumnRenamed("block", "_own").join(outer, list(keys)).where("block <> _own")
-    return two.select(*keys, "block", "s", F.expr(f"(_sum - _part - v) / (_n - {size} - 1)").alias("v"))
+    return two.select(*keys, "block", "s", F.expr(f"try_divide(_sum - _part - v, _n - {size} - 1)").alias("v"))
 
 
 def resample_table(spark, n: int, boots: int, size: int = 1, seed: int = 1234) -> DataFrame:
@@ -99,8 +99,15 @@ def resample_table(spark, n: int, boots: int, size: int = 1, seed: int = 1234) -
 
 
 def draw(x: str, n: int) -> str:
-    """SQL for a pseudorandom number below n; the same in Spark and in DuckDB."""
-    return f"(({x} * 48271 % 2147483647) * 69621 % 2147483647) * 16807 % 2147483647 % {n}"
+    """SQL for a pseudorandom number below n; the same in Spark and in DuckDB.
+
+    Rounds of multiplication alone would stay linear in x and leave neighbouring
+    draws correlated, so two of the rounds square.
+    """
+    m = 2147483647
+    first = f"(({x} % {m} * 48271 + 12345) % {m})"
+    second = f"(({first} * {first} % {m} * 48271 + {first}) % {m})"
+    return f"(({second} * {second} % {m} * 69621 + {second}) % {m} % {n})"
 
 
 def bootstrap(df: DataFrame, table: DataFrame, keys: Keys) -> DataFrame:
@@ -189,7 +196,7 @@ def boot_covariance(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Covariance of means inside each boot, and of the raw samples as boot -1, without the inner samples."""
     both = pairs(df, key)
     boots = both.join(table.select("b", "s"), "s").drop("s").unionByName(both.withColumn("b", F.lit(-1).cast("long")).drop("s"))
-    return boots.groupBy(f"{key}_i", f"{key}_j", "b").agg((F.covar_pop("x", "y") / (F.count("*") - 1)).alias("covariance"))
+    return boots.groupBy(f"{key}_i", f"{key}_j", "b").agg(F.try_divide(F.covar_pop("x", "y"), F.count("*") - 1).alias("covariance"))
 
 
 def neighbour_table(spark, n: int, boots: int, size: int, circular: bool = False, seed: int = 1234) -> DataFrame:

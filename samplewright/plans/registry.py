@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from samplewright.operators import ensembles as E
 from samplewright.operators import resampling as R
 from samplewright.operators import series as S
 
@@ -180,3 +181,72 @@ ORACLES |= {
     "bootstrap_autocorrelation": f"WITH {_LI}, m AS (SELECT t, avg(v) AS m FROM li GROUP BY t), p AS (SELECT a.t AS t, b.s - a.s AS lag, a.s // 2 AS s, avg((a.v - m) * (b.v - m)) AS v FROM li a JOIN li b ON a.t = b.t AND b.s - a.s BETWEEN 0 AND 4 AND a.s < 46 JOIN m ON m.t = a.t GROUP BY a.t, b.s - a.s, a.s // 2), tb AS (SELECT id // 23 AS b, {R.draw('(id + 1234)', 23)} AS s FROM range({BOOTS * 23}) r(id)), g AS (SELECT t, lag, b AS s, avg(v) AS v FROM p JOIN tb USING (s) GROUP BY t, lag, b UNION ALL SELECT t, lag, -1, avg(v) FROM p GROUP BY t, lag) SELECT g.t, g.lag, g.s, round(g.v / z.v, 6) AS v FROM g JOIN g z ON z.lag = 0 AND z.t = g.t AND z.s = g.s",
 }
 ORACLES["jackknife_to_double"] = ORACLES["double_jackknife"].replace(", 4) AS v", ", 3) AS v")
+
+
+def _sources(spark: SparkSession, sf_dir: str, exact: bool) -> DataFrame:
+    """Order lines by source, time and sample; exact ones are zero for one source of each sample."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    cells = lines.groupBy((F.col("l_suppkey") % 4).alias("tsrc"), (F.col("l_linenumber") - 1).alias("t"), (F.col("l_orderkey") % N).alias("s"))
+    if not exact:
+        return cells.agg(F.avg(F.expr("l_extendedprice * (1 - l_discount)")).alias("v"))
+    return cells.agg(F.avg("l_extendedprice").alias("v")).withColumn("v", F.when(F.expr("tsrc = s % 4"), 0.0).otherwise(F.col("v")))
+
+
+def _layout(spark: SparkSession, sf_dir: str, column: str = "event_type", where: str = "true") -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.groupBy(F.col(column).cast("string").alias("tag")).agg(F.count("*").alias("size")).where(where)
+
+
+def _user_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ensemble for each user, tagged by groups of users."""
+    users = _layout(spark, sf_dir, "user_id")
+    return users.select((F.col("tag").cast("long") % 100).cast("string").alias("tag"), "size")
+
+
+def _ama(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sloppy = samples(spark, sf_dir)
+    return E.sample_corrected(sloppy.where("s < 30"), sloppy.where("s >= 30"), samples(spark, sf_dir, "l_quantity").where("s >= 30"), T)
+
+
+QUERIES |= {
+    "jackknife_with_centre": lambda spark, d: _rounded(E.jackknife_with_centre(samples(spark, d), T), v=4),
+    "error_about_centre": lambda spark, d: _rounded(E.error_about_centre(E.jackknife_with_centre(samples(spark, d), T), T), central=4, error=4),
+    "block_double_jackknife_covariance": lambda spark, d: _rounded(E.block_double_jackknife_covariance(samples(spark, d), "t", 7), covariance=2),
+    "asymmetric_errors": lambda spark, d: _rounded(E.asymmetric_errors(R.bootstrap_error(_boots(spark, d), T), T), central=4, up=4, down=4),
+    "source_average": lambda spark, d: _rounded(E.source_average(_sources(spark, d, True)), v=4),
+    "live_source_average": lambda spark, d: _rounded(E.source_average(_sources(spark, d, True), True), v=4),
+    "source_correction": lambda spark, d: _rounded(E.correction(_sources(spark, d, True), _sources(spark, d, False)), v=4),
+    "sample_correction": lambda spark, d: _rounded(_ama(spark, d), v=4),
+    "average_over_dimension": lambda spark, d: _rounded(E.averaged_over(_sources(spark, d, False), ["tsrc"], F.col("t") < 4), v=4),
+    "joined_layout": lambda spark, d: E.joined_layout(_layout(spark, d, where="tag < 'm'"), _layout(spark, d)),
+    "told_apart": lambda spark, d: E.told_apart(_user_layout(spark, d)),
+    "balanced_bootstrap": lambda spark, d: _rounded(R.bootstrap(samples(spark, d), E.balanced_table(spark, N, BOOTS, BLOCK), T), v=4),
+}
+
+_SRC = "src AS (SELECT l_suppkey % 4 AS tsrc, l_linenumber - 1 AS t, l_orderkey % 50 AS s, CASE WHEN l_suppkey % 4 = l_orderkey % 50 % 4 THEN 0 ELSE avg(l_extendedprice) END AS e, avg(l_extendedprice * (1 - l_discount)) AS v FROM lineitem GROUP BY 1, 2, 3)"
+_CENTRE = f"{_JK}, jc AS (SELECT t, s::BIGINT AS s, v FROM jk UNION ALL SELECT t, -1, avg(v) FROM li GROUP BY t)"
+
+
+def _balanced_sql() -> str:
+    n, m = N // BLOCK, N // BLOCK * BOOTS
+    ctes = [f"p0 AS (SELECT id, id AS x FROM range({m}) z(id))"]
+    for r in range(E.ROUNDS):
+        ctes.append(f"p{r + 1} AS MATERIALIZED (SELECT id, {E.permuted('x', f'{r}::BIGINT', m)} AS x FROM p{r})")
+    table = f"tb AS (SELECT id // {n} AS b, x % {n} * {BLOCK} + k AS s FROM p{E.ROUNDS}, range({BLOCK}) z(k))"
+    return f"WITH {_LI}, {', '.join(ctes)}, {table} SELECT t, b AS s, round(avg(v), 4) AS v FROM li JOIN tb USING (s) GROUP BY t, b UNION ALL SELECT t, -1, round(avg(v), 4) FROM li GROUP BY t"
+
+
+ORACLES |= {
+    "jackknife_with_centre": f"WITH {_CENTRE} SELECT t, s, round(v, 4) AS v FROM jc",
+    "error_about_centre": f"WITH {_CENTRE}, c AS (SELECT t, v AS c FROM jc WHERE s = -1) SELECT t, round(c, 4) AS central, round(sqrt((count(*) - 1) * avg((v - c) ** 2)), 4) AS error FROM jc JOIN c USING (t) WHERE s >= 0 GROUP BY t, c",
+    "block_double_jackknife_covariance": f"WITH {_LI}, k AS (SELECT *, s // 7 AS own FROM li WHERE s < 49), z AS (SELECT t, sum(v) AS z FROM k GROUP BY t), p AS (SELECT t, own AS block, sum(v) AS p FROM k GROUP BY t, own), bd AS (SELECT t, block, s, (z - p - v) / 41 AS v FROM k JOIN z USING (t) JOIN p USING (t) WHERE own <> block) SELECT a.t AS t_i, b.t AS t_j, block, round(covar_pop(a.v, b.v) * (count(*) - 1), 2) AS covariance FROM bd a JOIN bd b USING (block, s) WHERE a.t <= b.t GROUP BY a.t, b.t, block",
+    "asymmetric_errors": f"{_boots_sql(1)}, l AS (SELECT t, list_sort(list(v)) AS l, count(*) AS n FROM bt WHERE s >= 0 GROUP BY t) SELECT t, round(v, 4) AS central, round(l[n - 16 * n // 100] - v, 4) AS up, round(v - l[1 + 16 * n // 100], 4) AS down FROM l JOIN (SELECT t, v FROM bt WHERE s = -1) USING (t)",
+    "source_average": f"WITH {_SRC} SELECT t, s, round(avg(e), 4) AS v FROM src GROUP BY t, s",
+    "live_source_average": f"WITH {_SRC} SELECT t, s, round(avg(e), 4) AS v FROM src WHERE e <> 0 GROUP BY t, s",
+    "source_correction": f"WITH {_SRC} SELECT t, s, round(avg(e - v), 4) AS v FROM src WHERE tsrc <> s % 4 GROUP BY t, s",
+    "sample_correction": f"WITH {_LI}, a AS (SELECT t, sum(v) AS x, count(*) AS n FROM li WHERE s < 30 GROUP BY t), c AS (SELECT t, sum(q - v) AS x, count(*) AS n FROM li WHERE s >= 30 GROUP BY t) SELECT t, CASE WHEN s < 30 THEN 'S' ELSE 'C' END AS ens, s, round(CASE WHEN s < 30 THEN (a.x - v) / (a.n - 1) + c.x / c.n ELSE a.x / a.n + (c.x - (q - v)) / (c.n - 1) END, 4) AS v FROM li JOIN a USING (t) JOIN c USING (t)",
+    "average_over_dimension": f"WITH {_SRC} SELECT tsrc, round(avg(v), 4) AS v FROM src WHERE t < 4 GROUP BY tsrc",
+    "joined_layout": "SELECT event_type AS tag, count(*) AS size FROM events GROUP BY event_type",
+    "told_apart": "WITH u AS (SELECT DISTINCT (user_id % 100)::VARCHAR AS tag, count(*) AS size FROM events GROUP BY user_id), m AS (SELECT *, count(*) OVER (PARTITION BY tag) AS n FROM u) SELECT CASE WHEN n > 1 THEN tag || '_' || size ELSE tag END AS tag, size FROM m",
+    "balanced_bootstrap": _balanced_sql(),
+}

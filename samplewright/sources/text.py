@@ -65,3 +65,16 @@ def xy(spark: SparkSession, paths: str) -> DataFrame:
     w = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
     lines = spark.read.text(paths).select(w.alias("w")).where("w[0] <> ''")
     return lines.select(F.when(F.size("w") > 1, _word(0)).alias("x"), F.when(F.size("w") > 1, _word(1)).otherwise(_word(0)).alias("y"))
+
+
+def flow(spark: SparkSession, paths: str, pattern: str, squared: bool = True) -> DataFrame:
+    """(traj, t, v) from lines `t v`; values that aren't `squared` yet are multiplied by t * t.
+
+    A time may stand twice in a file if both values agree to 1e-12; otherwise
+    reading is an error.
+    """
+    t, v = _word(0), _word(1)
+    lines = _lines(spark, paths, pattern).select("traj", t.alias("t"), (v if squared else t * t * v).alias("v"))
+    once = lines.groupBy("traj", "t").agg(F.min("v").alias("v"), F.max("v").alias("_most"))
+    clash = F.raise_error(F.concat(F.lit("two values at t = "), F.col("t").cast("string"))).cast("double")
+    return once.select("traj", "t", F.when(F.col("_most") - F.col("v") < 1e-12, F.col("v")).otherwise(clash).alias("v"))

@@ -81,12 +81,14 @@ _LOOK_ALIKES = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІ
 
 
 def _table() -> dict[int, str]:
-    """Characters that stand for one ASCII character: compatibility forms and look-alikes."""
+    """Characters that stand for one ASCII character: compatibility forms, digits of any script and look-alikes."""
     out = {ord(a): b for a, b in _LOOK_ALIKES.items()}
     for code in range(0x80, 0x20000):
         plain = unicodedata.normalize("NFKC", chr(code))
         if len(plain) == 1 and plain.isascii() and plain.isprintable():
             out[code] = plain
+        elif (digit := unicodedata.digit(chr(code), None)) is not None:
+            out[code] = str(digit)
     return out
 
 
@@ -106,19 +108,27 @@ _WORD = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 _DOT_WORD, _AT_WORD = "dot|punkt|point|punto", "at|arobase|arroba"
 _OPEN, _CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
 _DOT = rf"(?:{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}|\s+(?:{_DOT_WORD})\s+)"
-#: Between plain words, "at" only counts before a name that ends in one of these.
+#: Between plain words, "at" only counts before a name that ends in letters after "dot" or a bracketed dot. After the other
+#: words for a dot, which prose has too ("at this point in time"), "at" needs one of these endings.
 _TOP = "com|org|net|edu|gov|info|biz|io|co|uk|us|de|at|ch|fr|be|es|mx|it|nl|eu"
+_NAME, _SURE_DOT = "[A-Za-z0-9-]+", rf"(?:{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}|\s+dot\s+)"
+_SITE = rf"(?:{_NAME}{_DOT})*{_NAME}(?:{_SURE_DOT}[A-Za-z]{{2,}}\b|{_DOT}(?:{_TOP})\b)"
 # Each named group is one transducer.
 _REWRITE = re.compile(
     rf"(?P<none>[\u00ad\u200b-\u200f\u2060\ufeff]+)"
-    rf"|(?P<at>{_OPEN}(?:{_AT_WORD}|@){_CLOSE}|(?<=[A-Za-z0-9_%+-])\s+(?:{_AT_WORD})\s+(?=(?:[A-Za-z0-9-]+{_DOT})+(?:{_TOP})\b))"
+    rf"|(?P<at>{_OPEN}(?:{_AT_WORD}|@){_CLOSE}|(?<=[A-Za-z0-9_%+-])\s+(?:at\s+(?={_SITE})|(?:arobase|arroba)\s+(?=(?:{_NAME}{_DOT})+[A-Za-z]{{2,}}\b)))"
     rf"|(?P<dot>(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9]))"
     rf"|(?P<plus>\bplus\s+(?=(?:[0-9]|(?:{_WORD})\b)))"
     rf"|(?P<digits>\b(?:{_WORD})(?:[\s-]+(?:{_WORD}))*\b)",
     re.IGNORECASE,
 )
-#: Cheap necessary conditions: a spelled sign, an opening bracket with @ or ., an invisible character, two digit words in a row.
-_HINT = re.compile(rf"[\u00ad\u200b-\u200f\u2060\ufeff]|[\[({{<]\s*[@.]|\b(?:{_DOT_WORD}|{_AT_WORD}|plus)\b|\b(?:{_WORD})[\s-]+(?:{_WORD})\b", re.IGNORECASE)
+#: Cheap necessary conditions: a spelled sign, an opening bracket with @ or ., an invisible character, a digit word beside a digit, + or another digit word.
+_BESIDE = r"[\s().+-]*"
+_HINT = re.compile(
+    rf"[\u00ad\u200b-\u200f\u2060\ufeff]|[\[({{<]\s*[@.]|\b(?:{_DOT_WORD}|{_AT_WORD}|plus)\b"
+    rf"|\b(?:{_WORD})\b{_BESIDE}(?:[0-9]|\b(?:{_WORD})\b)|[0-9+]{_BESIDE}\b(?:{_WORD})\b",
+    re.IGNORECASE,
+)
 
 
 class Rewritten:

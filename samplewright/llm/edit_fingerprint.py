@@ -133,11 +133,33 @@ def _octave_ends() -> np.ndarray:
     return np.searchsorted(at, [1 << k for k in range(OCTAVES + 1)])
 
 
+def _forest(ids: list[int], prints: list[str], least: float) -> list[tuple[int, int, float]]:
+    """Links (id, near_id, likeness) that connect all that are alike; of each the smaller id comes first."""
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    size = np.array([len(prints[k]) for k in order], np.int64)
+    digits = np.zeros((len(order), size.max(initial=0)), np.uint8)
+    for row, k in enumerate(order):
+        digits[row, : len(prints[k])] = np.frombuffer(prints[k].encode(), np.uint8)
+    weight = _walk()[2][: digits.shape[1]]
+    whole = np.concatenate(([0.0], np.cumsum(weight)))
+    label, out = np.arange(len(order)), []
+    for k in range(len(order) - 1):
+        far = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
+        share = (digits[far, : size[k]] == digits[k, : size[k]]) @ weight[: size[k]] / np.maximum(whole[np.maximum(size[far], size[k])], 1)
+        for j in far[(share - 1 / 16) / (15 / 16) >= least - 1e-9].tolist():
+            if label[j] != label[k] and (near := likeness(prints[order[k]], prints[order[j]])) >= least:
+                label[label == label[j]] = label[k]
+                out.append((ids[order[j]], ids[order[k]], near))
+    return out
+
+
 def near_copies(found: DataFrame, least: float = 0.8, id: str = "doc_id") -> DataFrame:
     """found (id, fingerprint) to verified links (id, near_id, likeness).
 
-    All documents with a key link to the key's smallest one, never to each
-    other, so a key held by a third of all rows costs that many links, not pairs.
+    Documents of equal fingerprints are one node and link to its smallest id. The
+    nodes of a key are compared with each other as long as no links connect them,
+    in one task; a forest of the links leaves it, not pairs. So a key costs its
+    number of nodes times that of its unconnected parts.
     """
     on_workers(found.sparkSession)
 
@@ -145,14 +167,25 @@ def near_copies(found: DataFrame, least: float = 0.8, id: str = "doc_id") -> Dat
     def keys(rows: pd.Series) -> pd.Series:
         return pd.Series([band_keys(r) for r in rows], dtype=object)
 
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    banded = found.select(F.col(id).alias("doc_id"), "fingerprint", F.explode(keys("fingerprint")).alias("key"))
-    heads = banded.groupBy("key").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    pairs = banded.join(heads, "key").where(F.col("doc_id") != F.col("head.doc_id")).select("doc_id", "fingerprint", "head").distinct()
-    return pairs.select("doc_id", F.col("head.doc_id").alias("near_id"), alike("fingerprint", "head.fingerprint").alias("likeness")).where(F.col("likeness") >= least)
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, ids, prints = None, [], []  # a key's rows may span batches
+        for batch in batches:
+            out = []
+            for k, doc, f in zip(batch["key"], batch["doc_id"], batch["fingerprint"], strict=True):
+                if k != key:
+                    out += _forest(ids, prints, least)
+                    key, ids, prints = k, [], []
+                ids.append(doc)
+                prints.append(f)
+            yield pd.DataFrame(out, columns=["doc_id", "near_id", "likeness"])
+        yield pd.DataFrame(_forest(ids, prints, least), columns=["doc_id", "near_id", "likeness"])
+
+    rows = found.select(F.col(id).cast("long").alias("doc_id"), "fingerprint").where("doc_id IS NOT NULL")
+    nodes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    equal = rows.join(nodes, "fingerprint").where("doc_id != first").select("doc_id", F.col("first").alias("near_id"), F.lit(1.0).alias("likeness")).distinct()
+    banded = nodes.select(F.col("first").alias("doc_id"), "fingerprint", F.explode(keys("fingerprint")).alias("key"))
+    linked = banded.repartition("key").sortWithinPartitions("key").mapInPandas(compare, "doc_id long, near_id long, likeness double")
+    return equal.unionByName(linked.distinct())
 
 
 def in_order(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

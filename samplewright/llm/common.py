@@ -1,16 +1,24 @@
-"""What the operators share: reading tables, cutting lineage, importing on workers."""
+"""What the operators share: reading tables, cutting lineage, joins with hot keys, importing on workers."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than space and the controls 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key is hot from one in HOT_KEYS rows on (so there are no more of them than that), and from MIN_HOT rows on.
+HOT_KEYS, MIN_HOT = 1000, 10_000
+
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,19 +27,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the setting is missing."""
+    """This application's folder under the cluster's shared one.
+
+    Where spark.checkpoint.dir is unset, a local master gets a temporary folder
+    that goes when Python ends; on any other master that would lose rows, since
+    each executor would write to its own disk, and is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return f"{path}/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder and read back.
 
     Cuts the lineage: a lost executor costs a reread, not a recomputation. The
-    schema is passed on so that reading needs no inference.
+    schema is passed on so that reading needs no inference. All of an
+    application's tables lie in one folder, which may go when it has ended.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
@@ -39,13 +56,38 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined_spread(rows: DataFrame, by_key: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """rows joined with by_key, one row a key; hot keys are dealt over several tasks.
+
+    by_key has in `_rows` how many of the rows have its key; `_rows` isn't in the
+    result. Rows should be stored ones: a hot key's are dealt by their place, so
+    that equal rows part too. Only rows of hot keys are dealt, and only their keys
+    are copied; at most HOT_KEYS keys are sent to all tasks.
+    """
+    total = by_key.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    most = max(MIN_HOT, total // HOT_KEYS)
+    hot = by_key.where(F.col("_rows") > most).select(*keys, (F.col("_rows") / most).cast("int").alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), list(keys), "left")
+    dealt = dealt.withColumn("_part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts") + 1).cast("int"), F.lit(0))).drop("_parts")
+    copies = F.sequence(F.lit(0), F.when(F.col("_rows") > most, (F.col("_rows") / most).cast("int")).otherwise(0))
+    return dealt.join(by_key.withColumn("_part", F.explode(copies)).drop("_rows"), [*keys, "_part"], how).drop("_part")
+
+
 def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    """Send this package to the workers, once an application."""
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/{os.path.basename(root)}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as package:
+        for at, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    package.write(f"{at}/{name}", os.path.relpath(f"{at}/{name}", os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(spark.sparkContext.applicationId)
 
 
 def n_words(text: Column) -> Column:

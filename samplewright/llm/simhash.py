@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import on_workers, table, written
+from .common import joined_spread, on_workers, table, written
 
 SEED = 42
 #: Runs of up to this many fingerprints of an anchor are compared all at once.
@@ -189,13 +189,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def near_duplicates(rows: DataFrame, threshold: int = 2, id: str = "doc_id") -> DataFrame:
     """rows (id, point, ...) to the same rows with component_id and class (a point)."""
-    nodes = written(rows.groupBy("point").agg(F.min(id).alias("low")))
+    nodes = written(rows.groupBy("point").agg(F.min(id).alias("low"), F.count("*").alias("_rows")))
     found = components(nodes, written(links(nodes, threshold)))
     lone = F.col("class").isNull()
     classes = nodes.join(found, "point", "left").select(
-        "point", F.when(lone, F.col("low")).otherwise(F.col("component")).alias("component_id"), F.coalesce("class", "point").alias("class")
+        "point", F.when(lone, F.col("low")).otherwise(F.col("component")).alias("component_id"), F.coalesce("class", "point").alias("class"), "_rows"
     )
-    return rows.join(written(classes), "point", "left")
+    # A third of all rows may be copies of one text, or empty.
+    return joined_spread(rows, written(classes), ["point"])
 
 
 def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, threshold: int = 2) -> DataFrame:

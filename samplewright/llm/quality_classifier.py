@@ -5,11 +5,12 @@ digits and signs, run lengths dropped), with steps for the shares of repeated ne
 A latent-semantic space is fitted on at most SAMPLE_ROWS labelled rows, taken by
 the smallest hash of the id, never on held-out rows. Their latent vectors, a
 fixed bound of SAMPLE_ROWS * RANK numbers, are sent to all tasks; every document
-is compared with all of them by blocked matrix products, exactly, and its
+is compared with all of them by blocked matrix products of whole numbers, which are exact, and its
 NEIGHBOURS nearest vote with weights that grow with the cosine.
 
 Defined results. Null and empty texts have no vector and score the labels'
-mean. Texts count whole. Repeated rows are scored each on its own and alike;
+mean. Texts count whole, and words of any length. Repeated rows are scored each
+on its own and to the same number, whatever block or partition they are in;
 equally near neighbours beyond the last place are chosen by place in the sample.
 Null labels are not used, of several labels of an id all are. Without labels all
 scores are 0.5. An empty table gives an empty table. Only the id and text are
@@ -37,6 +38,8 @@ EDGES = (0.05, 0.1, 0.2, 0.3, 0.5)
 WORDS, SHAPES, REPEATS = 1024, 512, 2 * len(EDGES)
 WIDTH = WORDS + SHAPES + REPEATS
 NEIGHBOURS, POWER, THRESHOLD = 15, 8, 0.3
+#: Cosines are products of these units: below 2^44, so with up to 2^18 places they fit in 63 bits.
+COSINE_BITS = 22
 BLOCK, CACHE_SIZE = 256, 1 << 17
 
 _UPPER, _LOWER, _OTHER = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[a-zß-öø-ÿ]+"), re.compile(r"(.)\1+")
@@ -53,7 +56,7 @@ class _Places(dict):
     def __missing__(self, token: str) -> tuple[int, int]:
         if len(self) >= CACHE_SIZE:
             self.clear()
-        shape = _OTHER.sub(r"\1", _LOWER.sub("a", re.sub(r"\d+", "0", _UPPER.sub("A", token[:64]))))
+        shape = _OTHER.sub(r"\1", _LOWER.sub("a", re.sub(r"\d+", "0", _UPPER.sub("A", token))))
         word = "".join(c for c in token.lower() if c.isalnum())
         out = (crc32(word.encode("utf-8", "surrogatepass")) % WORDS, WORDS + crc32(shape.encode("utf-8", "surrogatepass")) % SHAPES)
         if len(token) <= 64:
@@ -86,7 +89,7 @@ def counts(text: str) -> dict[int, float]:
 
 def matrix(rows: list[dict[int, float]]) -> np.ndarray:
     """Dense rows of dampened counts; one for each text."""
-    out = np.zeros((len(rows), WIDTH), np.float32)
+    out = np.zeros((len(rows), WIDTH))
     for k, row in enumerate(rows):
         out[k, list(row)] = list(row.values())
     return np.log1p(out, out=out)
@@ -96,29 +99,51 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def _whole(x: np.ndarray, bits: int) -> np.ndarray:
+    """x in units of 2^-bits. Sums of products of whole numbers below 2^53 are exact, so no order of additions shows."""
+    return np.rint(np.ldexp(x, bits))
+
+
 def _blocks(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = x * idf
-    return np.hstack([_normal(x[:, :WORDS]), 2 * _normal(x[:, WORDS : WORDS + SHAPES]), x[:, WORDS + SHAPES :] / 2])
+    return _whole(np.hstack([_normal(x[:, :WORDS]), 2 * _normal(x[:, WORDS : WORDS + SHAPES]), x[:, WORDS + SHAPES :] / 2]), 14)
 
 
 class Voters:
-    """Labelled rows in their latent space."""
+    """Labelled rows in their latent space.
+
+    Vectors are kept in whole units, so that a cosine is the same whatever block,
+    partition or machine it is computed in.
+    """
 
     def __init__(self, rows: list[dict[int, float]], labels: list[int]):
-        self.labels = np.array(labels, np.float32)
+        self.labels = np.array(labels, float)
         self.mean = float(self.labels.mean()) if labels else 0.5
         if not labels:
             return
         x = matrix(rows)
-        self.idf = np.log1p(len(rows) / (1.0 + (x > 0).sum(axis=0))).astype(np.float32)
+        self.idf = np.log1p(len(rows) / (1.0 + (x > 0).sum(axis=0)))
         x = _blocks(x, self.idf)
         rank = min(RANK, *x.shape)
         # Truncated singular value decomposition by subspace iteration.
-        basis = np.random.default_rng(42).standard_normal((WIDTH, rank)).astype(np.float32)
+        basis = np.random.default_rng(42).standard_normal((WIDTH, rank))
         for _ in range(6):
             basis = np.linalg.qr(x.T @ (x @ basis))[0]
-        self.basis = basis
-        self.vectors = _normal(x @ basis)
+        self.basis = _whole(basis, 20)
+        self.vectors = self.latent(x)
+
+    def latent(self, x: np.ndarray) -> np.ndarray:
+        """Unit vectors of rows of features, in units of 2^-COSINE_BITS."""
+        return _whole(_normal(x @ self.basis), COSINE_BITS)
+
+    def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of each vector's nearest neighbours, nearest first; equally near ones by place."""
+        n = len(self.labels)
+        # One whole number for cosine and place: no ties are left.
+        keys = (vectors @ self.vectors.T).astype(np.int64) * n + np.arange(n - 1, -1, -1)
+        k = min(NEIGHBOURS, n)
+        best = -np.sort(-np.partition(keys, n - k, axis=1)[:, n - k :], axis=1)
+        return n - 1 - best % n, np.ldexp((best // n).astype(float), -2 * COSINE_BITS)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Similarity-weighted mean label of each text's nearest neighbours."""
@@ -127,10 +152,8 @@ class Voters:
             return out
         for at in range(0, len(texts), BLOCK):
             rows = [counts(t) for t in texts[at : at + BLOCK]]
-            cosines = _normal(_blocks(matrix(rows), self.idf) @ self.basis) @ self.vectors.T
-            k = min(NEIGHBOURS, cosines.shape[1])
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(float) ** POWER
+            near, cosines = self.nearest(self.latent(_blocks(matrix(rows), self.idf)))
+            weight = np.maximum(cosines, 0) ** POWER
             total = weight.sum(axis=1)
             voted = (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-12)
             some = (total > 1e-12) & np.array([bool(r) for r in rows])

@@ -1,12 +1,14 @@
 """Personal data, disguised or not, as spans of the original text.
 
 Plain emails, IP addresses, card and phone numbers are found as they stand
-(base spans). Then transducers rewrite a copy of the text: look-alike letters
-and digits to ASCII (one for one), invisible characters to nothing, "(at)" and
-"dot" disguises to @ and ., spelled digits to digits. Each rewrite keeps the
-source offsets of what it replaced, so what is found in the copy maps back to
-whole stretches of the source. Such a span is added unless a base span of its
-kind covers it.
+(base spans). Then transducers rewrite a copy of the text, one after another:
+look-alike letters and digits to ASCII (one for one), invisible characters to
+nothing, bracketed "at" and "dot" to @ and ., spelled dots between names and
+spelled digits; then a plain "at" before a name with a spelled dot. Each keeps
+the source offsets of what it replaced, so what is found in the copy maps back
+to whole stretches of the source. Such a span is added unless a base span of its
+kind covers it. After words that stand before "at" in prose (PROSE_BEFORE_AT) a
+plain "at" is left alone, and English "at" doesn't go with "point".
 
 Defined results. Null and empty texts have no spans. Texts of any length are
 searched whole, in time proportional to their length. Rows are independent:
@@ -105,60 +107,80 @@ _DIGIT_WORDS = {
     for k, word in enumerate(language.split())
 }
 _WORD = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
-_DOT_WORD, _AT_WORD = "dot|punkt|point|punto", "at|arobase|arroba"
-_OPEN, _CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
-_DOT = rf"(?:{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}|\s+(?:{_DOT_WORD})\s+)"
-#: Between plain words, "at" only counts before a name that ends in letters after "dot" or a bracketed dot. After the other
-#: words for a dot, which prose has too ("at this point in time"), "at" needs one of these endings.
-_TOP = "com|org|net|edu|gov|info|biz|io|co|uk|us|de|at|ch|fr|be|es|mx|it|nl|eu"
-_NAME, _SURE_DOT = "[A-Za-z0-9-]+", rf"(?:{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}|\s+dot\s+)"
-_SITE = rf"(?:{_NAME}{_DOT})*{_NAME}(?:{_SURE_DOT}[A-Za-z]{{2,}}\b|{_DOT}(?:{_TOP})\b)"
-# Each named group is one transducer.
-_REWRITE = re.compile(
-    rf"(?P<none>[\u00ad\u200b-\u200f\u2060\ufeff]+)"
-    rf"|(?P<at>{_OPEN}(?:{_AT_WORD}|@){_CLOSE}|(?<=[A-Za-z0-9_%+-])\s+(?:at\s+(?={_SITE})|(?:arobase|arroba)\s+(?=(?:{_NAME}{_DOT})+[A-Za-z]{{2,}}\b)))"
-    rf"|(?P<dot>(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9]))"
+
+#: Spelled dots become one of these until the last transducer, so that "at" can tell them from written dots. "point" is
+#: told apart, since English prose has it after "at" ("at this point in time").
+_DOT, _POINT = "\ue000", "\ue001"
+_PRIVATE = {0xE000: "\ue002", 0xE001: "\ue002"}
+_DOT_WORD, _AT_WORD = "dot|punkt|punto|point", "at|arobase|arroba"
+_INVISIBLE = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]+")
+#: Transducer of spelled signs and digits, each named group one rule. A match starts at a sign or a word, never at blanks; those before are
+#: taken in afterwards, so that long runs of blanks are read once.
+_SPELLED = re.compile(
+    rf"(?P<at>[\[({{<]\s*(?:{_AT_WORD}|@)\s*[\])}}>]\s*)"
+    rf"|(?P<dot>[\[({{<]\s*(?:{_DOT_WORD}|\.)\s*[\])}}>]\s*)"
+    rf"|(?P<bare>(?<=\s)(?:{_DOT_WORD})\s+)(?=[A-Za-z0-9])"
     rf"|(?P<plus>\bplus\s+(?=(?:[0-9]|(?:{_WORD})\b)))"
     rf"|(?P<digits>\b(?:{_WORD})(?:[\s-]+(?:{_WORD}))*\b)",
     re.IGNORECASE,
 )
-#: Cheap necessary conditions: a spelled sign, an opening bracket with @ or ., an invisible character, a digit word beside a digit, + or another digit word.
-_BESIDE = r"[\s().+-]*"
-_HINT = re.compile(
-    rf"[\u00ad\u200b-\u200f\u2060\ufeff]|[\[({{<]\s*[@.]|\b(?:{_DOT_WORD}|{_AT_WORD}|plus)\b"
-    rf"|\b(?:{_WORD})\b{_BESIDE}(?:[0-9]|\b(?:{_WORD})\b)|[0-9+]{_BESIDE}\b(?:{_WORD})\b",
+#: Transducer of "at" between plain words, before a name that ends in letters after a spelled dot.
+_NAME = "[A-Za-z0-9-]+"
+_AT = re.compile(
+    rf"(?<=\s)(?:at\s+(?={_NAME}(?:{_DOT}{_NAME})*?{_DOT}[A-Za-z]{{2,}}\b)|(?:arobase|arroba)\s+(?={_NAME}(?:[{_DOT}{_POINT}.]{_NAME})*?[{_DOT}{_POINT}.][A-Za-z]{{2,}}\b))",
     re.IGNORECASE,
 )
+#: Words that stand before "at" in prose ("look at example dot com"); a plain "at" after them is no sign of an address.
+PROSE_BEFORE_AT = frozenset(
+    "a again aim aimed all am an and appear apply are arrive arrived arrives as available back base based be been before begin being book"
+    " buy by call came check come dinner down early end event everyone find first for found from gather get go going got great had happen"
+    " happened has have he held here him home hosted i in is it its join joined just keep later laugh learn learned live located look looked"
+    " looking looks lunch me meet meeting meets met more new not now of off on one online only open or order our out page people photo play"
+    " point posted published put read registered retail sat see seen session shop shot show sign sit site smile sold someone speak spoke stand"
+    " stare start started starts stay still stop stopped study talk that the them then there they this time times to today together up us visit"
+    " wait waiting was watch we website week were when where which who work worked working works yelled you your".split()
+)
+#: Cheap necessary condition besides digit words: a spelled dot or sign, a bracketed one, an invisible character. (A plain
+#: "at" needs a spelled dot as well.)
+_SIGN = re.compile(rf"[\u00ad\u200b-\u200f\u2060\ufeff]|[\[({{<]\s*(?:[@.]|{_AT_WORD})|\b(?:{_DOT_WORD}|arobase|arroba|plus)\b", re.IGNORECASE)
+_DIGIT_WORD = re.compile(rf"\b(?:{_WORD})\b", re.IGNORECASE)
+_BESIDE = " \t\n\r\f\v().+-"
+
+
+def hinted(text: str) -> bool:
+    """Whether a disguise may be there: a sign, or a digit word beside a digit, + or another digit word."""
+    if _SIGN.search(text):
+        return True
+    end = -1  # of the digit word before
+    for m in _DIGIT_WORD.finditer(text):
+        gap = text[max(end, 0) : m.start()]
+        bare = gap.rstrip(_BESIDE)
+        if (not bare and end >= 0) or bare[-1:].isdigit() or "+" in gap[len(bare) :]:
+            return True
+        end = m.end()
+        if after := text[end : end + 64].lstrip(_BESIDE):
+            if after[0].isdigit():
+                return True
+        elif re.compile(rf"[{re.escape(_BESIDE)}\s]*+\d").match(text, end):
+            return True
+    return False
 
 
 class Rewritten:
     """A rewritten text that knows where its stretches come from."""
 
-    def __init__(self, text: str):
-        self.changed = False
-        self.starts, self.sources, pieces, at, made = [], [], [], 0, 0
-
-        def add(new: str, source: int, length: int) -> None:
-            nonlocal made
-            if new:
-                self.starts.append(made)
-                self.sources.append((source, length, len(new) == length))
-                pieces.append(new)
-                made += len(new)
-
-        for m in _REWRITE.finditer(text):
-            kind = m.lastgroup
-            add(text[at : m.start()], at, m.start() - at)
-            at = m.end()
-            self.changed = True
-            if kind == "digits":
-                # Spelled digits close up; each keeps the place of its word.
-                for w in re.finditer(r"[^\W\d_]+", m.group()):
-                    add(_DIGIT_WORDS[w.group().lower()], m.start() + w.start(), len(w.group()))
-            else:
-                add({"none": "", "at": "@", "dot": ".", "plus": "+"}[kind], m.start(), at - m.start())
-        add(text[at:], at, len(text) - at)
-        self.text = "".join(pieces)
+    def __init__(self, text: str, pieces: list[tuple[str, int, int]]):
+        """pieces: (new text, start, length) of what is replaced, in order, not overlapping."""
+        self.starts, self.sources, out, at, made = [], [], [], 0, 0
+        for new, start, length in [*pieces, ("", len(text), 0)]:
+            for piece, source, n, copied in ((text[at:start], at, start - at, True), (new, start, length, len(new) == length)):
+                if piece:
+                    self.starts.append(made)
+                    self.sources.append((source, n, copied))
+                    out.append(piece)
+                    made += len(piece)
+            at = start + length
+        self.text = "".join(out)
 
     def source(self, start: int, end: int) -> tuple[int, int]:
         """The stretch of the source that made start to end."""
@@ -171,6 +193,78 @@ class Rewritten:
         return piece(start)[0], piece(end - 1)[1]
 
 
+def _blanks_before(text: str, at: int, least: int) -> int:
+    while at > least and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _plain(text: str, at: int) -> bool:
+    return 0 <= at < len(text) and text[at].isascii() and text[at].isalnum()
+
+
+def _invisible(text: str) -> list[tuple[str, int, int]]:
+    return [("", m.start(), m.end() - m.start()) for m in _INVISIBLE.finditer(text)]
+
+
+def _signs(text: str) -> list[tuple[str, int, int]]:
+    """What stands for signs and digits, and what it becomes."""
+    out, free = [], 0
+    for m in _SPELLED.finditer(text):
+        kind, start = m.lastgroup, m.start()
+        if kind == "digits":
+            # Spelled digits close up; each keeps the place of its word.
+            words = [(w.group().lower(), m.start() + w.start(), len(w.group())) for w in re.finditer(r"[^\W\d_]+", m.group())]
+            for k, (word, at, n) in enumerate(words):
+                if k:
+                    out.append(("", free, at - free))
+                elif (start := _blanks_before(text, at, free)) < at and text[start - 1 : start] == "+":
+                    out.append(("", start, at - start))
+                out.append((_DIGIT_WORDS[word], at, n))
+                free = at + n
+            continue
+        if kind != "plus":
+            start = _blanks_before(text, start, free)
+            if kind != "at" and not (_plain(text, start - 1) and _plain(text, m.end())):
+                continue
+        new = {"at": "@", "plus": "+"}.get(kind) or (_POINT if "point" in m.group().lower() else _DOT)
+        out.append((new, start, m.end() - start))
+        free = m.end()
+    return out
+
+
+def _ats(text: str) -> list[tuple[str, int, int]]:
+    """Plain words for @."""
+    out, free = [], 0
+    for m in _AT.finditer(text):
+        start = _blanks_before(text, m.start(), free)
+        local = start
+        while local > free and (text[local - 1] in _LOCAL or text[local - 1] in _DOT + _POINT):
+            local -= 1
+        plain_at = text[m.start() : m.start() + 2].lower() == "at" and text[m.start() + 2 : m.start() + 3].isspace()
+        if local < start and text[start - 1] not in "." + _DOT + _POINT and not (plain_at and text[local:start].lower() in PROSE_BEFORE_AT):
+            out.append(("@", start, m.end() - start))
+            free = m.end()
+    return out
+
+
+def undisguised(text: str) -> list[tuple[str, int, int]]:
+    """Identifiers of the rewritten text as (kind, start, end) of the source."""
+    if "\ue000" in text or "\ue001" in text:
+        text = text.translate(_PRIVATE)
+    maps: list[Rewritten] = []
+    for transducer in (_invisible, _signs, _ats):
+        if pieces := transducer(text):
+            maps.append(Rewritten(text, pieces))
+            text = maps[-1].text
+    out = []
+    for kind, a, b in found(text.replace(_DOT, ".").replace(_POINT, ".")) if maps else []:
+        for made in reversed(maps):
+            a, b = made.source(a, b)
+        out.append((kind, a, b))
+    return out
+
+
 def spans(text: str) -> list[tuple[str, int, int, bool]]:
     """All spans as (kind, start, end, base), by kind, then start, then end."""
     base = found(text)
@@ -180,10 +274,8 @@ def spans(text: str) -> list[tuple[str, int, int, bool]]:
     maybe: list[tuple[str, int, int]] = []
     if plain != text:
         maybe += found(plain)
-    if _HINT.search(plain):
-        copy = Rewritten(plain)
-        if copy.changed:
-            maybe += [(kind, *copy.source(a, b)) for kind, a, b in found(copy.text)]
+    if hinted(plain):
+        maybe += undisguised(plain)
     if maybe:
         covers = {k: sorted((a, b) for kind, a, b in base if kind == k) for k in KINDS}
         for kind, a, b in maybe:

@@ -6,7 +6,7 @@ Its literal tokens are the runs of letters and digits that any fitting address
 must hold as whole tokens. Each rule is filed under the one of them that is
 rarest in the table at hand. An address's tokens fetch candidate rules and only
 those run their regular expression. Of fitting rules the lower tier wins, then
-the longer pattern, then the name.
+the longer pattern, then the name. Case folds for A to Z only, everywhere.
 
 Up to MAX_BROADCAST rules are sent to the tasks as an index; more are joined by
 token, address by address.
@@ -30,6 +30,10 @@ from .common import on_workers, table
 
 MAX_BROADCAST = 100_000
 TOKEN = r"[a-z0-9]+"
+#: Beyond MAX_BROADCAST rules, tasks that share the addresses of one token.
+SALTS = 16
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FOLD = str.maketrans(_UPPER, _LOWER)
 
 
 class Rule(NamedTuple):
@@ -44,40 +48,57 @@ FIXED = [
     Rule(name, f"||{name}", action, 0)
     for name, action in (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 ]
-#: Names of sites that sell, bet or spam.
-PATTERNS = [Rule(word, f"^{word}^", "block") for word in ("adult", "bets", "betting", "casino", "casinos", "pills", "poker", "porn", "spam", "viagra", "xxx")]
+#: Names of sites that sell, bet or spam, wherever a whole token has them.
+NAMES = ("adult", "bets", "betting", "casino", "casinos", "pills", "poker", "porn", "spam", "viagra", "xxx")
+#: Further rules of hosts, paths and wildcards: adverts, trackers, machinery of sites, offers.
+WIDER = [
+    ("ad-host", "||ads.*/", "block"), ("ad-server", "||adserver.*/", "block"), ("ad-click", "^ad^click^", "block"), ("banner-ad", "/banner^*^ad^", "block"),
+    ("tracker", "/track^pixel^", "block"), ("redirect", "^redirect^url^", "block"), ("login", "/wp-login.php^", "block"), ("admin", "/wp-admin^", "block"),
+    ("cgi", "/cgi-bin^*.cgi^", "block"), ("free-download", "^free^download^", "block"), ("buy-cheap", "^buy^*^cheap^", "block"), ("win-prize", "^win^*^prize^", "block"),
+    ("session", "^phpsessid^", "block"), ("sex-chat", "^live^sex^", "block"), ("slots", "^online^slots^", "block"), ("loans", "^payday^loans^", "block"),
+    ("health", "^casino^*^addiction^help^", "allow"), ("spam-report", "^report^spam^", "allow"), ("anti-spam", "^anti^spam^", "allow"),
+]
+PATTERNS = [Rule(word, f"^{word}^", "block") for word in NAMES] + [Rule(*r) for r in WIDER]
 
 
 def expression(rule: Rule) -> str:
-    """The regular expression of a rule on host + path; tier 0 minds case."""
+    """The regular expression of a rule on host + path; tier 0 minds case, others fold A to Z only.
+
+    Nothing but explicit classes, so Python, Java and RE2 read it alike.
+    """
     body, start = rule.pattern, ""
     if body.startswith("||"):
         body, start = body[2:], r"^(?:[^/]*\.)?"
     elif body.startswith("|"):
         body, start = body[1:], "^"
-    parts = {"*": ".*", "^": "(?:[^A-Za-z0-9]|^|$)"}
-    return ("" if rule.tier == 0 else "(?i)") + start + "".join(parts.get(c) or re.escape(c) for c in body)
+    parts = {"*": r"[\s\S]*", "^": "(?:[^A-Za-z0-9]|^|$)"}
+    letter = lambda c: f"[{c.lower()}{c.upper()}]" if rule.tier and c.isascii() and c.isalpha() else re.escape(c)
+    return start + "".join(parts.get(c) or letter(c) for c in body)
 
 
 def literal_tokens(rule: Rule) -> list[str]:
     """Tokens that an address needs whole: bounded on both sides within the pattern."""
-    body = rule.pattern.lower()
+    body = rule.pattern.translate(_FOLD)
     at = len(body) - len(body.lstrip("|"))
-    return [m.group() for m in re.finditer(TOKEN, body) if (m.start() == at > 0 or m.start() > 0 and body[m.start() - 1] not in "*|") and m.end() < len(body) and body[m.end()] != "*"]
+    return [m.group() for m in re.finditer(TOKEN, body) if (m.start() == at > 0 or m.start() > at and body[m.start() - 1] != "*") and m.end() < len(body) and body[m.end()] != "*"]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path, both empty without a "://"."""
     rest = F.coalesce(F.get(F.split(url, "://", 2), F.lit(1)), F.lit(""))
-    host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), _UPPER, _LOWER)
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def _tokens(address: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.translate(address, _UPPER, _LOWER), F.lit(TOKEN), F.lit(0)))
+
+
 def filed(addresses: DataFrame, rules: Sequence[Rule]) -> dict[str, list[Rule]]:
     """Rules by their rarest token in addresses (host, path); under "" those without any."""
     wanted = sorted({t for r in rules for t in literal_tokens(r)})
     spark = addresses.sparkSession
-    tokens = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.concat("host", "path")), F.lit(TOKEN), F.lit(0))))
+    tokens = F.explode(_tokens(F.concat("host", "path")))
     of_rules = spark.createDataFrame([(t,) for t in wanted], "token string")
     if len(wanted) <= MAX_BROADCAST:
         of_rules = F.broadcast(of_rules)
@@ -112,7 +133,7 @@ def judged(df: DataFrame, rules: Sequence[Rule], url: str = "url", keep: Sequenc
         always, none, out = by_token.pop("", []), (None, None, None), []
         for h, p in zip(hosts, paths, strict=True):
             address = h + p
-            fetched = [x for t in set(re.findall(TOKEN, address.lower())) if t in by_token for x in by_token[t]] if address else []
+            fetched = [x for t in set(re.findall(TOKEN, address.translate(_FOLD))) if t in by_token for x in by_token[t]] if address else []
             fits = [(rank, r) for rank, regex, r in fetched + always * bool(address) if regex.search(address)]
             best = min(fits)[1] if fits else None
             out.append((best.name, best.tier, best.action) if best else none)
@@ -126,10 +147,11 @@ def _joined(rows: DataFrame, index: dict[str, list[Rule]], keep: Sequence[str])
     spark = rows.sparkSession
     flat = [(t, expression(r), *_rank(r), r.name, r.action) for t, own in index.items() for r in own]
     by_token = spark.createDataFrame(flat, "token string, regex string, tier int, length int, tie string, name string, action string")
+    by_token = by_token.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     address = F.concat("host", "path")
-    distinct = rows.select("host", "path").distinct().where(address != "")
-    tokens = F.array_union(F.array(F.lit("")), F.regexp_extract_all(F.lower(address), F.lit(TOKEN), F.lit(0)))
-    fits = distinct.select("host", "path", F.explode(tokens).alias("token")).join(by_token, "token").where(F.expr("concat(host, path) rlike regex"))
+    distinct = rows.select("host", "path").distinct().where(address != "").withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int"))
+    tokens = F.array_union(F.array(F.lit("")), _tokens(address))
+    fits = distinct.select("host", "path", "salt", F.explode(tokens).alias("token")).join(by_token, ["token", "salt"]).where(F.expr("concat(host, path) rlike regex"))
     best = fits.groupBy("host", "path").agg(F.min(F.struct("tier", "length", "tie", "name", "action")).alias("b"))
     return rows.join(best, ["host", "path"], "left").select(*keep, "host", "path", "b.name", "b.tier", "b.action")
 
@@ -147,12 +169,13 @@ def oracle() -> str:
     fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     fixed = sorted(FIXED, key=_rank)
     arms = [(r.name, r.action, fits(r.name.split("/")[0], r.name[r.name.index("/") :])) for r in fixed]
-    words = "|".join(r.pattern.strip("^") for r in PATTERNS)
+    wider = sorted(PATTERNS, key=_rank)
+    verdicts = " ".join(f"WHEN regexp_matches(host || path, '{expression(r)}') THEN '{r.action}'" for r in wider)
     return rf"""
 WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a)
 SELECT page_id, host, path, CASE {" ".join(f"WHEN {test} THEN '{name}'" for name, _, test in arms)} END AS rule,
   CASE {" ".join(f"WHEN {test} THEN '{action}'" for _, action, test in arms)}
-  WHEN regexp_matches(host || path, '(?i)(^|[^a-z0-9])({words})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END AS verdict
+  {verdicts} ELSE 'allow' END AS verdict
 FROM b"""

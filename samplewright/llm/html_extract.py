@@ -4,22 +4,35 @@ A page becomes a tree of its structural elements; runs of like siblings are one
 node, and so are runs of paragraphs, headings and lists ("#flow"). The tree's
 outline is its skeleton. For each host the most frequent skeleton is the
 reference, and every other skeleton of the host is aligned with it by simple
-tree matching. Over all pages of the host, an aligned slot whose text is the
-same on most pages is template; slots whose text varies are content. Menus,
-headers, footers, adverts, forms and the like are told by element, role and class
-name and are never content. Where a page marks an article or main part, only
-what is inside counts, and constant passages there stay.
+tree matching; each aligned node is a slot. Over the host's articles, a block
+whose text stands in the same slot of most of them is template, whatever varies
+is content.
+
+How template is told from repeated text. Pages are counted by article, that is
+by their first heading (or longest block), so copies of one article count once
+and don't make it a template. Outside a marked article or main part a block is
+template on LEAST articles or more and SHARE of those that fill the slot.
+Inside one it takes LEAST_INSIDE and SHARE_INSIDE, since lines such as licences
+recur in articles too.
+
+Elements that the main text excludes by meaning (menus, headers, footers,
+sidebars, notices, adverts, forms, reader comments, hidden parts) are told by
+element, role and class name, whether they vary or not. Inside an article only
+whole class names count, never parts of hyphenated ones. A marked article is
+evidence, not a switch: it is all that counts if it holds at least as much of
+the page's content as the rest.
 
 Skeletons, not pages, are aligned, so a host with a third of all pages costs no
 more than its distinct skeletons; slot statistics are sums over (host, slot,
-text hash) and the joins back are salted.
-
-Defined results. Null and empty pages have an empty text. Pages that are alone
-on their host, or all equal, show no variation: nothing is template there and
-names alone decide. Null urls and urls without "://" share the empty host.
-Repeated rows are extracted each on its own. Elements nested deeper than
-MAX_DEPTH hang on the one at that depth; no text is lost by it. An empty table
-gives an empty table. Only the id, url and html are read.
+text hash, article), and joins deal out hot hosts and skeletons.
+
+Defined results. Null and empty pages have an empty text. Hosts of fewer
+articles than LEAST show no variation: nothing is template there and names alone
+decide. Null urls and urls without "://" share the empty host. Repeated rows are
+extracted each on its own. Elements nested deeper than MAX_DEPTH write to the
+node at that depth, keeping their own roles; no text is lost by it. An empty
+table gives an empty table. Only the id, url and html are read, so clashing
+names don't matter.
 """
 
 from __future__ import annotations
@@ -29,17 +42,21 @@ from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import on_workers, table, written
+from .common import joined_spread, on_workers, table, written
 from .url_filter import host_and_path
 
-MAX_DEPTH, SALTS = 100, 32
-#: A slot is template if at least LEAST pages fill it and this share of them with one text.
+MAX_DEPTH = 100
+#: Articles, and share of a slot's articles, that make a block template.
 LEAST, SHARE = 3, 0.5
+LEAST_INSIDE, SHARE_INSIDE = 8, 0.9
+#: Cells of an alignment's table; larger ones are split in halves, which needs memory for two rows only.
+MAX_CELLS, MAX_CACHED = 1 << 20, 1 << 15
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -49,64 +66,67 @@ _FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table th
 _STRUCTURE = frozenset("html head body div section article main header footer nav aside form menu dialog fieldset select button search".split())
 _ROLE_TAGS = frozenset("head footer nav aside form menu dialog fieldset select button search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: Class names of what the main text excludes: menus, headers, footers, sidebars, notices, adverts, reader comments.
 _NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsored promo cookie cookies consent gdpr notice popup modal overlay menu nav navbar navigation"
-    " breadcrumb breadcrumbs sidebar aside footer header masthead comment comments respond reply disqus share sharing social related newsletter subscribe"
-    " pagination pager login signup search widget".split()
+    "menu nav navbar navigation header masthead footer sidebar aside notice cookie cookies consent"
+    " ad ads advert adverts advertisement advertising sponsored banner comment comments respond disqus".split()
 )
+_HEADINGS = frozenset("h1 h2 h3".split())
 #: An opening tag ends these where they are still open.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _STOPS = frozenset("ul ol dl table".split())
 
 
 class _Node:
-    __slots__ = ("label", "flags", "depth", "article", "kids", "blocks")
+    __slots__ = ("label", "depth", "kids", "index")
 
-    def __init__(self, label: str, flags: str = "", up: "_Node | None" = None):
-        self.label, self.flags = label, flags
-        self.depth = up.depth + 1 if up else 0
-        self.article = "a" in flags or up is not None and up.article
+    def __init__(self, label: str, up: "_Node | None" = None):
+        self.label, self.depth, self.index = label, up.depth + 1 if up else 0, 0
         self.kids: list[_Node] = []
-        self.blocks: list[str] = []
 
 
-def _opened(tag: str, attributes: str, in_article: bool) -> tuple[str, str]:
-    """Label and flags of a structural element: r for a role beside the text, a for the article."""
+def _opened(tag: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
+    """Label of an element, whether it has a role beside the text, whether it marks an article."""
     classes: list[str] = []
-    role, flags = "", ""
+    role, hidden, body = "", False, False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            classes += [re.sub(r"\d+", "", c) for c in value.split()]
+            classes += value.split()
         elif name == "role":
             role = value.strip()
         elif name == "hidden":
-            flags = "r"
+            hidden = True
         elif name == "itemprop" and value == "articlebody":
-            flags = flags or "a"
-    words = {w for c in classes for w in re.split(r"[-_]+", c)}
-    if tag in _ROLE_TAGS or role in _ROLES or tag not in ("body", "html", "article", "main") and words & _NAMES or tag == "article" and words & {"comment", "comments", "ad", "advert"} or tag == "header" and not in_article:
-        flags = "r"
-    elif tag in ("article", "main") or role in ("main", "article"):
-        flags = flags or "a"
-    return re.sub(r"[|~ ]", "", f"{tag}.{'.'.join(sorted(set(classes)))}" if classes else tag), flags
+            body = True
+    marks = tag in ("article", "main") or role in ("main", "article") or body
+    aside = hidden or tag in _ROLE_TAGS or role in _ROLES or tag == "header" and not inside
+    if classes and not aside and tag not in ("html", "body"):
+        # Parts of names tell outside articles only: "site-footer", but not "share-price".
+        aside = not _NAMES.isdisjoint(classes if inside or marks else (w for c in classes for w in re.split(r"[-_]+", c)))
+    label = f"{tag}.{'.'.join(sorted({re.sub(r'[0-9|~ ]', '', c) for c in classes}))}" if classes else re.sub(r"[|~ ]", "", tag)
+    return label, aside, marks
 
 
-def parse(html: str) -> _Node:
-    """The tree of structural elements; blocks of text hang on "#flow" nodes."""
+def parse(html: str) -> tuple[_Node, list[tuple[str, _Node, bool, bool]]]:
+    """The tree of structural elements, and blocks in page order: text, "#flow" node, in an article, heading.
+
+    What has a role beside the text is left out of both.
+    """
     root = _Node("#page")
-    stack: list[tuple[str, _Node]] = [("#page", root)]  # open elements, with the structural node each writes to
+    stack: list[tuple[str, _Node, bool, bool]] = [("#page", root, False, False)]  # open elements: node they write to, aside, in an article
     buffer: list[str] = []
+    blocks: list[tuple[str, _Node, bool, bool]] = []
 
     def flush() -> None:
         if buffer:
-            block = " ".join("".join(buffer).split())
+            _, here, aside, inside = stack[-1]
+            block = "" if aside else " ".join("".join(buffer).split())
             buffer.clear()
             if block:
-                kids = stack[-1][1].kids
-                if not kids or kids[-1].label != "#flow":
-                    kids.append(_Node("#flow"))
-                kids[-1].blocks.append(block)
+                if not here.kids or here.kids[-1].label != "#flow":
+                    here.kids.append(_Node("#flow", here))
+                blocks.append((block, here.kids[-1], inside, stack[-1][0] in _HEADINGS))
 
     def cut(k: int) -> None:
         flush()
@@ -153,161 +173,212 @@ def parse(html: str) -> _Node:
                 cut(k)
             if tag in _VOID:
                 continue
-            here = stack[-1][1]
-            if tag in _STRUCTURE and here.depth < MAX_DEPTH:
-                label, flags = _opened(tag, m[3], here.article)
-                kid = here.kids[-1] if here.kids and (here.kids[-1].label, here.kids[-1].flags) == (label, flags) else None
-                if kid is None:
-                    here.kids.append(kid := _Node(label, flags, here))
-                here = kid
-            stack.append((tag, here))
+            _, here, aside, inside = stack[-1]
+            if not aside and (m[3] or tag in _STRUCTURE):
+                label, aside, marks = _opened(tag, m[3], inside)
+                inside = inside or marks
+                if tag in _STRUCTURE and not aside and here.depth < MAX_DEPTH:
+                    if not here.kids or here.kids[-1].label != label:
+                        here.kids.append(_Node(label, here))
+                    here = here.kids[-1]
+            stack.append((tag, here, aside, inside))
     flush()
-    return root
+    return root, blocks
 
 
-def flat(root: _Node) -> tuple[str, list[str]]:
-    """Skeleton (depth, flags and label of each node in page order) and the nodes' texts."""
-    entries, texts = [], []
+def flat(root: _Node) -> str:
+    """Skeleton: depth and label of each node in page order; sets the nodes' places in it."""
+    entries: list[str] = []
 
-    def visit(node: _Node, depth: int) -> None:
-        entries.append(f"{depth}~{node.flags}~{node.label}")
-        texts.append("\n\n".join(node.blocks))
+    def visit(node: _Node) -> None:
+        node.index = len(entries)
+        entries.append(f"{node.depth}~{node.label}")
         for kid in node.kids:
-            visit(kid, depth + 1)
+            visit(kid)
+
+    visit(root)
+    return "|".join(entries)
+
+
+def article_of(blocks: list[tuple[str, _Node, bool, bool]]) -> str:
+    """What tells a page's article from others: its first heading, one in an article first, else its longest block."""
+    headings = [(not inside, k) for k, (_, _, inside, heading) in enumerate(blocks) if heading]
+    return blocks[min(headings)[1]][0] if headings else max((b[0] for b in blocks), key=len, default="")
 
-    visit(root, 0)
-    return "|".join(entries), texts
 
+class _Trees:
+    """Two skeletons, their subtrees numbered so that equal ones share a number."""
 
-class Shape:
-    """A skeleton as labels, children and inherited flags."""
+    def __init__(self, *skeletons: str):
+        self.known: dict[tuple, int] = {}
+        self.labels: list[str] = []
+        self.parts: list[np.ndarray] = []
+        self.sizes: list[int] = []
+        self.weights: dict[tuple[int, int], int] = {}
+        self.kids, self.number = zip(*map(self._read, skeletons), strict=True)
 
-    def __init__(self, skeleton: str):
-        rows = [e.split("~", 2) for e in skeleton.split("|")]
-        self.labels = [r[2] + r[1] for r in rows]
-        self.kids: list[list[int]] = [[] for _ in rows]
-        self.role, self.article = [False] * len(rows), [False] * len(rows)
+    def _read(self, skeleton: str) -> tuple[list[list[int]], list[int]]:
+        rows = [e.split("~", 1) for e in skeleton.split("|")]
+        kids: list[list[int]] = [[] for _ in rows]
         path: list[int] = []
-        for k, (depth, flags, _) in enumerate(rows):
+        for k, (depth, _) in enumerate(rows):
             del path[int(depth) :]
-            up = path[-1] if path else None
-            self.role[k] = "r" in flags or up is not None and self.role[up]
-            self.article[k] = "a" in flags or up is not None and self.article[up]
-            if up is not None:
-                self.kids[up].append(k)
+            if path:
+                kids[path[-1]].append(k)
             path.append(k)
-
-
-@lru_cache(maxsize=4096)
-def aligned(skeleton: str, reference: str) -> list[int]:
-    """For each node the node of the reference it matches, or -1: simple tree matching."""
-    a, b = Shape(skeleton), Shape(reference)
-    if skeleton == reference:
-        return list(range(len(a.labels)))
-    tables: dict[tuple[int, int], list[list[int]]] = {}
-    sizes: dict[tuple[int, int], int] = {}
-
-    def match(x: int, y: int) -> int:
-        if a.labels[x] != b.labels[y]:
+        number = [0] * len(rows)
+        for k in range(len(rows) - 1, -1, -1):
+            key = (rows[k][1], *(number[j] for j in kids[k]))
+            if key not in self.known:
+                self.known[key] = len(self.labels)
+                self.labels.append(rows[k][1])
+                self.parts.append(np.array(key[1:], np.int64))
+                self.sizes.append(1 + sum(self.sizes[j] for j in key[1:]))
+            number[k] = self.known[key]
+        return kids, number
+
+    def weight(self, x: int, y: int) -> int:
+        """Nodes of the best matching of two subtrees."""
+        if x == y:
+            return self.sizes[x]
+        if self.labels[x] != self.labels[y]:
             return 0
-        if (x, y) not in sizes:
-            rows = [[0] * (len(b.kids[y]) + 1)]
-            for i in a.kids[x]:
-                row = [0]
-                for n, j in enumerate(b.kids[y]):
-                    row.append(max(rows[-1][n + 1], row[n], rows[-1][n] + match(i, j)))
-                rows.append(row)
-            tables[x, y], sizes[x, y] = rows, rows[-1][-1] + 1
-        return sizes[x, y]
-
-    out = [-1] * len(a.labels)
-
-    def trace(x: int, y: int) -> None:
+        if (x, y) not in self.weights:
+            self.weights[x, y] = 1 + int(self.rows(self.parts[x], self.parts[y])[-1])
+        return self.weights[x, y]
+
+    def rows(self, a: np.ndarray, b: np.ndarray, table: list | None = None) -> np.ndarray:
+        """Last row of the table of best matchings of the lists' beginnings; all rows go to table."""
+        row = np.zeros(len(b) + 1, np.int64)
+        kinds, of = np.unique(b, return_inverse=True)
+        weights: dict[int, np.ndarray] = {}
+        if table is not None:
+            table.append(row)
+        for x in a.tolist():
+            if x not in weights:
+                weights[x] = np.array([self.weight(x, y) for y in kinds.tolist()], np.int64)[of]
+            new = np.zeros_like(row)
+            np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights[x]), out=new[1:])
+            row = new
+            if table is not None:
+                table.append(row)
+        return row
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        """Places of the elements that the best matching of two lists pairs."""
+        n = min(len(a), len(b))
+        differ = np.flatnonzero(a[:n] != b[:n])
+        head = int(differ[0]) if len(differ) else n
+        n -= head
+        differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
+        tail = int(differ[0]) if len(differ) else n
+        out = [(k, k) for k in range(head)] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+        a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+        if not len(a) or not len(b):
+            return out
+        if len(a) > 1 and len(a) * len(b) > MAX_CELLS:
+            half = len(a) // 2
+            both = self.rows(a[:half], b) + self.rows(a[half:][::-1], b[::-1])[::-1]
+            cut = int(both.argmax())
+            mine = self.pairs(a[:half], b[:cut]) + [(i + half, j + cut) for i, j in self.pairs(a[half:], b[cut:])]
+        else:
+            table: list[np.ndarray] = []
+            self.rows(a, b, table)
+            i, j, mine = len(a), len(b), []
+            while i and j:
+                if table[i][j] == table[i - 1][j]:
+                    i -= 1
+                elif table[i][j] == table[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    mine.append((i, j))
+        return out + [(i + head, j + head) for i, j in mine]
+
+
+def _aligned(skeleton: str, reference: str) -> list[int]:
+    trees = _Trees(skeleton, reference)
+    kids_a, kids_b = trees.kids
+    number_a, number_b = trees.number
+    out = [-1] * len(number_a)
+    open_ = [(0, 0)]
+    while open_:
+        x, y = open_.pop()
+        if number_a[x] == number_b[y]:
+            for k in range(trees.sizes[number_a[x]]):
+                out[x + k] = y + k
+            continue
         out[x] = y
-        i, j, rows = len(a.kids[x]), len(b.kids[y]), tables[x, y]
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                trace(a.kids[x][i], b.kids[y][j])
-
-    if match(0, 0):
-        trace(0, 0)
+        pairs = trees.pairs(trees.parts[number_a[x]], trees.parts[number_b[y]])
+        open_ += [(kids_a[x][i], kids_b[y][j]) for i, j in pairs]
     return out
 
 
-def content(skeleton: str, places: list[int], template: set[int]) -> list[int]:
-    """Nodes of a skeleton that hold content, given the template slots of the reference."""
-    shape = Shape(skeleton)
-    marked = any(a and not r for a, r in zip(shape.article, shape.role, strict=True))
-    return [
-        k for k, label in enumerate(shape.labels)
-        if label == "#flow" and not shape.role[k] and (shape.article[k] if marked else places[k] not in template)
-    ]
+_cached = lru_cache(maxsize=4096)(_aligned)
+
+
+def aligned(skeleton: str, reference: str) -> list[int]:
+    """For each node the node of the reference it matches, or -1: simple tree matching."""
+    return (_cached if len(skeleton) + len(reference) <= MAX_CACHED else _aligned)(skeleton, reference)
 
 
 def parsed(df: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(id, url, host, skeleton, texts, hashes) of every page, parsed once."""
+    """(id, url, host, skeleton, article, blocks, nodes, inside, hashes) of every page, parsed once."""
     on_workers(df.sparkSession)
+    digest = lambda t: xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)
 
-    @F.pandas_udf("skeleton string, texts array<string>, hashes array<long>")
+    @F.pandas_udf("skeleton string, article long, blocks array<string>, nodes array<int>, inside array<boolean>, hashes array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for pages in batches:
             rows = []
             for page in pages:
-                skeleton, texts = flat(parse(page))
-                hashes = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in texts]
-                role = Shape(skeleton).role
-                rows.append((skeleton, ["" if r else t for t, r in zip(texts, role, strict=True)], hashes))
-            yield pd.DataFrame(rows, columns=["skeleton", "texts", "hashes"])
+                root, blocks = parse(page)
+                skeleton = flat(root)
+                texts = [b[0] for b in blocks]
+                rows.append((skeleton, digest(article_of(blocks)), texts, [b[1].index for b in blocks], [b[2] for b in blocks], [digest(t) for t in texts]))
+            yield pd.DataFrame(rows, columns=["skeleton", "article", "blocks", "nodes", "inside", "hashes"])
 
     tree = of(F.coalesce(F.col(html), F.lit(""))).alias("_t")
     return df.select(F.col(id), F.col(url), host_and_path(F.col(url))[0].alias("host"), tree).select(id, url, "host", "_t.*")
 
 
 def wrappers(trees: DataFrame) -> DataFrame:
-    """trees (host, skeleton, hashes) to (host, skeleton, content): the nodes to keep."""
+    """trees (stored) to (host, skeleton, places, template, _rows): slots of a skeleton's nodes, and keys of the host's template blocks."""
     on_workers(trees.sparkSession)
 
     @F.pandas_udf("array<int>")
     def align(skeletons: pd.Series, references: pd.Series) -> pd.Series:
         return pd.Series([aligned(a, b) for a, b in zip(skeletons, references, strict=True)], dtype=object)
 
-    @F.pandas_udf("array<int>")
-    def choose(skeletons: pd.Series, places: pd.Series, templates: pd.Series) -> pd.Series:
-        return pd.Series([content(s, list(p), set(t)) for s, p, t in zip(skeletons, places, templates, strict=True)], dtype=object)
-
-    shapes = trees.groupBy("host", "skeleton").agg(F.count("*").alias("n"))
-    references = shapes.groupBy("host").agg(F.max_by("skeleton", F.struct("n", "skeleton")).alias("reference"))
-    placed = written(shapes.join(references, "host").select("host", "skeleton", align("skeleton", "reference").alias("places")))
-    slots = salted(trees.select("host", "skeleton", "hashes"), placed).select("host", F.posexplode("hashes").alias("k", "hash"), "places")
-    slots = slots.select("host", F.get("places", F.col("k")).alias("slot"), "hash").where("slot >= 0")
-    fills = slots.groupBy("host", "slot", "hash").agg(F.count("*").alias("n"))
-    slot = fills.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max("n").alias("most"), F.count("*").alias("texts"))
-    # Where no slot of a host varies, its pages are copies of one and show nothing.
-    varied = slot.groupBy("host").agg(
-        F.collect_list(F.when((F.col("pages") >= LEAST) & (F.col("most") >= SHARE * F.col("pages")), F.col("slot"))).alias("template"), F.max("texts").alias("texts")
-    )
-    template = varied.select("host", F.when(F.col("texts") > 1, F.col("template")).otherwise(F.array().cast("array<int>")).alias("template"))
-    return placed.join(template, "host").select("host", "skeleton", choose("skeleton", "places", "template").alias("content"))
-
-
-def salted(rows: DataFrame, by_shape: DataFrame) -> DataFrame:
-    """rows joined with by_shape on (host, skeleton), each key dealt over SALTS tasks."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("hashes"), F.lit(SALTS)).cast("int"))
-    return dealt.join(by_shape.withColumn("_salt", salts), ["host", "skeleton", "_salt"]).drop("_salt")
-
-
-def extracted(df: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(id, url, text) of every row of df."""
+    shapes = written(trees.groupBy("host", "skeleton").agg(F.count("*").alias("_rows")).withColumnRenamed("_rows", "n"))
+    hosts = written(shapes.groupBy("host").agg(F.max_by("skeleton", F.struct("n", "skeleton")).alias("reference"), F.count("*").alias("_rows")))
+    placed = written(joined_spread(shapes, hosts, ["host"]).select("host", "skeleton", align("skeleton", "reference").alias("places"), F.col("n").alias("_rows")))
+    blocks = joined_spread(trees.select("host", "skeleton", "article", "nodes", "inside", "hashes"), placed, ["host", "skeleton"])
+    blocks = blocks.select("host", "article", "places", F.explode(F.arrays_zip("nodes", "inside", "hashes")).alias("b"))
+    blocks = blocks.select("host", "article", F.get("places", F.col("b.nodes")).alias("slot"), "b.inside", F.col("b.hashes").alias("hash")).where("slot >= 0")
+    fills = blocks.distinct()
+    by_block = fills.groupBy("host", "slot", "inside", "hash").agg(F.count("*").alias("n"))
+    by_slot = fills.select("host", "slot", "inside", "article").distinct().groupBy("host", "slot", "inside").agg(F.count("*").alias("articles"))
+    often = by_block.where(F.col("n") >= LEAST).join(by_slot.where(F.col("articles") >= LEAST), ["host", "slot", "inside"])
+    constant = F.when(F.col("inside"), (F.col("n") >= LEAST_INSIDE) & (F.col("n") >= SHARE_INSIDE * F.col("articles"))).otherwise(F.col("n") >= SHARE * F.col("articles"))
+    # At most a page's blocks over SHARE for each slot.
+    template = often.where(constant).groupBy("host").agg(F.collect_set(F.xxhash64("slot", "inside", "hash")).alias("template"))
+    per_host = written(hosts.join(template, "host", "left").select("host", F.coalesce("template", F.array().cast("array<long>")).alias("template"), "_rows"))
+    return joined_spread(placed.withColumnRenamed("_rows", "n"), per_host, ["host"]).withColumnRenamed("n", "_rows")
+
+
+def extracted(df: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", induce: bool = True) -> DataFrame:
+    """(id, url, text) of every row of df; without induction roles and marks alone decide."""
     trees = written(parsed(df, id, url, html))
-    keep = written(wrappers(trees))
-    texts = F.filter(F.transform("content", lambda k: F.get("texts", k)), lambda t: t != "")
-    return salted(trees, keep).select(id, url, F.array_join(texts, "\n\n").alias("text"))
+    if induce:
+        trees = joined_spread(trees, written(wrappers(trees)), ["host", "skeleton"])
+    else:
+        trees = trees.withColumn("template", F.array().cast("array<long>")).withColumn("places", F.array().cast("array<int>"))
+    varies = lambda b: ~F.array_contains("template", F.xxhash64(F.get("places", b["nodes"]), b["inside"], b["hashes"]))
+    mass = lambda inside: F.aggregate("_kept", F.lit(0).cast("long"), lambda n, b: n + F.when(b["inside"] == inside, F.char_length(b["blocks"])).otherwise(0))
+    kept = trees.withColumn("_kept", F.filter(F.arrays_zip("blocks", "nodes", "inside", "hashes"), varies))
+    main = F.when(mass(True) >= mass(False), F.filter("_kept", lambda b: b["inside"])).otherwise(F.col("_kept"))
+    return kept.select(id, url, F.array_join(F.transform(main, lambda b: b["blocks"]), "\n\n").alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,8 +132,8 @@ def test_html_wrappers(spark):
 
 
 def test_deep_html_loses_nothing():
-    _, texts = html_extract.flat(html_extract.parse("<div><section>" * 5000 + "deep" + "</section></div>" * 5000))
-    assert [t for t in texts if t] == ["deep"]
+    _, blocks = html_extract.parse("<div><section>" * 5000 + "deep" + "</section></div>" * 5000)
+    assert [b[0] for b in blocks] == ["deep"]
 
 
 def test_url_rules(spark):

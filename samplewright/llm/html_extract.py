@@ -19,8 +19,8 @@ Elements that the main text excludes by meaning (menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments, hidden parts) are told by
 element, role and class name, whether they vary or not. Inside an article only
 whole class names count, never parts of hyphenated ones. A marked article is
-evidence, not a switch: it is all that counts if it holds at least as much of
-the page's content as the rest.
+evidence, not a switch: it is all that counts unless the rest of the page has
+more than REST times as much content.
 
 Skeletons, not pages, are aligned, so a host with a third of all pages costs no
 more than its distinct skeletons; slot statistics are sums over (host, slot,
@@ -55,6 +55,8 @@ MAX_DEPTH = 100
 #: Articles, and share of a slot's articles, that make a block template.
 LEAST, SHARE = 3, 0.5
 LEAST_INSIDE, SHARE_INSIDE = 8, 0.9
+#: So many times a marked article's text must the rest have to count as well.
+REST = 4
 #: Cells of an alignment's table; larger ones are split in halves, which needs memory for two rows only.
 MAX_CELLS, MAX_CACHED = 1 << 20, 1 << 15
 
@@ -377,7 +379,7 @@ def extracted(df: DataFrame, id: str = "page_id", url: str = "url", html: str =
     varies = lambda b: ~F.array_contains("template", F.xxhash64(F.get("places", b["nodes"]), b["inside"], b["hashes"]))
     mass = lambda inside: F.aggregate("_kept", F.lit(0).cast("long"), lambda n, b: n + F.when(b["inside"] == inside, F.char_length(b["blocks"])).otherwise(0))
     kept = trees.withColumn("_kept", F.filter(F.arrays_zip("blocks", "nodes", "inside", "hashes"), varies))
-    main = F.when(mass(True) >= mass(False), F.filter("_kept", lambda b: b["inside"])).otherwise(F.col("_kept"))
+    main = F.when((mass(True) > 0) & (REST * mass(True) >= mass(False)), F.filter("_kept", lambda b: b["inside"])).otherwise(F.col("_kept"))
     return kept.select(id, url, F.array_join(F.transform(main, lambda b: b["blocks"]), "\n\n").alias("text"))
 
 

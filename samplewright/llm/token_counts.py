@@ -2,8 +2,10 @@
 
 The first tier is a broadcast hash table of the lengths (numbers of tokens) of
 frequent pre-tokens: open addressing over 64-bit hashes, entries checked against
-their bytes, so a hit is exact. It is fitted on a bounded sample of rows, which
-affects speed only. Misses go to the worker's own cache, then to the tokenizer's
+their bytes, so a hit is exact. The frequent pre-tokens are the vocabulary's own
+entries: merges were learned in the order of frequency, so they hold the common
+words, their number is fixed, and no pass over the texts is needed to find them.
+Misses, words that only this corpus has often among them, go to the worker's own cache, then to the tokenizer's
 merges. A text is split into pre-tokens as the tokenizer does: special tokens
 first, then NFC, lower case by character, and the vocabulary file's pattern.
 
@@ -16,7 +18,6 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -34,8 +35,8 @@ from .common import on_workers, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 LIMIT = 2048
-#: Rows and entries of the frequent tier; both bound it, neither changes results.
-SAMPLE_ROWS, FREQUENT = 2000, 1 << 16
+#: Entries of the frequent tier at most, the first of the vocabulary; the number doesn't change results.
+FREQUENT = 1 << 16
 CACHE_SIZE, CHUNK_CHARS = 1 << 18, 1 << 20
 
 
@@ -122,28 +123,28 @@ class FrequentLengths:
         return out
 
 
-def frequent(df: DataFrame, text: str = "text", path: str = VOCABULARY, rows: int = SAMPLE_ROWS, entries: int = FREQUENT) -> FrequentLengths:
-    """The first tier, from at most `rows` rows of df."""
-    on_workers(df.sparkSession)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, seen = splitter(path), Counter()
-        for batch in batches:
-            for t in batch["t"]:
-                seen.update(own.split(t)[0])
-            seen = Counter(dict(seen.most_common(4 * entries)))
-        top = [t for t, _ in seen.most_common(entries) if len(t) <= 64]
-        yield pd.DataFrame({"token": top, "length": [own.length(t) for t in top]})
-
-    sample = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).limit(rows).coalesce(1)
-    return FrequentLengths({r.token: r.length for r in sample.mapInPandas(count, "token string, length long").collect()})
+def frequent(path: str = VOCABULARY, entries: int = FREQUENT) -> FrequentLengths:
+    """The first tier, from the vocabulary's entries in their order."""
+    own = splitter(path)
+    with open(path, encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    byte_of = {letter: b for b, letter in own.letters.items()}
+    found: dict[str, int] = {}
+    for entry in sorted(vocabulary, key=vocabulary.get)[:entries]:
+        if all(c in byte_of for c in entry):
+            try:
+                token = bytes(byte_of[c] for c in entry).decode("utf-8")
+            except UnicodeDecodeError:
+                continue  # part of a character
+            found[token] = own.length(token)
+    return FrequentLengths(found)
 
 
 def counted(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str = VOCABULARY) -> DataFrame:
     """keep, then n_bytes and n_tokens of each text."""
     spark = df.sparkSession
     on_workers(spark)
-    sent = spark.sparkContext.broadcast(frequent(df, text, path))
+    sent = spark.sparkContext.broadcast(frequent(path))
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -7,12 +7,15 @@ apart meet again. The fingerprint samples the walk at fixed steps, SAMPLES in
 each octave of steps, so it covers texts of any length whole and its size grows
 with the logarithm only; each sample is one hex digit of a hash of its place and
 character. Two fingerprints' likeness estimates the share of equal steps. Bands
-of samples serve as keys to find candidates, which likeness then verifies.
+of samples serve as keys to find candidates, which likeness then verifies; what
+is alike forms classes. Coins repeat after PERIOD steps and characters fall into
+256 classes, so texts that differ only in characters of one class can't be told
+apart. Ids must be whole numbers (long).
 
 Defined results. Null and empty texts have an empty fingerprint; two of them
 have likeness 1, an empty one and another 0. Equal texts have equal
-fingerprints. In the order of documents null ids come last and equal ids are
-ordered by their texts' hash; a single document is its own next one. An empty
+fingerprints. In the order of documents null ids come last and rows of equal ids
+are ordered by their texts' hash; a single document is its own next one. An empty
 table gives an empty table. Only the id and the text are read.
 """
 
@@ -24,14 +27,21 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import on_workers, table
+from .common import joined_spread, on_workers, table, written
+from .shingles import links
+from .simhash import components
 
+#: Likeness from which fingerprints link.
+LEAST = 0.8
 SEED, SAMPLES, PERIOD = 42, 32, 4096
 OCTAVES = 40
 BANDS, BAND_WIDTH = 8, 6
+#: Characters read at a time, and buckets that rows without an id are dealt over.
+CHUNK, NULL_BUCKETS = 1 << 20, 64
 
 
 @lru_cache(maxsize=1)
@@ -64,6 +74,11 @@ class Walk:
         return Walk(self.step, self.seen)
 
     def read(self, text: str) -> Walk:
+        for k in range(0, len(text), CHUNK):
+            self._read(text[k : k + CHUNK])
+        return self
+
+    def _read(self, text: str) -> None:
         hold, at, _, _ = _walk()
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         classes = ((codes + 37 * (codes >> 8)) & 255).astype(np.uint8).tobytes()
@@ -75,7 +90,6 @@ class Walk:
                 seen.append(c)
                 target = at[len(seen)]
         self.step = j
-        return self
 
     def fingerprint(self) -> str:
         if not self.seen:
@@ -112,18 +126,22 @@ def with_fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] =
     return df.select(*keep, of(F.coalesce(F.col(text), F.lit(""))).alias("fingerprint"))
 
 
-def band_keys(found: str) -> list[str]:
+@lru_cache(maxsize=None)
+def _picks(octave: int, level: int) -> np.ndarray:
+    """The samples of each band of an octave; another level has other ones."""
+    ends, rng = _octave_ends(), np.random.default_rng((SEED, octave, level))
+    span = int(ends[octave] - ends[octave - 1])
+    return ends[octave - 1] + np.stack([rng.choice(span, min(BAND_WIDTH, span), replace=False) for _ in range(BANDS)])
+
+
+def band_keys(found: bytes, level: int = 0) -> list[int]:
     """Keys from samples of the last two octaves that a walk has passed whole."""
-    ends = _octave_ends()
-    last = int(np.searchsorted(ends, len(found), "right")) - 1
+    last = int(np.searchsorted(_octave_ends(), len(found), "right")) - 1
+    digits = np.frombuffer(found, np.uint8)
     out = []
     for k in range(max(1, last - 1), last + 1):
-        rng = np.random.default_rng((SEED, k))
-        for b in range(BANDS):
-            span = ends[k] - ends[k - 1]
-            picks = ends[k - 1] + rng.choice(span, min(BAND_WIDTH, span), replace=False)
-            out.append(f"{k}:{b}:" + "".join(found[p] for p in picks))
-    return out or [f"whole:{found}"]
+        out += [xxhash.xxh64_intdigest(row.tobytes(), k << 8 | b) - (1 << 63) for b, row in enumerate(digits[_picks(k, level)])]
+    return out or [xxhash.xxh64_intdigest(found) - (1 << 63)]
 
 
 @lru_cache(maxsize=1)
@@ -133,59 +151,57 @@ def _octave_ends() -> np.ndarray:
     return np.searchsorted(at, [1 << k for k in range(OCTAVES + 1)])
 
 
-def _forest(ids: list[int], prints: list[str], least: float) -> list[tuple[int, int, float]]:
-    """Links (id, near_id, likeness) that connect all that are alike; of each the smaller id comes first."""
-    order = sorted(range(len(ids)), key=ids.__getitem__)
-    size = np.array([len(prints[k]) for k in order], np.int64)
-    digits = np.zeros((len(order), size.max(initial=0)), np.uint8)
-    for row, k in enumerate(order):
-        digits[row, : len(prints[k])] = np.frombuffer(prints[k].encode(), np.uint8)
-    weight = _walk()[2][: digits.shape[1]]
-    whole = np.concatenate(([0.0], np.cumsum(weight)))
-    label, out = np.arange(len(order)), []
-    for k in range(len(order) - 1):
-        far = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
-        share = (digits[far, : size[k]] == digits[k, : size[k]]) @ weight[: size[k]] / np.maximum(whole[np.maximum(size[far], size[k])], 1)
-        for j in far[(share - 1 / 16) / (15 / 16) >= least - 1e-9].tolist():
-            if label[j] != label[k] and (near := likeness(prints[order[k]], prints[order[j]])) >= least:
-                label[label == label[j]] = label[k]
-                out.append((ids[order[j]], ids[order[k]], near))
-    return out
-
-
-def near_copies(found: DataFrame, least: float = 0.8, id: str = "doc_id") -> DataFrame:
-    """found (id, fingerprint) to verified links (id, near_id, likeness).
-
-    Documents of equal fingerprints are one node and link to its smallest id. The
-    nodes of a key are compared with each other as long as no links connect them,
-    in one task; a forest of the links leaves it, not pairs. So a key costs its
-    number of nodes times that of its unconnected parts.
+class Prints:
+    """How stored fingerprints are compared (see shingles.links)."""
+
+    similarity = staticmethod(lambda a, b: likeness(bytes(a).decode(), bytes(b).decode()))
+    keys = staticmethod(lambda stored, level: band_keys(bytes(stored), level))
+
+    @staticmethod
+    def forest(rows: list[tuple], least: float) -> Iterator[tuple[int, int]]:
+        """Links that connect what is alike among rows (point, component, found, digits) of a key."""
+        size = np.array([len(r[2]) for r in rows], np.int64)
+        digits = np.zeros((len(rows), size.max(initial=0)), np.uint8)
+        for row, r in enumerate(rows):
+            digits[row, : len(r[2])] = np.frombuffer(r[2], np.uint8)
+        weight = _walk()[2][: digits.shape[1]]
+        whole = np.concatenate(([0.0], np.cumsum(weight)))
+        label = np.unique([r[1] for r in rows], return_inverse=True)[1]
+        for k in range(len(rows) - 1):
+            far = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
+            for at in range(0, len(far), 4096):
+                part = far[at : at + 4096]
+                share = (digits[part, : size[k]] == digits[k, : size[k]]) @ weight[: size[k]] / np.maximum(whole[np.maximum(size[part], size[k])], 1)
+                for j in part[(share - 1 / 16) / (15 / 16) >= least - 1e-9].tolist():
+                    if label[j] != label[k] and Prints.similarity(rows[k][2], rows[j][2]) >= least:
+                        label[label == label[j]] = label[k]
+                        yield rows[k][0], rows[j][0]
+
+
+def near_classes(found: DataFrame, least: float = LEAST, id: str = "doc_id") -> DataFrame:
+    """found (id, fingerprint, ..., stored) with near_class: the smallest id within reach of links of that likeness or more.
+
+    Equal fingerprints are one node. Nodes that share a band are candidates, and
+    every link is verified: each node against its band's smallest one by a join,
+    then those that are not connected yet among each other, wide bands dealt out
+    by further samples first.
     """
     on_workers(found.sparkSession)
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<long>")
     def keys(rows: pd.Series) -> pd.Series:
-        return pd.Series([band_keys(r) for r in rows], dtype=object)
+        return pd.Series([band_keys(bytes(r)) for r in rows], dtype=object)
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ids, prints = None, [], []  # a key's rows may span batches
-        for batch in batches:
-            out = []
-            for k, doc, f in zip(batch["key"], batch["doc_id"], batch["fingerprint"], strict=True):
-                if k != key:
-                    out += _forest(ids, prints, least)
-                    key, ids, prints = k, [], []
-                ids.append(doc)
-                prints.append(f)
-            yield pd.DataFrame(out, columns=["doc_id", "near_id", "likeness"])
-        yield pd.DataFrame(_forest(ids, prints, least), columns=["doc_id", "near_id", "likeness"])
-
-    rows = found.select(F.col(id).cast("long").alias("doc_id"), "fingerprint").where("doc_id IS NOT NULL")
-    nodes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    equal = rows.join(nodes, "fingerprint").where("doc_id != first").select("doc_id", F.col("first").alias("near_id"), F.lit(1.0).alias("likeness")).distinct()
-    banded = nodes.select(F.col("first").alias("doc_id"), "fingerprint", F.explode(keys("fingerprint")).alias("key"))
-    linked = banded.repartition("key").sortWithinPartitions("key").mapInPandas(compare, "doc_id long, near_id long, likeness double")
-    return equal.unionByName(linked.distinct())
+    rows = found.withColumn("point", F.xxhash64("fingerprint"))
+    nodes = written(rows.groupBy("point").agg(F.min(id).alias("low"), F.count("*").alias("_rows"), F.first("fingerprint").cast("binary").alias("found")))
+    keyed = nodes.select(F.explode(keys("found")).alias("key"), "point").distinct()
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keyed = written(keyed.join(shared, "key"))
+    sets = written(nodes.join(keyed.select("point").distinct(), "point", "left_semi").select("point", "found", F.lit(b"").alias("digits")))
+    classes = components(nodes.select("point", "low"), links(keyed, sets, least, Prints))
+    # A class of rows without ids has none.
+    named = nodes.join(classes, "point", "left").select("point", F.when(F.col("class").isNull(), F.col("low")).otherwise(F.col("component")).alias("near_class"), "_rows")
+    return joined_spread(rows, written(named), ["point"]).drop("point")
 
 
 def in_order(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,17 +216,18 @@ def in_order(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     ids = df.select(F.col(id).cast("double").alias("i"))
     edges = np.unique(ids.approxQuantile("i", [k / parts for k in range(1, parts)], 0.25 / parts) or [0.0])
 
-    @F.pandas_udf("int")
-    def bucket_of(i: pd.Series) -> pd.Series:
-        return pd.Series(np.where(i.isna(), -1, np.searchsorted(edges, i.to_numpy(float, na_value=0.0), "right"))).astype("int32")
-
-    placed = df.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("bucket", bucket_of(F.col("doc_id")))
-    # One row a bucket, at most `parts` + 1.
-    first = placed.groupBy("bucket").agg(F.max("doc_id").alias("first")).orderBy("bucket").collect()
+    # Some hundred edges, searched by built-in functions. Rows without an id come after all others, from large hashes to small.
+    below = F.size(F.filter(F.lit([float(e) for e in edges]), lambda e: e <= F.col("doc_id").cast("double")))
+    null = F.floor((F.xxhash64("text").cast("double") / 2.0**64 + 0.5) * NULL_BUCKETS).cast("int") - NULL_BUCKETS - 1
+    placed = df.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    placed = placed.withColumn("bucket", F.when(F.col("doc_id").isNull(), null).otherwise(below))
+    # One row a bucket, at most `parts` + NULL_BUCKETS + 1.
+    first = placed.groupBy("bucket").agg(F.max("doc_id").alias("first"), F.max(F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).alias("hash")).orderBy("bucket").collect()
     before = {row["bucket"]: first[(k + 1) % len(first)]["bucket"] for k, row in enumerate(first)}
-    heads = spark.createDataFrame([(r["bucket"], r["first"], before[r["bucket"]]) for r in first], "bucket int, first long, before int")
+    heads = spark.createDataFrame([(r["bucket"], r["first"], r["hash"], before[r["bucket"]]) for r in first], "bucket int, first long, hash long, before int")
     rows = placed.join(F.broadcast(heads), "bucket")
-    also = F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.array(F.struct("bucket", F.lit(0).alias("tail")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("tail"))))
+    leads = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("doc_id").isNotNull() | (F.xxhash64("text") == F.col("hash")))
+    also = F.when(leads, F.array(F.struct("bucket", F.lit(0).alias("tail")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("tail"))))
     rows = rows.select("doc_id", "text", F.explode(F.coalesce(also, F.array(F.struct("bucket", F.lit(0).alias("tail"))))).alias("_p"))
     rows = rows.select("_p.bucket", "_p.tail", "doc_id", "text", F.xxhash64("text").alias("h"))
     return rows.repartition("bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), F.col("h").desc()).drop("h")
@@ -252,5 +269,5 @@ def _row(held: tuple, next_text: str, next_found: str) -> tuple:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10: fingerprints and likeness of every document."""
-    return edited_likeness(table(spark, sf_dir, "documents"))
+    """op10: fingerprints and likeness of every document, and its class of near copies."""
+    return near_classes(written(edited_likeness(table(spark, sf_dir, "documents"))))

@@ -76,11 +76,12 @@ def test_edits_cost_likeness_in_proportion():
     assert found == sorted(found, reverse=True) and found[0] == 1 and found[1] > 0.8 > 0.3 > found[3]
 
 
-def test_near_copies_cost_links_not_pairs(spark):
+def test_equal_fingerprints_are_one_class(spark):
     text = "the calm birds watch the river bank go by " * 20
-    rows = [(k, edit_fingerprint.fingerprint(text)) for k in range(200)] + [(900, edit_fingerprint.fingerprint("0123456789" * 90))]
-    links = edit_fingerprint.near_copies(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()
-    assert {r["doc_id"] for r in links} == set(range(1, 200)) and {r["near_id"] for r in links} == {0} and len(links) == 199
+    rows = [(k, edit_fingerprint.fingerprint(text)) for k in range(200)] + [(900, edit_fingerprint.fingerprint("0123456789" * 90)), (None, ""), (901, "")]
+    found = edit_fingerprint.written(spark.createDataFrame(rows, "doc_id long, fingerprint string"))
+    got = {r["doc_id"]: r["near_class"] for r in edit_fingerprint.near_classes(found).collect()}
+    assert got == {**{k: 0 for k in range(200)}, 900: 900, 901: 901, None: 901}
 
 
 def test_both_ways_to_find_url_rules(spark, monkeypatch):

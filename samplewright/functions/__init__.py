@@ -1 +1 @@
-
+"""Scalar functions: expressions, printed results, distributions' tail probabilities."""

@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .resampling import Keys, draw, jackknife, pairs
+from .resampling import Keys, draw, drawn, jackknife, pairs, present
 
 ROUNDS = 16
 
 
 def jackknife_with_centre(df: DataFrame, keys: Keys) -> DataFrame:
     """Jackknife samples, and the raw mean as the central row s = -1."""
-    centre = df.groupBy(*keys).agg(F.avg("v").alias("v")).select(*keys, F.lit(-1).cast("long").alias("s"), "v")
+    centre = present(df).groupBy(*keys).agg(F.avg("v").alias("v")).select(*keys, F.lit(-1).cast("long").alias("s"), "v")
     return jackknife(df, keys).withColumn("s", F.col("s").cast("long")).unionByName(centre)
 
 
@@ -24,13 +24,14 @@ def error_about_centre(df: DataFrame, keys: Keys) -> DataFrame:
     """(keys, central, error): jackknife error about the central row instead of the samples' mean."""
     sums = df.groupBy(*keys).agg(
         F.max(F.when(F.col("s") == -1, F.col("v"))).alias("central"), F.avg(F.when(F.col("s") >= 0, F.col("v"))).alias("_m"),
-        F.var_pop(F.when(F.col("s") >= 0, F.col("v"))).alias("_d"), F.count_if(F.col("s") >= 0).alias("_n"),
+        F.var_pop(F.when(F.col("s") >= 0, F.col("v"))).alias("_d"), F.count_if((F.col("s") >= 0) & F.col("v").isNotNull()).alias("_n"),
     )
     return sums.select(*keys, "central", F.expr("sqrt((_n - 1) * (_d + (_m - central) * (_m - central)))").alias("error"))
 
 
 def block_double_jackknife_covariance(df: DataFrame, key: str, size: int) -> DataFrame:
     """For each block left out the covariance of means over the samples outside it, in closed form without N * N / size rows."""
+    df = present(df)
     n = df.groupBy(key).agg((F.floor(F.count("*") / size) * size).alias("_n"))
     kept = df.join(n, key).where("s < _n").select(key, "s", "v")
     ij = [f"{key}_i", f"{key}_j"]
@@ -99,11 +100,24 @@ def told_apart(df: DataFrame) -> DataFrame:
     return named.select(F.when(F.col("_many"), F.concat_ws("_", "tag", F.col("size").cast("string"))).otherwise(F.col("tag")).alias("tag"), "size")
 
 
-def permuted(x: str, r: str, m: int) -> str:
-    """SQL for a round of swap-or-not: a permutation of 0 to m - 1, the same in Spark and in DuckDB."""
-    partner = f"((({draw(f'({r} + 77)', m)}) - {x} + {m}) % {m})"
-    high = f"greatest({x}, {partner})"
-    return f"(CASE WHEN {draw(f'({high} * {ROUNDS} + {r})', 2)} = 1 THEN {partner} ELSE {x} END)"
+def _offset(r: int, m: int, seed: int) -> int:
+    """A round's number below m: a place x may swap with this less x. Two draws, so that it covers any range."""
+    return (drawn(r + 77, 2147483647, seed) * 2147483648 + drawn(r + 777, 2147483647, seed)) % m
+
+
+def permuted(x: str, r: int, m: int, seed: int = 0) -> str:
+    """SQL for round r of swap-or-not: a permutation of 0 to m - 1 (m < 2^58), the same in Spark and in DuckDB."""
+    partner = f"((({_offset(r, m, seed)} - {x}) % {m} + {m}) % {m})"
+    return f"(CASE WHEN {draw(f'(greatest({x}, {partner}) * {ROUNDS} + {r})', 2, seed)} = 1 THEN {partner} ELSE {x} END)"
+
+
+def permutation(x: str, m: int, seed: int = 0) -> str:
+    """Spark SQL for all rounds: a pseudorandom permutation of 0 to m - 1. Lambdas name what a round uses more than once."""
+    rounds = ", ".join(f"named_struct('o', {_offset(r, m, seed)}L, 'r', {r}L)" for r in range(ROUNDS))
+    # After "array" Spark's lexer reads >> as the end of a type.
+    drawing = draw("h", 2, seed).replace("((h) >> 31)", "shiftright(h, 31)")
+    coin = f"transform(array(greatest(x, y) * {ROUNDS} + r.r), h -> {drawing})[0] = 1"
+    return f"aggregate(array({rounds}), {x}, (x, r) -> transform(array(pmod(r.o - x, {m}L)), y -> IF({coin}, y, x))[0])"
 
 
 def balanced_table(spark, n: int, boots: int, size: int = 1) -> DataFrame:
@@ -114,7 +128,7 @@ def balanced_table(spark, n: int, boots: int, size: int = 1) -> DataFrame:
     """
     blocks = n // size
     m = boots * blocks
-    place = F.expr(f"aggregate(sequence(0L, {ROUNDS - 1}L), id, (x, r) -> {permuted('x', 'r', m)})")
+    place = F.expr(permutation("id", m))
     drawn = spark.range(m).select(F.expr(f"id div {blocks}").alias("b"), F.expr(f"id % {blocks}").alias("_p"), (place % blocks).alias("_d"))
     within = drawn.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
     return within.select("b", (F.col("_p") * size + F.col("_k")).alias("pos"), (F.col("_d") * size + F.col("_k")).alias("s"))

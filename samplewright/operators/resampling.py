@@ -1,11 +1,15 @@
 """Resampling statistics on samples (keys, s, v): aggregates joined back by key.
 
 Totals come from partial aggregates and are joined to the samples, so no window
-holds a whole series in one task. What one sample, or two, can't give is null.
+holds a whole series in one task. What one sample, or two, can't give is null,
+and so is what divides by zero (a constant series has no autocorrelation, a
+series without error no weight). A null v is a missing sample: its row is left
+out first, so that means and counts agree.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -15,52 +19,66 @@ from pyspark.sql import Window as W
 Keys = Sequence[str]
 
 
+def present(df: DataFrame) -> DataFrame:
+    """The samples that aren't missing."""
+    return df.where("v IS NOT NULL")
+
+
+def matched(a: DataFrame, b: DataFrame, keys: Keys) -> DataFrame:
+    """(keys, v, _w): two quantities at the same keys; a key that only one of them has is an error when the result is read."""
+    names = F.concat_ws(", ", *(F.concat(F.lit(f"{k} = "), F.col(k).cast("string")) for k in keys))
+    both = a.select(*keys, "v", F.lit(True).alias("_a")).join(b.select(*keys, F.col("v").alias("_w"), F.lit(True).alias("_b")), list(keys), "full")
+    lone = F.col("_a").isNull() | F.col("_b").isNull()
+    return both.select(*keys, F.when(lone, F.raise_error(F.concat(F.lit("only one quantity has "), names)).cast("double")).otherwise(F.col("v")).alias("v"), "_w")
+
+
 def totals(df: DataFrame, keys: Keys) -> DataFrame:
     """Sum and number of samples of each series."""
-    return df.groupBy(*keys).agg(F.sum("v").alias("_sum"), F.count("*").alias("_n"))
+    return present(df).groupBy(*keys).agg(F.sum("v").alias("_sum"), F.count("*").alias("_n"))
 
 
 def moments(df: DataFrame, keys: Keys) -> DataFrame:
     """Mean, population variance and deviation, range, standard error, third and fourth standardised moments."""
-    return df.groupBy(*keys).agg(
+    return present(df).groupBy(*keys).agg(
         F.avg("v").alias("mean"), F.var_pop("v").alias("variance"), F.stddev_pop("v").alias("deviation"), F.min("v").alias("low"), F.max("v").alias("high"),
         F.try_divide(F.stddev_pop("v"), F.sqrt(F.count("*") - 1)).alias("standard_error"), F.skewness("v").alias("third"), (F.kurtosis("v") + 3).alias("fourth"),
     )
 
 
 def binned(df: DataFrame, keys: Keys, size: int) -> DataFrame:
-    """Means of `size` consecutive samples (s from 0); an incomplete last bin is cropped."""
-    bins = df.groupBy(*keys, F.floor(F.col("s") / size).alias("_b")).agg(F.avg("v").alias("v"), F.count("*").alias("_n"))
+    """Means of `size` consecutive samples (s from 0); an incomplete bin, as the last may be, is cropped."""
+    bins = present(df).groupBy(*keys, F.floor(F.col("s") / size).alias("_b")).agg(F.avg("v").alias("v"), F.count("*").alias("_n"))
     return bins.where(F.col("_n") == size).select(*keys, F.col("_b").alias("s"), "v")
 
 
 def jackknife(df: DataFrame, keys: Keys) -> DataFrame:
     """Averages over all samples but one."""
-    return df.join(totals(df, keys), list(keys)).select(*keys, "s", F.try_divide(F.col("_sum") - F.col("v"), F.col("_n") - 1).alias("v"))
+    return present(df).join(totals(df, keys), list(keys)).select(*keys, "s", F.try_divide(F.col("_sum") - F.col("v"), F.col("_n") - 1).alias("v"))
 
 
 def jackknife_error(df: DataFrame, keys: Keys) -> DataFrame:
     """Mean and error of jackknife samples."""
-    return df.groupBy(*keys).agg(F.avg("v").alias("mean"), F.sqrt((F.count("*") - 1) * F.var_pop("v")).alias("error"))
+    return present(df).groupBy(*keys).agg(F.avg("v").alias("mean"), F.sqrt((F.count("*") - 1) * F.var_pop("v")).alias("error"))
 
 
 def unjackknife(df: DataFrame, keys: Keys) -> DataFrame:
     """Raw samples that jackknife samples of a mean come from."""
     n = F.col("_n")
-    return df.join(totals(df, keys), list(keys)).select(*keys, "s", (F.col("_sum") - (n - 1) * F.col("v")).alias("v"))
+    return present(df).join(totals(df, keys), list(keys)).select(*keys, "s", (F.col("_sum") - (n - 1) * F.col("v")).alias("v"))
 
 
 def pairs(df: DataFrame, key: str) -> DataFrame:
     """(key_i, key_j, s, x, y) with key_i <= key_j: samples of two series with the same index."""
+    df = present(df)
     left = df.select(F.col(key).alias(f"{key}_i"), "s", F.col("v").alias("x"))
     right = df.select(F.col(key).alias(f"{key}_j"), "s", F.col("v").alias("y"))
     return left.join(right, "s").where(F.col(f"{key}_i") <= F.col(f"{key}_j"))
 
 
 def covariance(df: DataFrame, key: str, kind: str = "raw") -> DataFrame:
-    """Covariance of means between series, from raw or jackknife samples."""
+    """Covariance of means between series, from raw, jackknife or bootstrap samples."""
     n = F.count("*") - 1
-    value = F.try_divide(F.covar_pop("x", "y"), n) if kind == "raw" else F.covar_pop("x", "y") * n
+    value = {"raw": F.try_divide(F.covar_pop("x", "y"), n), "jackknife": F.covar_pop("x", "y") * n, "bootstrap": F.covar_pop("x", "y")}[kind]
     return pairs(df, key).groupBy(f"{key}_i", f"{key}_j").agg(value.alias("covariance"))
 
 
@@ -75,6 +93,7 @@ def double_jackknife_covariance(df: DataFrame, key: str) -> DataFrame:
 
 def double_jackknife(df: DataFrame, keys: Keys) -> DataFrame:
     """(keys, s, inner, v): averages over all samples but two. N * N rows, so bin first."""
+    df = present(df)
     other = df.select(*keys, F.col("s").alias("inner"), F.col("v").alias("_w"))
     two = df.join(totals(df, keys), list(keys)).join(other, list(keys)).where("s <> inner")
     return two.select(*keys, "s", "inner", F.expr("try_divide(_sum - v - _w, _n - 2)").alias("v"))
@@ -82,6 +101,7 @@ def double_jackknife(df: DataFrame, keys: Keys) -> DataFrame:
 
 def block_double_jackknife(df: DataFrame, keys: Keys, size: int) -> DataFrame:
     """(keys, block, s, v): averages without a block of samples and one more sample outside it."""
+    df = present(df)
     n = df.groupBy(*keys).agg((F.floor(F.count("*") / size) * size).alias("_n"))
     kept = df.join(n, list(keys)).where("s < _n").withColumn("block", F.floor(F.col("s") / size))
     blocks = kept.groupBy(*keys, "block").agg(F.sum("v").alias("_part"))
@@ -93,25 +113,40 @@ def block_double_jackknife(df: DataFrame, keys: Keys, size: int) -> DataFrame:
 def resample_table(spark, n: int, boots: int, size: int = 1, seed: int = 1234) -> DataFrame:
     """(b, pos, s): for each boot n - n mod size draws, in blocks of `size` neighbours, by a fixed hash."""
     blocks = n // size
-    draws = spark.range(boots * blocks).select(F.expr(f"id div {blocks}").alias("b"), F.expr(f"id % {blocks}").alias("_p"), F.expr(draw(f"(id + {seed})", blocks)).alias("_d"))
+    draws = spark.range(boots * blocks).select(F.expr(f"id div {blocks}").alias("b"), F.expr(f"id % {blocks}").alias("_p"), F.expr(draw("id", blocks, seed)).alias("_d"))
     within = draws.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
     return within.select("b", (F.col("_p") * size + F.col("_k")).alias("pos"), (F.col("_d") * size + F.col("_k")).alias("s"))
 
 
-def draw(x: str, n: int) -> str:
-    """SQL for a pseudorandom number below n; the same in Spark and in DuckDB.
+def _constants(seed: int) -> list[int]:
+    return [zlib.crc32(f"{seed}:{k}".encode()) % 2147483646 + 1 for k in range(3)]
+
+
+def drawn(x: int, n: int, seed: int = 0) -> int:
+    """The number that draw() gives for x."""
+    m, (a, b, c) = 2147483647, _constants(seed)
+    first = (x % m * 48271 + (x >> 31) % m * 69621 + a) % m
+    second = (first * first % m * b + first) % m
+    return (second * second % m * 69621 + second + c) % m % n
+
+
+def draw(x: str, n: int, seed: int = 0) -> str:
+    """SQL for a pseudorandom number below n (n < 2^31) from a whole number x; the same in Spark and in DuckDB.
 
     Rounds of multiplication alone would stay linear in x and leave neighbouring
-    draws correlated, so two of the rounds square.
+    draws correlated, so two of the rounds square. The seed sets constants of
+    several rounds, so another seed's draws aren't these ones moved along. All 62
+    bits of x count.
     """
-    m = 2147483647
-    first = f"(({x} % {m} * 48271 + 12345) % {m})"
-    second = f"(({first} * {first} % {m} * 48271 + {first}) % {m})"
-    return f"(({second} * {second} % {m} * 69621 + {second}) % {m} % {n})"
+    m, (a, b, c) = 2147483647, _constants(seed)
+    first = f"(({x} % {m} * 48271 + (({x}) >> 31) % {m} * 69621 + {a}) % {m})"
+    second = f"(({first} * {first} % {m} * {b} + {first}) % {m})"
+    return f"(({second} * {second} % {m} * 69621 + {second} + {c}) % {m} % {n})"
 
 
 def bootstrap(df: DataFrame, table: DataFrame, keys: Keys) -> DataFrame:
     """(keys, s, v): a mean for each boot, and the raw mean as the central row s = -1."""
+    df = present(df)
     boots = df.join(table, "s").groupBy(*keys, F.col("b").alias("_b")).agg(F.avg("v").alias("v"))
     central = df.groupBy(*keys).agg(F.avg("v").alias("v"))
     return boots.select(*keys, F.col("_b").alias("s"), "v").unionByName(central.select(*keys, F.lit(-1).cast("long").alias("s"), "v"))
@@ -119,6 +154,7 @@ def bootstrap(df: DataFrame, table: DataFrame, keys: Keys) -> DataFrame:
 
 def bootstrap_error(df: DataFrame, keys: Keys, confidence: int = 68) -> DataFrame:
     """Central value, standard error about the boots' mean, and the confidence region's edges."""
+    df = present(df)
     ranked = df.where("s >= 0").withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy("v", "s")) - 1)
     n = df.where("s >= 0").groupBy(*keys).agg(F.count("*").alias("_n"))
     omit = (100 - confidence) // 2
@@ -131,34 +167,42 @@ def bootstrap_error(df: DataFrame, keys: Keys, confidence: int = 68) -> DataFram
 
 def autocorrelation(df: DataFrame, keys: Keys, most: int) -> DataFrame:
     """(keys, lag, c, tau): autocorrelation by lag up to `most`, and its integral from 1/2."""
+    df = present(df)
     stats = df.groupBy(*keys).agg(F.avg("v").alias("_mean"), F.var_pop("v").alias("_var"))
     left = df.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("_at", F.col("s") + F.col("lag"))
     right = df.select(*keys, F.col("s").alias("_at"), F.col("v").alias("_w"))
-    by_lag = left.join(right, [*keys, "_at"]).join(stats, list(keys)).groupBy(*keys, "lag").agg(F.avg(F.expr("(v - _mean) * (_w - _mean) / _var")).alias("c"))
+    by_lag = left.join(right, [*keys, "_at"]).join(stats, list(keys)).groupBy(*keys, "lag").agg(F.avg(F.expr("try_divide((v - _mean) * (_w - _mean), _var)")).alias("c"))
     upto = W.partitionBy(*keys).orderBy("lag")
     return by_lag.withColumn("tau", F.sum(F.when(F.col("lag") == 0, F.lit(0.5)).otherwise(F.col("c"))).over(upto))
 
 
-def weighted_average(df: DataFrame, key: str) -> DataFrame:
-    """(s, v): jackknife samples of the average of series, weighted by their inverse squared errors."""
-    weights = jackknife_error(df, [key]).select(key, (1 / F.col("error") ** 2).alias("_w"))
-    return df.join(weights, key).groupBy("s").agg((F.sum(F.col("_w") * F.col("v")) / F.sum("_w")).alias("v"))
+def _weights(df: DataFrame, keys: Keys) -> DataFrame:
+    """(keys, _w): inverse squared jackknife errors; null where there is no error."""
+    return jackknife_error(df, keys).select(*keys, F.try_divide(F.lit(1.0), F.col("error") * F.col("error")).alias("_w"))
+
+
+def weighted_average(df: DataFrame, key: str, keys: Keys = ()) -> DataFrame:
+    """(keys, s, v): jackknife samples of the average of series, weighted by their inverse squared errors. A series without error makes it null."""
+    weighed = present(df).join(_weights(df, [*keys, key]), [*keys, key])
+    value = F.try_divide(F.sum(F.col("_w") * F.col("v")), F.sum("_w"))
+    return weighed.groupBy(*keys, "s").agg(F.when(~F.bool_or(F.col("_w").isNull()), value).alias("v"))
 
 
 def effective_mass(df: DataFrame, t: str = "t") -> DataFrame:
-    """(t, s, v): logarithm of the ratio of neighbouring times; ratios that aren't positive are left out."""
-    following = df.select((F.col(t) - 1).alias(t), "s", F.col("v").alias("_w"))
-    return df.join(following, [t, "s"]).where("v / _w > 0").select(t, "s", F.log(F.col("v") / F.col("_w")).alias("v"))
+    """(t, s, v): logarithm of the ratio of neighbouring times; a t where any sample's ratio isn't positive drops out whole."""
+    following = present(df).select((F.col(t) - 1).alias(t), "s", F.col("v").alias("_w"))
+    ratios = present(df).join(following, [t, "s"]).select(t, "s", F.try_divide("v", "_w").alias("_r"))
+    whole = ratios.groupBy(t).agg(F.bool_and(F.coalesce(F.col("_r") > 0, F.lit(False))).alias("_ok")).where("_ok").select(t)
+    return ratios.join(whole, t, "left_semi").select(t, "s", F.log("_r").alias("v"))
 
 
 def line_fit(df: DataFrame, t: str = "t") -> DataFrame:
-    """(s, a, b, chi2): for each jackknife sample the line a + b t by weighted least squares."""
-    errors = jackknife_error(df, [t]).select(t, (1 / F.col("error") ** 2).alias("_w"))
+    """(s, a, b, chi2): for each jackknife sample the line a + b t by weighted least squares; null if a t has no error or all are one t."""
     w, x, y = F.col("_w"), F.col(t), F.col("v")
-    sums = df.join(errors, t).groupBy("s").agg(
-        F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * y).alias("wy"), F.sum(w * x * x).alias("wxx"), F.sum(w * x * y).alias("wxy"), F.sum(w * y * y).alias("wyy")
+    sums = present(df).join(_weights(df, [t]), t).groupBy("s").agg(
+        F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * y).alias("wy"), F.sum(w * x * x).alias("wxx"), F.sum(w * x * y).alias("wxy"), F.sum(w * y * y).alias("wyy"), F.bool_or(w.isNull()).alias("_no")
     )
-    fit = sums.withColumn("b", F.expr("(w * wxy - wx * wy) / (w * wxx - wx * wx)")).withColumn("a", F.expr("(wy - b * wx) / w"))
+    fit = sums.withColumn("b", F.expr("IF(_no, NULL, try_divide(w * wxy - wx * wy, w * wxx - wx * wx))")).withColumn("a", F.expr("try_divide(wy - b * wx, w)"))
     return fit.select("s", "a", "b", F.expr("wyy - a * wy - b * wxy").alias("chi2"))
 
 
@@ -170,15 +214,15 @@ def superjackknife_error(df: DataFrame, keys: Keys, ensemble: str) -> DataFrame:
 
 def relative_difference(a: DataFrame, b: DataFrame, keys: Keys) -> DataFrame:
     """2 (b - a) / (a + b) for each jackknife sample."""
-    other = b.select(*keys, "s", F.col("v").alias("_w"))
-    return a.join(other, [*keys, "s"]).select(*keys, "s", F.expr("2 * (_w - v) / (_w + v)").alias("v"))
+    return matched(a, b, [*keys, "s"]).select(*keys, "s", F.expr("try_divide(2 * (_w - v), _w + v)").alias("v"))
 
 
 def jackknife_to_double(df: DataFrame, keys: Keys) -> DataFrame:
     """(keys, s, inner, v): double jackknife of a mean from its jackknife samples. N * N rows, so bin first."""
+    df = present(df)
     other = df.select(*keys, F.col("s").alias("inner"), F.col("v").alias("_w"))
     two = df.join(totals(df, keys), list(keys)).join(other, list(keys)).where("s <> inner")
-    return two.select(*keys, "s", "inner", F.expr("(_n - 1) / (_n - 2) * (v + _w - _sum / (_n - 1))").alias("v"))
+    return two.select(*keys, "s", "inner", F.expr("try_divide(_n - 1, _n - 2) * (v + _w - try_divide(_sum, _n - 1))").alias("v"))
 
 
 def double_to_jackknife(df: DataFrame, keys: Keys) -> DataFrame:
@@ -188,6 +232,7 @@ def double_to_jackknife(df: DataFrame, keys: Keys) -> DataFrame:
 
 def boot_jackknife(df: DataFrame, table: DataFrame, keys: Keys) -> DataFrame:
     """(keys, b, s, v): a jackknife inside each boot, and that of the raw samples as boot -1."""
+    df = present(df)
     boots = df.join(table, "s").select(*keys, "b", F.col("pos").alias("s"), "v").unionByName(df.select(*keys, F.lit(-1).cast("long").alias("b"), "s", "v"))
     return jackknife(boots, [*keys, "b"])
 
@@ -203,7 +248,7 @@ def neighbour_table(spark, n: int, boots: int, size: int, circular: bool = False
     """(b, pos, s): as resample_table, but blocks start at any sample; circular ones run on from the last to the first."""
     blocks = n // size
     starts = n if circular else n - size + 1
-    draws = spark.range(boots * blocks).select(F.expr(f"id div {blocks}").alias("b"), F.expr(f"id % {blocks}").alias("_p"), F.expr(draw(f"(id + {seed})", starts)).alias("_d"))
+    draws = spark.range(boots * blocks).select(F.expr(f"id div {blocks}").alias("b"), F.expr(f"id % {blocks}").alias("_p"), F.expr(draw("id", starts, seed)).alias("_d"))
     within = draws.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
     return within.select("b", (F.col("_p") * size + F.col("_k")).alias("pos"), ((F.col("_d") + F.col("_k")) % n).alias("s"))
 
@@ -211,6 +256,7 @@ def neighbour_table(spark, n: int, boots: int, size: int, circular: bool = False
 def super_boost(df: DataFrame, keys: Keys, ensemble: str, layout: dict[str, int]) -> DataFrame:
     """(keys, ens, s, v): jackknife samples of one ensemble on the layout of all; elsewhere their mean."""
     slots = F.array(*(F.struct(F.lit(e).alias("ens"), F.lit(n).alias("n")) for e, n in layout.items()))
+    df = present(df)
     means = df.groupBy(*keys).agg(F.avg("v").alias("_m")).withColumn("_e", F.explode(slots))
     filled = means.select(*keys, "_m", "_e.ens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_e.n").cast("long") - 1)).alias("s"))
     own = df.select(*keys, F.lit(ensemble).alias("ens"), F.col("s").cast("long").alias("s"), "v")
@@ -220,11 +266,12 @@ def super_boost(df: DataFrame, keys: Keys, ensemble: str, layout: dict[str, int]
 def supermulti_error(df: DataFrame, keys: Keys, ensemble: str, kind: str) -> DataFrame:
     """Root of the summed squared errors of independent ensembles, jackknife (J) or bootstrap (B) each by its own formula."""
     of = F.var_pop("v") * F.when(F.col(kind) == "J", F.count("*") - 1).otherwise(1)
-    return df.groupBy(*keys, ensemble, kind).agg(of.alias("_e")).groupBy(*keys).agg(F.sqrt(F.sum("_e")).alias("error"))
+    return present(df).groupBy(*keys, ensemble, kind).agg(of.alias("_e")).groupBy(*keys).agg(F.sqrt(F.sum("_e")).alias("error"))
 
 
 def bootstrap_autocorrelation(df: DataFrame, keys: Keys, most: int, size: int, boots: int, n: int, seed: int = 1234) -> DataFrame:
     """(keys, lag, s, v): for each boot the binned lag products' mean over that of lag 0; n - most pairs at every lag."""
+    df = present(df)
     mean = df.groupBy(*keys).agg(F.avg("v").alias("_mean"))
     left = df.where(F.col("s") < n - most).withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("_at", F.col("s") + F.col("lag"))
     right = df.select(*keys, F.col("s").alias("_at"), F.col("v").alias("_w"))
@@ -233,3 +280,28 @@ def bootstrap_autocorrelation(df: DataFrame, keys: Keys, most: int, size: int, b
     drawn = bootstrap(binned(products, [*keys, "lag"], size), table, [*keys, "lag"])
     zero = drawn.where("lag = 0").select(*keys, "s", F.col("v").alias("_z"))
     return drawn.join(zero, [*keys, "s"]).select(*keys, "lag", "s", F.expr("try_divide(v, _z)").alias("v"))
+
+
+def jackknife_autocorrelation(df: DataFrame, keys: Keys, most: int, size: int, boots: int, n: int, seed: int = 1234) -> DataFrame:
+    """(keys, lag, s, v): autocorrelation of n jackknife samples by lag, with boots of its binned products.
+
+    All n - lag pairs of a lag count; a lag with fewer than two bins is left out.
+    Each lag's boots draw from the same resample table of its own length.
+    """
+    df = present(df)
+    stats = df.groupBy(*keys).agg(F.avg("v").alias("_mean"), F.var_pop("v").alias("_var"))
+    left = df.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("_at", F.col("s") + F.col("lag"))
+    right = df.select(*keys, F.col("s").alias("_at"), F.col("v").alias("_w"))
+    products = left.join(right, [*keys, "_at"]).join(stats, list(keys)).select(*keys, "lag", "s", F.expr("try_divide((v - _mean) * (_w - _mean), _var)").alias("v"))
+    bins = binned(products, [*keys, "lag"], size)
+    lengths = {lag: (n - lag) // size for lag in range(most + 1) if (n - lag) // size >= 2}
+    drawn = None
+    for lag, length in lengths.items():
+        own = bootstrap(bins.where(F.col("lag") == lag), resample_table(df.sparkSession, length, boots, seed=seed), [*keys, "lag"])
+        drawn = own if drawn is None else drawn.unionByName(own)
+    return drawn
+
+
+def bin_jackknife(df: DataFrame, keys: Keys, size: int) -> DataFrame:
+    """Jackknife of bins of `size` samples."""
+    return jackknife(binned(df, keys, size), keys)

@@ -6,12 +6,13 @@ of one sample only.
 
 from __future__ import annotations
 
-from math import gcd
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ensembles import permutation
+from .resampling import Keys, matched
+
 
 def _other(df: DataFrame, t) -> DataFrame:
     return df.select(t.cast(df.schema["t"].dataType).alias("t"), "s", F.col("v").alias("_w"))
@@ -47,16 +48,30 @@ def without_samples(df: DataFrame, start: int, stop: int) -> DataFrame:
 
 
 def scrambled(df: DataFrame, n: int, seed: int = 1234) -> DataFrame:
-    """All series under the same permutation of n samples, s to (a s + seed) mod n with a prime to n."""
-    a = next(a for a in range(max(1, n * 5 // 8), n + 2) if gcd(a, n) == 1)
-    return df.withColumn("s", F.pmod(F.col("s") * a + seed, F.lit(n)))
+    """All series under the same pseudorandom permutation of their n samples."""
+    return df.withColumn("s", F.expr(permutation("CAST(s AS BIGINT)", n, seed)))
+
+
+def numbered(df: DataFrame, keys: Keys, order: str, width: int = 65536) -> DataFrame:
+    """df with s: the place of each row within its keys in the order of a whole number, from 0.
+
+    Rows are ranked within ranges of `width` numbers, and ranges begin where the
+    sums of those before end, so no task holds a whole series.
+    """
+    ranged = df.withColumn("_range", F.floor(F.col(order) / width))
+    counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = W.partitionBy(*keys, "_range").orderBy(order)
+    ranked = ranged.withColumn("_k", F.row_number().over(within) - 1).join(starts, [*keys, "_range"])
+    return ranked.withColumn("s", F.col("_start") + F.col("_k")).drop("_range", "_start", "_k")
 
 
 def combined(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
-    """Two channels to one: average, difference, ratio (0 below: null) or sum."""
+    """Two channels to one: average, difference, ratio (0 below: null) or sum; coordinates of one channel only are an error."""
     x, y = F.col("v"), F.col("_w")
     value = {"average": (x + y) / 2, "difference": x - y, "ratio": F.try_divide(x, y), "sum": x + y}[how]
-    return a.join(_other(b, F.col("t")), ["t", "s"]).select("t", "s", value.alias("v"))
+    return matched(a, b, ["t", "s"]).select("t", "s", value.alias("v"))
 
 
 def correlation(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from samplewright.operators import ensembles as E
@@ -21,9 +20,9 @@ def samples(spark: SparkSession, sf_dir: str, value: str = "l_extendedprice") ->
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by type, numbered in the order of time."""
-    order = W.partitionBy("event_type").orderBy("event_id")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("t"), (F.row_number().over(order) - 1).cast("long").alias("s"), F.col("value").alias("v"))
+    """Events by type, numbered in the order of their ids."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("t"), "event_id", F.col("value").alias("v"))
+    return S.numbered(events, ["t"], "event_id").select("t", "s", "v")
 
 
 def _rounded(df: DataFrame, **digits: int) -> DataFrame:
@@ -74,7 +73,7 @@ _EV = "ev AS (SELECT event_type AS t, row_number() OVER (PARTITION BY event_type
 
 def _boots_sql(size: int) -> str:
     n = N // size
-    table = f"SELECT id // {n} AS b, {R.draw('(id + 1234)', n)} * {size} + k AS s FROM range({BOOTS * n}) r(id), range({size}) z(k)"
+    table = f"SELECT id // {n} AS b, {R.draw('id', n, 1234)} * {size} + k AS s FROM range({BOOTS * n}) r(id), range({size}) z(k)"
     return f"WITH {_LI}, tb AS ({table}), bt AS (SELECT t, b AS s, avg(v) AS v FROM li JOIN tb USING (s) GROUP BY t, b UNION ALL SELECT t, -1, avg(v) FROM li GROUP BY t)"
 
 
@@ -95,7 +94,7 @@ ORACLES = {
     "bootstrap_error": f"{_boots_sql(1)}, l AS (SELECT t, list_sort(list(v)) AS l, stddev_pop(v) AS e, count(*) AS n FROM bt WHERE s >= 0 GROUP BY t) SELECT t, round(v, 4) AS central, round(e, 4) AS error, round(l[1 + 16 * n // 100], 4) AS low, round(l[n - 16 * n // 100], 4) AS high FROM l JOIN (SELECT t, v FROM bt WHERE s = -1) USING (t)",
     "autocorrelation": f"WITH {_EV}, m AS (SELECT t, avg(v) AS m, var_pop(v) AS d FROM ev GROUP BY t), c AS (SELECT t, g::INT AS lag, avg((a.v - m) * (b.v - m) / d) AS c FROM ev a JOIN range(11) r(g) ON TRUE JOIN ev b ON a.t = b.t AND b.s = a.s + g JOIN m ON m.t = a.t GROUP BY a.t, g) SELECT t, lag, round(c, 6) AS c, round(sum(CASE lag WHEN 0 THEN 0.5 ELSE c END) OVER (PARTITION BY t ORDER BY lag), 6) AS tau FROM c".replace("SELECT t, g::INT", "SELECT a.t AS t, g::INT"),
     "weighted_average": f"WITH {_ER} SELECT s, round(sum(w * v) / sum(w), 4) AS v FROM jk JOIN er USING (t) GROUP BY s",
-    "effective_mass": f"WITH {_JK}, em AS (SELECT a.t AS t, ln(a.v / b.v) AS v FROM jk a JOIN jk b ON b.t = a.t + 1 AND a.s = b.s WHERE a.v / b.v > 0) SELECT t, round(avg(v), 8) AS mean, round(sqrt((count(*) - 1) * var_pop(v)), 8) AS error FROM em GROUP BY t",
+    "effective_mass": f"WITH {_JK}, em AS (SELECT a.t AS t, a.v / b.v AS r FROM jk a JOIN jk b ON b.t = a.t + 1 AND a.s = b.s), em2 AS (SELECT t, ln(r) AS v FROM em WHERE t IN (SELECT t FROM em GROUP BY t HAVING bool_and(r > 0))) SELECT t, round(avg(v), 8) AS mean, round(sqrt((count(*) - 1) * var_pop(v)), 8) AS error FROM em2 GROUP BY t",
     "line_fit": f"WITH {_ER}, m AS (SELECT s, sum(w * t) / sum(w) AS x, sum(w * v) / sum(w) AS y FROM jk JOIN er USING (t) GROUP BY s), f AS (SELECT s, x, y, sum(w * (t - x) * (v - y)) / sum(w * (t - x) ** 2) AS b FROM jk JOIN er USING (t) JOIN m USING (s) GROUP BY s, x, y) SELECT s, round(y - b * x, 3) AS a, round(b, 4) AS b, round(sum(w * (v - (y - b * x) - b * t) ** 2), 5) AS chi2 FROM jk JOIN er USING (t) JOIN f USING (s) GROUP BY s, x, y, b",
     "superjackknife_error": "WITH e AS (SELECT user_id % 10 AS t, user_id, avg(value) AS m, var_pop(value) / (count(*) - 1) AS e FROM events GROUP BY user_id) SELECT t, round(sum(m), 4) AS mean, round(sqrt(sum(e)), 6) AS error FROM e GROUP BY t",
     "relative_difference": f"WITH {_JK} SELECT t, s, round(2 * (q - v) / (q + v), 9) AS v FROM jk",
@@ -144,14 +143,24 @@ QUERIES |= {
 }
 
 POINTS, TARGET = [-1.0, 0.0, 1.5, 3.25, 6.0, 7.5], 35000.0
-_TB1 = f"tb AS (SELECT id // {N} AS b, id % {N} AS pos, {R.draw('(id + 1234)', N)} AS s FROM range({BOOTS * N}) r(id))"
+_TB1 = f"tb AS (SELECT id // {N} AS b, id % {N} AS pos, {R.draw('id', N, 1234)} AS s FROM range({BOOTS * N}) r(id))"
 _BJ = f"{_LI}, {_TB1}, bs AS (SELECT t, b, pos AS s, v FROM li JOIN tb USING (s) UNION ALL SELECT t, -1, s, v FROM li), bj AS (SELECT t, b, s, (sum(v) OVER w - v) / 49 AS v FROM bs WINDOW w AS (PARTITION BY t, b))"
 _PTS = ", ".join(f"({x})" for x in POINTS)
 
 
+def _permutation_ctes(m: int, seed: int) -> str:
+    """CTEs p0 to pROUNDS (id, x): a permutation, round by round."""
+    rounds = (f"p{r + 1} AS MATERIALIZED (SELECT id, {E.permuted('x', r, m, seed)} AS x FROM p{r})" for r in range(E.ROUNDS))
+    return ", ".join([f"p0 AS (SELECT id, id AS x FROM range({m}) z(id))", *rounds])
+
+
+def _scrambled_sql() -> str:
+    return f"WITH {_LI}, {_permutation_ctes(N, 1234)} SELECT t, x AS s, round(v, 4) AS v FROM li JOIN p{E.ROUNDS} ON s = id"
+
+
 def _neighbours_sql(circular: bool) -> str:
     n = N // BLOCK
-    table = f"SELECT id // {n} AS b, ({R.draw('(id + 1234)', N if circular else N - BLOCK + 1)} + k) % {N} AS s FROM range({BOOTS * n}) r(id), range({BLOCK}) z(k)"
+    table = f"SELECT id // {n} AS b, ({R.draw('id', N if circular else N - BLOCK + 1, 1234)} + k) % {N} AS s FROM range({BOOTS * n}) r(id), range({BLOCK}) z(k)"
     return f"WITH {_LI}, tb AS ({table}) SELECT t, b AS s, round(avg(v), 4) AS v FROM li JOIN tb USING (s) GROUP BY t, b UNION ALL SELECT t, -1, round(avg(v), 4) FROM li GROUP BY t"
 
 
@@ -162,7 +171,7 @@ ORACLES |= {
     "neighbour_difference": f"WITH {_LI} SELECT a.t, a.s, round(a.v - b.v, 4) AS v FROM li a JOIN li b ON a.s = b.s AND b.t = a.t + 1",
     "fixed_time_difference": f"WITH {_LI} SELECT a.t, a.s, round(a.v - b.v, 4) AS v FROM li a JOIN li b ON a.s = b.s AND b.t = 3",
     "remove_samples": f"WITH {_LI} SELECT t, row_number() OVER (PARTITION BY t ORDER BY s) - 1 AS s, round(v, 4) AS v FROM li WHERE s NOT BETWEEN 10 AND 19",
-    "scramble_samples": f"WITH {_LI} SELECT t, (s * 31 + 1234) % 50 AS s, round(v, 4) AS v FROM li",
+    "scramble_samples": _scrambled_sql(),
     "combine_channels": f"WITH {_LI} SELECT t, s, round(v / q, 6) AS v FROM li",
     "channel_correlation": f"WITH {_LI} SELECT t, round(corr(v, q), 7) AS correlation FROM li GROUP BY t",
     "shifted_product": f"WITH {_LI} SELECT (a.t - b.t + 7) % 7 AS t, a.s, round(avg(a.v * b.q), 2) AS v FROM li a JOIN li b ON a.s = b.s GROUP BY (a.t - b.t + 7) % 7, a.s",
@@ -178,7 +187,7 @@ ORACLES |= {
     "circular_bootstrap": _neighbours_sql(True),
     "super_boost": f"WITH {_JK} SELECT t, 'A' AS ens, s, round(v, 4) AS v FROM jk UNION ALL SELECT t, 'B', k, round(avg(v), 4) FROM jk, range(20) r(k) GROUP BY t, k",
     "supermulti_error": f"{_boots_sql(1)}, e AS (SELECT t, var_pop(v) / (count(*) - 1) AS e FROM li GROUP BY t UNION ALL SELECT t, var_pop(v) FROM bt WHERE s >= 0 GROUP BY t) SELECT t, round(sqrt(sum(e)), 4) AS error FROM e GROUP BY t",
-    "bootstrap_autocorrelation": f"WITH {_LI}, m AS (SELECT t, avg(v) AS m FROM li GROUP BY t), p AS (SELECT a.t AS t, b.s - a.s AS lag, a.s // 2 AS s, avg((a.v - m) * (b.v - m)) AS v FROM li a JOIN li b ON a.t = b.t AND b.s - a.s BETWEEN 0 AND 4 AND a.s < 46 JOIN m ON m.t = a.t GROUP BY a.t, b.s - a.s, a.s // 2), tb AS (SELECT id // 23 AS b, {R.draw('(id + 1234)', 23)} AS s FROM range({BOOTS * 23}) r(id)), g AS (SELECT t, lag, b AS s, avg(v) AS v FROM p JOIN tb USING (s) GROUP BY t, lag, b UNION ALL SELECT t, lag, -1, avg(v) FROM p GROUP BY t, lag) SELECT g.t, g.lag, g.s, round(g.v / z.v, 6) AS v FROM g JOIN g z ON z.lag = 0 AND z.t = g.t AND z.s = g.s",
+    "bootstrap_autocorrelation": f"WITH {_LI}, m AS (SELECT t, avg(v) AS m FROM li GROUP BY t), p AS (SELECT a.t AS t, b.s - a.s AS lag, a.s // 2 AS s, avg((a.v - m) * (b.v - m)) AS v FROM li a JOIN li b ON a.t = b.t AND b.s - a.s BETWEEN 0 AND 4 AND a.s < 46 JOIN m ON m.t = a.t GROUP BY a.t, b.s - a.s, a.s // 2), tb AS (SELECT id // 23 AS b, {R.draw('id', 23, 1234)} AS s FROM range({BOOTS * 23}) r(id)), g AS (SELECT t, lag, b AS s, avg(v) AS v FROM p JOIN tb USING (s) GROUP BY t, lag, b UNION ALL SELECT t, lag, -1, avg(v) FROM p GROUP BY t, lag) SELECT g.t, g.lag, g.s, round(g.v / z.v, 6) AS v FROM g JOIN g z ON z.lag = 0 AND z.t = g.t AND z.s = g.s",
 }
 ORACLES["jackknife_to_double"] = ORACLES["double_jackknife"].replace(", 4) AS v", ", 3) AS v")
 
@@ -229,11 +238,8 @@ _CENTRE = f"{_JK}, jc AS (SELECT t, s::BIGINT AS s, v FROM jk UNION ALL SELECT t
 
 def _balanced_sql() -> str:
     n, m = N // BLOCK, N // BLOCK * BOOTS
-    ctes = [f"p0 AS (SELECT id, id AS x FROM range({m}) z(id))"]
-    for r in range(E.ROUNDS):
-        ctes.append(f"p{r + 1} AS MATERIALIZED (SELECT id, {E.permuted('x', f'{r}::BIGINT', m)} AS x FROM p{r})")
     table = f"tb AS (SELECT id // {n} AS b, x % {n} * {BLOCK} + k AS s FROM p{E.ROUNDS}, range({BLOCK}) z(k))"
-    return f"WITH {_LI}, {', '.join(ctes)}, {table} SELECT t, b AS s, round(avg(v), 4) AS v FROM li JOIN tb USING (s) GROUP BY t, b UNION ALL SELECT t, -1, round(avg(v), 4) FROM li GROUP BY t"
+    return f"WITH {_LI}, {_permutation_ctes(m, 0)}, {table} SELECT t, b AS s, round(avg(v), 4) AS v FROM li JOIN tb USING (s) GROUP BY t, b UNION ALL SELECT t, -1, round(avg(v), 4) FROM li GROUP BY t"
 
 
 ORACLES |= {

@@ -5,14 +5,14 @@ import pytest
 
 from samplewright.operators import resampling as R
 from samplewright.operators import series as S
-from samplewright.plans import registry
+from samplewright.plans import catalog as registry
 from samplewright.sources import text
 
 DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_gives_the_rows_of_its_sql(spark, name):
     got = registry.QUERIES[name](spark, DATA)
     with duckdb.connect() as c:

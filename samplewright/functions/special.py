@@ -133,3 +133,44 @@ def chi2_p(x: Column, dof: Column) -> Column:
 def t2_p(x: Column, p: Column, n: Column) -> Column:
     """t2_p_value of columns; null where it has no value."""
     return _over_columns(t2_p_value, x, p, n)
+
+
+def zeta_phi(q, twists: tuple[int, int, int] = (0, 0, 0), boost: tuple[float, float, float] = (0.0, 0.0, 0.0), gamma: float = 1.0, largest: int = 5) -> np.ndarray:
+    """The phase atan(-gamma q pi^(3/2) / Z00(1; q^2)) of the finite-volume zeta function.
+
+    Z00 is a sum over whole vectors n of length up to `largest`, each shifted by
+    half the twists and the boost's momentum, with its integral term, and a power
+    series in q^2.
+    """
+    q = np.atleast_1d(np.asarray(q, float))
+    twist, d = np.array(twists, float), np.array(boost, float)
+    unit = d / np.linalg.norm(d) if d.any() else d
+    k = np.arange(-largest, largest + 1)
+    n = np.stack(np.meshgrid(k, k, k, indexing="ij"), axis=-1).reshape(-1, 3).astype(float)
+    rest = largest**2 - n[:, 0] ** 2 - n[:, 1] ** 2
+    n = n[(rest >= 0) & (np.abs(n[:, 2]) <= np.floor(np.sqrt(np.maximum(rest, 0)) + 0.5))]
+    along = lambda v: (v @ unit)[:, None] * unit
+    r = n + d / 2 + twist / 2
+    r = r - along(r) + along(r) / gamma
+    h = n - along(n) + gamma * along(n)
+    r2, h2 = (r * r).sum(axis=1), (h * h).sum(axis=1)
+    q2 = q[:, None] ** 2
+    with np.errstate(all="ignore"):
+        out = (np.exp(q2 - r2) / (r2 - q2)).sum(axis=1)
+        # The integrand is smooth and flat at 0: Gauss-Legendre points do.
+        x, weight = np.polynomial.legendre.leggauss(200)
+        t = (x + 1) / 2
+        some = n.any(axis=1)
+        sign = np.where((n @ (d + twist)) % 2 == 0, 1.0, -1.0)[some]
+        kernel = (np.pi / t) ** 1.5 * np.exp(-(np.pi**2) * h2[some, None] / t)
+        out = out + gamma * np.einsum("qt,t,nt,n->q", np.exp(q2 * t), weight / 2, kernel, sign)
+    term, power = np.zeros_like(q), np.ones_like(q)
+    for m in range(100):
+        term = term + power / (m - 0.5)
+        power = power * q2[:, 0] / (m + 1)
+    return np.arctan(-gamma * q * np.pi**1.5 / ((out + gamma * np.pi**1.5 * term) / np.sqrt(4 * np.pi)))
+
+
+def phase(q: Column, twists: tuple[int, int, int] = (0, 0, 0)) -> Column:
+    """zeta_phi of a column."""
+    return _over_columns(lambda x: zeta_phi(x, twists), q)

@@ -173,3 +173,34 @@ def amplitudes(df: DataFrame, values: DataFrame) -> DataFrame:
 def ranked(df: DataFrame, keys: Keys) -> DataFrame:
     """(keys, n, value): values from large to small."""
     return df.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("value"))) - 1)
+
+
+def determinants(df: DataFrame, keys: Keys) -> DataFrame:
+    """(keys, v): determinant of each matrix; null for an incomplete one."""
+    on_workers(df.sparkSession)
+
+    @F.pandas_udf("double")
+    def of(m: pd.Series) -> pd.Series:
+        squares = [_square(flat) for flat in m]
+        return pd.Series([None if a is None else float(np.linalg.det(a)) for a in squares], dtype="float64")
+
+    return gathered(df, keys).select(*keys, of("m").alias("v"))
+
+
+def orthonormal(df: DataFrame, keys: Keys) -> DataFrame:
+    """(keys, i, j, v): the rows of each matrix, made orthonormal one after another (Gram and Schmidt)."""
+    on_workers(df.sparkSession)
+
+    @F.pandas_udf("array<array<double>>")
+    def of(m: pd.Series) -> pd.Series:
+        out = []
+        for flat in m:
+            if (a := _square(flat)) is None:
+                out.append([])
+                continue
+            q, r = np.linalg.qr(a.T)
+            out.append((q * np.sign(np.diag(r))).T.tolist())
+        return pd.Series(out, dtype=object)
+
+    rows = gathered(df, keys).select(*keys, F.posexplode(of("m")).alias("i", "_r"))
+    return rows.select(*keys, "i", F.posexplode("_r").alias("j", "v"))

@@ -19,6 +19,7 @@ from samplewright.operators import resampling as R
 from samplewright.operators import selection as C
 from samplewright.operators import series as S
 from samplewright.operators import superensembles as U
+from samplewright.sources import ensembles as Z
 
 from .registry import _ER, _JK, _LI, BOOTS, N, T, _boots, _events, _jack, _rounded, samples
 
@@ -357,3 +358,18 @@ _add(
     f"WITH {_EV}, b AS (SELECT t, avg(v) AS v FROM ev GROUP BY t, s // 16 HAVING count(*) = 16) SELECT t, round(avg(v), 6) AS mean, round(stddev_pop(v) / sqrt(count(*) - 1), 6) AS error FROM b GROUP BY t", mean=6, error=6,
 )
 _add("events_numbered", lambda spark, d: S.numbered(spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id"), ["user_id"], "event_id", 64), "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS s FROM events")
+
+# Synthetic samples, determinants, saved parameters.
+_add(
+    "synthetic_samples", lambda spark, d: Z.synthetic(spark, 5, 200, 1.0, 0.5).join(spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").cast("long").alias("t")), "t"),
+    f"SELECT id // 200 AS t, id % 200 AS s, round(1 + 0.5 * {Z.gaussian('id', 1234)}, 7) AS v FROM range(1000) r(id) JOIN region ON r_regionkey = id // 200", v=7,
+)
+_add("determinants", lambda spark, d: G.determinants(_pair(spark, d), ["t", "s"]), f"WITH {_PR} SELECT t, s, round(a * c - b * b, 8) AS v FROM pr", v=8)
+_add(
+    "orthonormal_rows", lambda spark, d: G.orthonormal(_pair(spark, d), ["t", "s"]).where("i = 0").select("t", "s", F.col("j").cast("long").alias("j"), "v"),
+    f"WITH {_PR} SELECT t, s, j, round(CASE j WHEN 0 THEN a ELSE b END / sqrt(a * a + b * b), 7) AS v FROM pr, range(2) r(j)", v=7,
+)
+_add(
+    "regridded_flow", lambda spark, d: Z.regridded(samples(spark, d).where("t <> 2 OR s % 2 = 0").select(F.col("s").alias("traj"), F.col("t").cast("double").alias("t"), "v")),
+    f"WITH {_LI} SELECT a.s AS traj, a.t::DOUBLE AS t, round(CASE WHEN a.t = 2 AND a.s % 2 = 1 THEN (b.v + c.v) / 2 ELSE a.v END, 4) AS v FROM li a LEFT JOIN li b ON b.s = a.s AND b.t = a.t - 1 LEFT JOIN li c ON c.s = a.s AND c.t = a.t + 1", v=4,
+)

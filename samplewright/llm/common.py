@@ -7,19 +7,20 @@ import os
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from samplewright.workers import on_workers
+
+__all__ = ["WORD", "joined_spread", "n_words", "on_workers", "shared_dir", "table", "written"]
+
 #: A word: a run of characters other than space and the controls 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is hot from one in HOT_KEYS rows on (so there are no more of them than that), and from MIN_HOT rows on.
 HOT_KEYS, MIN_HOT = 1000, 10_000
 
-_shipped: set[str] = set()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the input directory."""
@@ -73,23 +74,6 @@ def joined_spread(rows: DataFrame, by_key: DataFrame, keys: Sequence[str], how:
     return dealt.join(by_key.withColumn("_part", F.explode(copies)).drop("_rows"), [*keys, "_part"], how).drop("_part")
 
 
-def on_workers(spark: SparkSession) -> None:
-    """Send this package to the workers, once an application."""
-    if spark.sparkContext.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="package-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = f"{folder}/{os.path.basename(root)}.zip"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as package:
-        for at, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    package.write(f"{at}/{name}", os.path.relpath(f"{at}/{name}", os.path.dirname(root)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(spark.sparkContext.applicationId)
-
-
 def n_words(text: Column) -> Column:
     """Number of words of a text; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -181,9 +181,9 @@ def mixed(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
 
 
 def _takes(df: DataFrame, id: str, text: str, source: str, block: int) -> tuple[DataFrame, DataFrame]:
-    """df, stored with a number for each row (_row), and what slots take of it: (_row, size, start, shard, slot, pass, low, high) in words of the row."""
-    stored = written(df.withColumn("_row", F.monotonically_increasing_id()))
-    rows = written(stored.select("_row", F.col(id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")))
+    """df, stored as one struct (_d) with a number for each row (_row), so that no names clash, and what slots take of it: (_row, size, start, shard, slot, pass, low, high) in words of the row."""
+    stored = written(df.select(F.struct("*").alias("_d"), F.monotonically_increasing_id().alias("_row")))
+    rows = written(stored.select("_row", F.col(f"_d.{id}").alias("doc_id"), F.col(f"_d.{source}").alias("source"), n_words(F.col(f"_d.{text}")).alias("size")))
     sources = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), block))
     parts = pieces(positions(rows.where("size > 0"), sources), block).join(slots(sources), ["rank", "block"])
     high = F.least("high", F.least((F.col("block") + 1) * block, F.col("source_size")) - F.col("cut")).alias("high")
@@ -207,12 +207,12 @@ def mixed_texts(df: DataFrame, id: str = "doc_id", text: str = "text", source: s
     stored, takes = _takes(df, id, text, source, block)
     per_pass = takes.groupBy("_row", "pass", "size").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans"))
     per_row = per_pass.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pass", "size", "spans"))).alias("_takes"))
-    taken = F.when(F.col("_whole"), F.col(text)).otherwise(
+    taken = F.when(F.col("_whole"), F.col(f"_d.{text}")).otherwise(
         F.array_join(F.flatten(F.transform("_take.spans", lambda s: F.slice(F.col("_w"), s["low"].cast("int") + 1, (s["high"] - s["low"]).cast("int")))), "")
     )
     whole = F.expr("aggregate(_take.spans, 0L, (a, s) -> a + s.high - s.low) = _take.size")
-    out = stored.join(per_row, "_row").withColumn("_w", _words(text)).withColumn("_take", F.explode("_takes")).withColumn("_whole", whole)
-    return out.withColumn(text, taken).select(*df.columns)
+    out = stored.join(per_row, "_row").withColumn("_w", _words(f"_d.{text}")).withColumn("_take", F.explode("_takes")).withColumn("_whole", whole)
+    return out.select(F.col("_d").withField(text, taken).alias("_d")).select("_d.*")
 
 
 def blocks(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK) -> DataFrame:
@@ -222,7 +222,7 @@ def blocks(df: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     last slot that a source takes.
     """
     stored, takes = _takes(df, id, text, source, block)
-    pieces_ = stored.select("_row", F.split(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), " ").alias("_w")).join(takes, "_row")
+    pieces_ = stored.select("_row", F.split(F.trim(F.regexp_replace(f"_d.{text}", r"[\x20\x09-\x0D]+", " ")), " ").alias("_w")).join(takes, "_row")
     pieces_ = pieces_.select("shard", "slot", "start", F.slice("_w", F.col("low").cast("int") + 1, (F.col("high") - F.col("low")).cast("int")).alias("_p"))
     # A block is a stretch of the stream: at most `block` pieces.
     parts = pieces_.groupBy("shard", "slot").agg(F.array_sort(F.collect_list(F.struct("start", F.size("_p").alias("n"), F.array_join("_p", " ").alias("t")))).alias("_p"))

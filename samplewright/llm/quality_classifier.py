@@ -193,7 +193,9 @@ def scored(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs that score at least the threshold, with docs' columns."""
-    return scored(docs, labels, score="_score").where(F.col("_score") >= threshold).select(*docs.columns)
+    # One struct for all columns: no names clash with the score.
+    rows = docs.select(F.struct("*").alias("_d"), F.col("doc_id"), F.col("text"))
+    return scored(rows, labels).where(F.col("score") >= threshold).select("_d.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,8 +210,9 @@ def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", width: in
     best = F.min(F.struct(F.coalesce("_id", F.lit(2**63 - 1)), "_k", "_k2")).alias("best")
     lead = written(classes.groupBy("class").agg(best).select("best._k", "best._k2"))
     same = W.partitionBy("_k", "_k2").orderBy(F.lit(0))
-    kept = df.select("*", *key).join(lead, ["_k", "_k2"], "left_semi")
-    return kept.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").select(*df.columns)
+    # One struct for all columns: no names clash with these.
+    kept = df.select(F.struct("*").alias("_d"), *key).join(lead, ["_k", "_k2"], "left_semi")
+    return kept.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").select("_d.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

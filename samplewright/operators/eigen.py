@@ -204,3 +204,24 @@ def orthonormal(df: DataFrame, keys: Keys) -> DataFrame:
 
     rows = gathered(df, keys).select(*keys, F.posexplode(of("m")).alias("i", "_r"))
     return rows.select(*keys, "i", F.posexplode("_r").alias("j", "v"))
+
+
+def less_next(df: DataFrame) -> DataFrame:
+    """Matrices (t, i, j, s, v) less those at t + 1, which takes constants out; the last t drops out."""
+    following = df.select((F.col("t") - 1).alias("t"), "i", "j", "s", F.col("v").alias("_w"))
+    return df.join(following, ["t", "i", "j", "s"]).select("t", "i", "j", "s", (F.col("v") - F.col("_w")).alias("v"))
+
+
+def energies_by_distance(energies: DataFrame) -> DataFrame:
+    """(d, n, s, v): the constant that fits the energies of a state at one distance t - t0, weighted by their jackknife errors."""
+    weights = jackknife_error(energies, ["t0", "t", "n"]).select("t0", "t", "n", F.try_divide(F.lit(1.0), F.col("error") * F.col("error")).alias("_w"))
+    rows = energies.join(weights, ["t0", "t", "n"]).withColumn("d", F.col("t") - F.col("t0"))
+    return rows.groupBy("d", "n", "s").agg(F.try_divide(F.sum(F.col("_w") * F.col("v")), F.sum("_w")).alias("v"))
+
+
+def decay_fit(values: DataFrame, t0: int, n: int, low: float, high: float) -> DataFrame:
+    """(s, A, E, chi2, dof, converged): exp(-E (t - t0)) fitted to a state's eigenvalues at low <= t - t0 <= high; A is frozen to 1."""
+    from .fits import Options, exponential, fitted
+
+    series = values.where((F.col("t0") == t0) & (F.col("n") == n)).select((F.col("t") - t0).alias("t"), "s", F.col("value").alias("v"))
+    return fitted(series, exponential(), low, high, "uncorrelated", Options(frozen={"A": 1.0}))

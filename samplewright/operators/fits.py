@@ -390,3 +390,42 @@ def cosh_mass(df: DataFrame, period: float) -> DataFrame:
     masses = masses.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
     whole = masses.groupBy("t").agg(F.bool_and(F.col("v").isNotNull()).alias("_ok")).where("_ok").select("t")
     return masses.join(whole, "t", "left_semi")
+
+
+#: Distance between the coordinates of two series that are fitted together.
+APART = 1e6
+
+
+def together(df: DataFrame, series: str = "series") -> DataFrame:
+    """Samples (series, t, s, v) as one series for a simultaneous fit; series are whole numbers from 0."""
+    return df.select((F.col(series) * APART + F.col("t")).alias("t"), "s", "v")
+
+
+def simultaneous(functions: Sequence[Function], names: Sequence[Mapping[str, str]]) -> Function:
+    """One function of all series: names says for each series under which name each of its parameters is fitted.
+
+    Parameters of one name are shared.
+    """
+    all_ = tuple(dict.fromkeys(names[k][own] for k, f in enumerate(functions) for own in f.names))
+    places = [[all_.index(names[k][own]) for own in f.names] for k, f in enumerate(functions)]
+    guess = {names[k][own]: f.guess[j] for k, f in enumerate(functions) for j, own in enumerate(f.names)}
+
+    def parts(x):
+        which = np.floor((x + APART / 2) / APART).astype(int)
+        return [(k, f, np.flatnonzero(which == k), x[which == k] - k * APART) for k, f in enumerate(functions)]
+
+    def value(x, p):
+        out = np.full((len(p), len(x)), np.nan)
+        for k, f, at, own in parts(x):
+            out[:, at] = f.value(own, p[:, places[k]])
+        return out
+
+    def slope(x, p):
+        out = np.zeros((len(p), len(x), len(all_)))
+        for k, f, at, own in parts(x):
+            found = f.slope(own, p[:, places[k]])
+            for j, place in enumerate(places[k]):
+                out[:, at, place] += found[:, :, j]
+        return out
+
+    return Function(all_, value, slope, tuple(guess[n] for n in all_))

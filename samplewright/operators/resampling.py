@@ -305,3 +305,24 @@ def jackknife_autocorrelation(df: DataFrame, keys: Keys, most: int, size: int, b
 def bin_jackknife(df: DataFrame, keys: Keys, size: int) -> DataFrame:
     """Jackknife of bins of `size` samples."""
     return jackknife(binned(df, keys, size), keys)
+
+
+def integrated(df: DataFrame, keys: Keys) -> DataFrame:
+    """(keys, lag, s, v): each boot's autocorrelation (keys, lag, s, v) summed up from lag 1 on, from 1/2 at lag 0."""
+    upto = W.partitionBy(*keys, "s").orderBy("lag")
+    return df.select(*keys, "lag", "s", F.sum(F.when(F.col("lag") == 0, F.lit(0.5)).otherwise(F.col("v"))).over(upto).alias("v"))
+
+
+def weighted_average_double(df: DataFrame, key: str) -> DataFrame:
+    """(s, inner, v): average of double jackknife series (key, s, inner, v), each outer sample weighted by its own inner errors."""
+    df = present(df)
+    weights = df.groupBy(key, "s").agg(F.try_divide(F.lit(1.0), (F.count("*") - 1) * F.var_pop("v")).alias("_w"))
+    weighed = df.join(weights, [key, "s"])
+    value = F.try_divide(F.sum(F.col("_w") * F.col("v")), F.sum("_w"))
+    return weighed.groupBy("s", "inner").agg(F.when(~F.bool_or(F.col("_w").isNull()), value).alias("v"))
+
+
+def effective_mass_less_constant(df: DataFrame, t: str = "t") -> DataFrame:
+    """(t, s, v): effective mass of neighbours' differences, in which a constant drops out; three times make one."""
+    following = present(df).select((F.col(t) - 1).alias(t), "s", F.col("v").alias("_w"))
+    return effective_mass(present(df).join(following, [t, "s"]).select(t, "s", (F.col("v") - F.col("_w")).alias("v")), t)

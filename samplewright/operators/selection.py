@@ -135,3 +135,10 @@ def consistency(a: DataFrame, b: DataFrame, keys: Keys = ("t",)) -> DataFrame:
     """(keys, difference, error, deviations): jackknife difference of two results and how many errors it is from zero."""
     both = matched(a, b, [*keys, "s"]).select(*keys, "s", (F.col("v") - F.col("_w")).alias("v"))
     return jackknife_error(both, keys).select(*keys, F.col("mean").alias("difference"), "error", F.try_divide(F.abs("mean"), F.col("error")).alias("deviations"))
+
+
+def histogram(df: DataFrame, keys: Keys, low: float, high: float, bins: int) -> DataFrame:
+    """(keys, bin, n): samples in equal bins from low to high; bin -1 holds those below, bin `bins` those from high on."""
+    place = F.floor((F.col("v") - low) / (high - low) * bins)
+    bin_ = F.when(F.col("v") < low, -1).when(F.col("v") >= high, bins).otherwise(F.least(place, F.lit(bins - 1))).cast("int")
+    return present(df).groupBy(*keys, bin_.alias("bin")).agg(F.count("*").alias("n"))

@@ -22,6 +22,7 @@ from samplewright.operators import superensembles as U
 from samplewright.sources import ensembles as Z
 
 from .registry import _ER, _JK, _LI, BOOTS, N, T, _boots, _events, _jack, _rounded, samples
+from .registry import ORACLES as _REGISTERED
 
 QUANTITY = "l_quantity"
 QUERIES, ORACLES = {}, {}
@@ -373,3 +374,35 @@ _add(
     "regridded_flow", lambda spark, d: Z.regridded(samples(spark, d).where("t <> 2 OR s % 2 = 0").select(F.col("s").alias("traj"), F.col("t").cast("double").alias("t"), "v")),
     f"WITH {_LI} SELECT a.s AS traj, a.t::DOUBLE AS t, round(CASE WHEN a.t = 2 AND a.s % 2 = 1 THEN (b.v + c.v) / 2 ELSE a.v END, 4) AS v FROM li a LEFT JOIN li b ON b.s = a.s AND b.t = a.t - 1 LEFT JOIN li c ON c.s = a.s AND c.t = a.t + 1", v=4,
 )
+
+_add(
+    "integrated_autocorrelation", lambda spark, d: R.integrated(R.bootstrap_autocorrelation(samples(spark, d), T, 4, 2, BOOTS, N), T),
+    f"WITH a AS ({_REGISTERED['bootstrap_autocorrelation'].replace(', 6) AS v', ', 15) AS v')}) SELECT t, lag, s, round(sum(CASE lag WHEN 0 THEN 0.5 ELSE v END) OVER (PARTITION BY t, s ORDER BY lag), 5) AS v FROM a", v=5,
+)
+_add(
+    "weighted_average_double", lambda spark, d: R.weighted_average_double(R.double_jackknife(samples(spark, d).where("s < 20"), T), "t"),
+    f"WITH {_LI}, k AS (SELECT * FROM li WHERE s < 20), z AS (SELECT t, sum(v) AS z FROM k GROUP BY t), dj AS (SELECT a.t, a.s, b.s AS i, (z - a.v - b.v) / 18 AS v FROM k a JOIN k b USING (t) JOIN z USING (t) WHERE a.s <> b.s), w AS (SELECT t, s, 1 / ((count(*) - 1) * var_pop(v)) AS w FROM dj GROUP BY t, s) SELECT s, i AS \"inner\", round(sum(w * v) / sum(w), 4) AS v FROM dj JOIN w USING (t, s) GROUP BY s, i", v=4,
+)
+_add(
+    "effective_mass_less_constant", lambda spark, d: R.effective_mass_less_constant(_decaying(spark, d).withColumn("v", F.col("v") + 5)),
+    f"WITH {_JK}, d AS (SELECT t, s, v / 30000 * exp(-0.4 * t) + 5 AS v FROM jk), e AS (SELECT a.t, a.s, a.v - b.v AS v FROM d a JOIN d b ON b.t = a.t + 1 AND a.s = b.s), em AS (SELECT a.t, a.s, a.v / b.v AS r FROM e a JOIN e b ON b.t = a.t + 1 AND a.s = b.s) SELECT t, s, round(ln(r), 5) AS v FROM em WHERE t IN (SELECT t FROM em GROUP BY t HAVING bool_and(r > 0))", v=5,
+)
+_add(
+    "lines_histogram", lambda spark, d: C.histogram(_lines(spark, d), T, 10000.0, 60000.0, 10),
+    "SELECT l_linenumber - 1 AS t, (CASE WHEN l_extendedprice < 10000 THEN -1 WHEN l_extendedprice >= 60000 THEN 10 ELSE least(9, floor((l_extendedprice - 10000) / 50000 * 10)) END)::INT AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2",
+)
+_add(
+    "energies_by_distance", lambda spark, d: G.energies_by_distance(G.effective_energies(G.sweep(_pair(spark, d), 0, 1, 4))).select("d", F.col("n").cast("long").alias("n"), "s", "v"),
+    f"WITH {_EF}, w AS (SELECT t0, t, n, 1 / ((count(*) - 1) * var_pop(v)) AS w FROM ef GROUP BY t0, t, n) SELECT ef.t - ef.t0 AS d, n, s, round(sum(w * v) / sum(w), 6) AS v FROM ef JOIN w USING (t0, t, n) GROUP BY ef.t - ef.t0, n, s", v=6,
+)
+_add(
+    "subtracted_matrices", lambda spark, d: G.less_next(_pair(spark, d)).where("i = 0 AND j = 1").select("t", "s", "v"),
+    f"WITH {_PR} SELECT x.t, x.s, round(x.b - y.b, 8) AS v FROM pr x JOIN pr y ON y.t = x.t + 1 AND x.s = y.s", v=8,
+)
+_add("fit_eigenvalue_decay", lambda spark, d: G.decay_fit(G.sweep(_pair(spark, d), 0, 0, 6), 0, 0, 1, 5), E=7, chi2=4)
+_add(
+    "fit_two_series", lambda spark, d: L.fitted(
+        L.together(_jack(spark, d).withColumn("series", F.lit(0)).unionByName(X.applied(_jack(spark, d, QUANTITY), "x * 1400").withColumn("series", F.lit(1)))),
+        L.simultaneous([L.polynomial(0), L.polynomial(0)], [{"a0": "both"}, {"a0": "both"}]), 0, 1e7, "uncorrelated").select("s", F.col("both").alias("v"), "dof"),
+    f"WITH {_JK}, p AS (SELECT 0 AS k, t, s, v FROM jk UNION ALL SELECT 1, t, s, q * 1400 FROM jk), w AS (SELECT k, t, 1 / ((count(*) - 1) * var_pop(v)) AS w FROM p GROUP BY k, t) SELECT s, round(sum(w * v) / sum(w), 3) AS v, 13::INT AS dof FROM p JOIN w USING (k, t) GROUP BY s", v=3,
+)

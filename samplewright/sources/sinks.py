@@ -12,9 +12,9 @@ def text_dump(df: DataFrame, path: str, coefficient: float = 1.0) -> None:
     df.orderBy("t", "s").select(line.alias("value")).write.text(path)
 
 
-def saved(df: DataFrame, path: str) -> DataFrame:
-    """df, written to path and read back: a checkpoint of raw or resampled data, resample tables or layouts."""
-    df.write.parquet(path)
+def saved(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df, written to path and read back: a checkpoint of raw or resampled data, resample tables, layouts or eigenvalues, in a folder for each value of `by`."""
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return loaded(df.sparkSession, path)
 
 

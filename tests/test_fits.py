@@ -188,3 +188,26 @@ def test_super_double_jackknife_agrees_with_the_single_one(spark):
 def test_mapped_members_take_the_first(spark):
     data_map = spark.createDataFrame([(0, 5, "a", 2), (0, 4, "a", 1), (1, 6, "a", 3), (2, 7, "b", 4)], "outer long, inner long, tag string, place long")
     assert sorted(map(tuple, U.mapped(data_map, "a").collect())) == [(0, 4), (1, 6)]
+
+
+def test_simultaneous_fits_share_parameters(spark):
+    rng = np.random.default_rng(11)
+    x = np.arange(8.0)
+    rows = []
+    for s in range(60):
+        for k, a in enumerate((1.0, 2.0)):
+            v = a * np.exp(-0.3 * x) * (1 + 0.001 * rng.normal(size=8))
+            rows += [(k, float(t), s, float(y)) for t, y in zip(x, v, strict=True)]
+    df = spark.createDataFrame(rows, "series long, t double, s long, v double")
+    both = L.simultaneous([L.exponential(), L.exponential()], [{"A": "A0", "E": "E"}, {"A": "A1", "E": "E"}])
+    assert both.names == ("A0", "E", "A1")
+    got = L.fitted(L.together(df), both, 0, 1e7, "uncorrelated").collect()
+    assert len(got) == 60 and all(r["converged"] and r["dof"] == 13 for r in got)
+    for r in got:
+        assert (r["A0"], r["E"], r["A1"]) == (pytest.approx(1, abs=0.01), pytest.approx(0.3, abs=0.005), pytest.approx(2, abs=0.02))
+    p = np.array([[1.1, 0.2, 1.7]])
+    at = np.concatenate([x, x + L.APART])
+    for k in range(3):
+        h = np.zeros_like(p)
+        h[0, k] = 1e-6
+        assert np.allclose((both.value(at, p + h) - both.value(at, p - h)) / 2e-6, both.slope(at, p)[:, :, k], atol=1e-7)

@@ -11,8 +11,9 @@ is content.
 How template is told from repeated text. Pages are counted by article, that is
 by their first heading (or longest block), so copies of one article count once
 and don't make it a template. Outside a marked article or main part a block is
-template on LEAST articles or more and SHARE of those that fill the slot.
-Inside one it takes LEAST_INSIDE and SHARE_INSIDE, since lines such as licences
+template on LEAST articles or more and SHARE of those that fill the slot; and a
+slot is template as a whole if SHARE of what fills it recurs on LEAST articles,
+as with adverts or footers drawn from a pool. Inside one it takes LEAST_INSIDE and SHARE_INSIDE, since lines such as licences
 recur in articles too.
 
 Elements that the main text excludes by meaning (menus, headers, footers,
@@ -361,10 +362,13 @@ def wrappers(trees: DataFrame) -> DataFrame:
     fills = blocks.distinct()
     by_block = fills.groupBy("host", "slot", "inside", "hash").agg(F.count("*").alias("n"))
     by_slot = fills.select("host", "slot", "inside", "article").distinct().groupBy("host", "slot", "inside").agg(F.count("*").alias("articles"))
+    pooled = by_block.where(~F.col("inside")).groupBy("host", "slot", "inside").agg(F.sum("n").alias("_all"), F.sum(F.when(F.col("n") >= LEAST, F.col("n")).otherwise(0)).alias("_again"))
+    pooled = pooled.where(F.col("_again") >= SHARE * F.col("_all")).select("host", F.xxhash64("slot", "inside", F.lit(0).cast("long")).alias("key"))
     often = by_block.where(F.col("n") >= LEAST).join(by_slot.where(F.col("articles") >= LEAST), ["host", "slot", "inside"])
     constant = F.when(F.col("inside"), (F.col("n") >= LEAST_INSIDE) & (F.col("n") >= SHARE_INSIDE * F.col("articles"))).otherwise(F.col("n") >= SHARE * F.col("articles"))
-    # At most a page's blocks over SHARE for each slot.
-    template = often.where(constant).groupBy("host").agg(F.collect_set(F.xxhash64("slot", "inside", "hash")).alias("template"))
+    keys = often.where(constant).select("host", F.xxhash64("slot", "inside", "hash").alias("key")).unionByName(pooled)
+    # At most a page's blocks over SHARE for each slot, and the slot itself.
+    template = keys.groupBy("host").agg(F.collect_set("key").alias("template"))
     per_host = written(hosts.join(template, "host", "left").select("host", F.coalesce("template", F.array().cast("array<long>")).alias("template"), "_rows"))
     return joined_spread(placed.withColumnRenamed("_rows", "n"), per_host, ["host"]).withColumnRenamed("n", "_rows")
 
@@ -376,7 +380,8 @@ def extracted(df: DataFrame, id: str = "page_id", url: str = "url", html: str =
         trees = joined_spread(trees, written(wrappers(trees)), ["host", "skeleton"])
     else:
         trees = trees.withColumn("template", F.array().cast("array<long>")).withColumn("places", F.array().cast("array<int>"))
-    varies = lambda b: ~F.array_contains("template", F.xxhash64(F.get("places", b["nodes"]), b["inside"], b["hashes"]))
+    key = lambda b, text: F.xxhash64(F.get("places", b["nodes"]), b["inside"], text)
+    varies = lambda b: ~F.array_contains("template", key(b, b["hashes"])) & ~F.array_contains("template", key(b, F.lit(0).cast("long")))
     mass = lambda inside: F.aggregate("_kept", F.lit(0).cast("long"), lambda n, b: n + F.when(b["inside"] == inside, F.char_length(b["blocks"])).otherwise(0))
     kept = trees.withColumn("_kept", F.filter(F.arrays_zip("blocks", "nodes", "inside", "hashes"), varies))
     main = F.when((mass(True) > 0) & (REST * mass(True) >= mass(False)), F.filter("_kept", lambda b: b["inside"])).otherwise(F.col("_kept"))

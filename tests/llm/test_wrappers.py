@@ -94,6 +94,12 @@ def test_template_decides_outside_and_inside_articles(spark):
         assert off[12 + k] == f"Read our app\n\nT{k}\n\nText {k}\n\nJoin the list"
 
 
+def test_slots_filled_from_a_pool_are_template(spark):
+    page = "<body><div class=box>Offer {0}</div><div class=t><h1>T{1}</h1><p>Text {1}</p></div></body>"
+    got = texts(spark, [("http://a/", page.format(k % 6, k)) for k in range(30)])
+    assert [got[k] for k in range(30)] == [f"T{k}\n\nText {k}" for k in range(30)]
+
+
 def test_copies_are_no_template(spark):
     same = "<body><div class=t><h1>One</h1><p>The same text</p></div></body>"
     near = same.replace("same", "very same")

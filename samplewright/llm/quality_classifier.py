@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from operator import eq
 from zlib import crc32
 
@@ -87,6 +87,16 @@ def counts(text: str) -> dict[int, float]:
     return out
 
 
+def pack(row: dict[int, float]) -> bytes:
+    """Columns and counts of a text in few bytes."""
+    return np.fromiter(row, "<u2", len(row)).tobytes() + np.fromiter(row.values(), "<f8", len(row)).tobytes()
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(packed) // 10
+    return np.frombuffer(packed, "<u2", n), np.frombuffer(packed, "<f8", n, 2 * n)
+
+
 def matrix(rows: list[dict[int, float]]) -> np.ndarray:
     """Dense rows of dampened counts; one for each text."""
     out = np.zeros((len(rows), WIDTH))
@@ -116,21 +126,28 @@ class Voters:
     partition or machine it is computed in.
     """
 
-    def __init__(self, rows: list[dict[int, float]], labels: list[int]):
+    def __init__(self, rows: Iterable[dict[int, float]], labels: list[int]):
         self.labels = np.array(labels, float)
         self.mean = float(self.labels.mean()) if labels else 0.5
         if not labels:
             return
-        x = matrix(rows)
-        self.idf = np.log1p(len(rows) / (1.0 + (x > 0).sum(axis=0)))
-        x = _blocks(x, self.idf)
+        # Rows stay packed and are spread out a block at a time: the driver's memory is small.
+        packed = [pack(row) for row in rows]
+        seen = np.zeros(WIDTH, np.int64)
+        for columns, _ in map(unpack, packed):
+            seen[columns] += 1
+        self.idf = np.log1p(len(packed) / (1.0 + seen))
+        blocks = range(0, len(packed), BLOCK)
+        block = lambda at: _blocks(matrix([dict(zip(*map(np.ndarray.tolist, unpack(p)), strict=True)) for p in packed[at : at + BLOCK]]), self.idf)
+        x = np.concatenate([block(at).astype(np.float32) for at in blocks])
         rank = min(RANK, *x.shape)
         # Truncated singular value decomposition by subspace iteration.
-        basis = np.random.default_rng(42).standard_normal((WIDTH, rank))
+        basis = np.random.default_rng(42).standard_normal((WIDTH, rank)).astype(np.float32)
         for _ in range(6):
             basis = np.linalg.qr(x.T @ (x @ basis))[0]
-        self.basis = _whole(basis, 20)
-        self.vectors = self.latent(x)
+        del x
+        self.basis = _whole(basis.astype(float), 20)
+        self.vectors = np.concatenate([self.latent(block(at)) for at in blocks])
 
     def latent(self, x: np.ndarray) -> np.ndarray:
         """Unit vectors of rows of features, in units of 2^-COSINE_BITS."""
@@ -165,9 +182,9 @@ def fitted(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     """Voters from at most `rows` labelled rows that are not held out."""
     on_workers(docs.sparkSession)
 
-    @F.pandas_udf("map<int, double>")
+    @F.pandas_udf("binary")
     def features(texts: pd.Series) -> pd.Series:
-        return pd.Series([counts(t) for t in texts], dtype=object)
+        return pd.Series([pack(counts(t)) for t in texts], dtype=object)
 
     usable = labels.where(~held_out(id) & F.col(id).isNotNull() & F.col(label).isin(0, 1)).select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_label"))
     # The bound is on labels; a label with several rows of its id takes one of them.
@@ -175,7 +192,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     texts = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     found = texts.join(chosen, "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
     got = sorted(found.select("_id", "_label", features("_text").alias("f")).collect(), key=lambda r: (r["_id"], r["_label"]))
-    return Voters([r["f"] for r in got], [r["_label"] for r in got])
+    return Voters((dict(zip(*map(np.ndarray.tolist, unpack(bytes(r["f"]))), strict=True)) for r in got), [r["_label"] for r in got])
 
 
 def scored(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", score: str = "score") -> DataFrame:

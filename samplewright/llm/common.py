@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from samplewright.workers import on_workers
 
-__all__ = ["WORD", "joined_spread", "n_words", "on_workers", "shared_dir", "table", "written"]
+__all__ = ["WORD", "dropped", "joined_spread", "n_words", "on_workers", "shared_dir", "table", "written"]
 
 #: A word: a run of characters other than space and the controls 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,6 +57,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Remove what written() wrote, once nothing will read it any more."""
+    spark = df.sparkSession
+    application = spark.sparkContext.applicationId
+    for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        if f"/{application}/" in path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def joined_spread(rows: DataFrame, by_key: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """rows joined with by_key, one row a key; hot keys are dealt over several tasks.
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from samplewright.workers import on_workers
 
+from . import roots
 from .resampling import Keys, jackknife_error
 
 #: Largest residual |A v - lambda B v| that passes without a warning.
@@ -59,19 +60,36 @@ def solve(a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.nd
     return values, vectors, float(np.abs(vectors @ a.T - values[:, None] * other).max())
 
 
-def solve_general(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
-    """Eigenvalues of a v = lambda b v for any b that can be inverted, by size from large to small."""
+def solve_general(a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """Eigenvalues of a v = lambda b v for any b that can be inverted, vectors as rows, residual; all may be complex.
+
+    Values go by size from large to small, of a complex pair the one with positive
+    imaginary part first. Vectors have length 1, their largest component positive.
+    """
+    if not np.isfinite(a).all() or b is not None and not np.isfinite(b).all():
+        return None
     try:
-        values = np.linalg.eigvals(np.linalg.solve(b, a))
+        values, vectors = np.linalg.eig(a if b is None else np.linalg.solve(b, a))
     except np.linalg.LinAlgError:
         return None
-    return values[np.argsort(-np.abs(values), kind="stable")]
+    if not np.isfinite(values).all():
+        return None
+    order = np.lexsort((-values.imag, -np.abs(values)))
+    values, vectors = values[order].astype(complex), vectors.T[order].astype(complex)
+    big = vectors[np.arange(len(vectors)), np.abs(vectors).argmax(axis=1)]
+    vectors = vectors / np.linalg.norm(vectors, axis=1)[:, None] * (np.abs(big) / np.where(big == 0, 1, big))[:, None]
+    other = vectors if b is None else vectors @ b.T
+    return values, vectors, float(np.abs(vectors @ a.T - values[:, None] * other).max())
 
 
 def _solved(rows: DataFrame, keys: Keys, general: bool) -> DataFrame:
-    """rows (keys, m[, b]) to (keys, n, value, imaginary, vector, residual); no rows where there is no solution."""
+    """rows (keys, m[, b]) to (keys, n, value, imaginary, vector, residual); no rows where there is no solution.
+
+    In general a vector's components are complex: (re, im).
+    """
     on_workers(rows.sparkSession)
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys), "n int, value double, imaginary double, vector array<double>, residual double"])
+    kind = "array<struct<re: double, im: double>>" if general else "array<double>"
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys), f"n int, value double, imaginary double, vector {kind}, residual double"])
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -81,19 +99,18 @@ def _solved(rows: DataFrame, keys: Keys, general: bool) -> DataFrame:
                 if a is None or "b" in batch and (b is None or b.shape != a.shape):
                     continue
                 own = [getattr(row, k) for k in keys]
-                if general:
-                    values = solve_general(a, b)
-                    out += [(*own, n, x.real, x.imag, None, None) for n, x in enumerate([] if values is None else values)]
-                elif found := solve(a, b):
-                    out += [(*own, n, x, 0.0, v.tolist(), found[2]) for n, (x, v) in enumerate(zip(found[0], found[1], strict=True))]
+                if found := (solve_general if general else solve)(a, b):
+                    for n, (x, v) in enumerate(zip(found[0], found[1], strict=True)):
+                        parts = [{"re": c.real, "im": c.imag} for c in v.tolist()] if general else v.tolist()
+                        out.append((*own, n, float(x.real), float(x.imag), parts, found[2]))
             yield pd.DataFrame(out, columns=[*keys, "n", "value", "imaginary", "vector", "residual"])
 
     return rows.select(*keys, *(c for c in ("m", "b") if c in rows.columns)).mapInPandas(of, schema)
 
 
-def eigenvalues(df: DataFrame, keys: Keys) -> DataFrame:
-    """(keys, n, value, imaginary, vector, residual): symmetric matrices' eigenvalues, from large to small."""
-    return _solved(gathered(df, keys), keys, False)
+def eigenvalues(df: DataFrame, keys: Keys, general: bool = False) -> DataFrame:
+    """(keys, n, value, imaginary, vector, residual): symmetric or, in general, any matrices' eigenvalues, from large to small."""
+    return _solved(gathered(df, keys), keys, general)
 
 
 def sweep(df: DataFrame, first: int, last: int, latest: int, general: bool = False) -> DataFrame:
@@ -212,6 +229,31 @@ def less_next(df: DataFrame) -> DataFrame:
     return df.join(following, ["t", "i", "j", "s"]).select("t", "i", "j", "s", (F.col("v") - F.col("_w")).alias("v"))
 
 
+def less_time(df: DataFrame, subtracted: int) -> DataFrame:
+    """Matrices (t, i, j, s, v) less those at one time, which itself drops out."""
+    constant = df.where(F.col("t") == subtracted).select("i", "j", "s", F.col("v").alias("_w"))
+    rest = df.where(F.col("t") != subtracted).join(constant, ["i", "j", "s"])
+    return rest.select("t", "i", "j", "s", (F.col("v") - F.col("_w")).alias("v"))
+
+
+def subtracted_energies(values: DataFrame, subtracted: int, guess: float = 0.3, tolerance: float = 1e-4) -> DataFrame:
+    """(t0, t, s, n, v): energies of eigenvalues of matrices less those at one time (see less_time).
+
+    The E with (exp(-E t) - exp(-E tsub)) / (exp(-E t0) - exp(-E tsub)) equal to the
+    eigenvalue, up to a share of it; null where none is found.
+    """
+
+    def equations(x: np.ndarray, given: np.ndarray) -> np.ndarray:
+        e, (value, t0, t) = x[:, 0], given.T
+        # Both differences over exp(-E t0), so that large E don't end at 0 / 0.
+        low = np.expm1(-e * (t - t0)) - np.expm1(-e * (subtracted - t0))
+        return ((low / -np.expm1(-e * (subtracted - t0)) - value) / value)[:, None]
+
+    fair = values.where((F.col("t0") != subtracted) & (F.col("t") != subtracted)).select("t0", "t", "s", "n", "value")
+    found = roots.solved(fair, equations, ["value", "t0", "t"], {"v": guess}, tolerance)
+    return found.select("t0", "t", "s", "n", "v")
+
+
 def energies_by_distance(energies: DataFrame) -> DataFrame:
     """(d, n, s, v): the constant that fits the energies of a state at one distance t - t0, weighted by their jackknife errors."""
     weights = jackknife_error(energies, ["t0", "t", "n"]).select("t0", "t", "n", F.try_divide(F.lit(1.0), F.col("error") * F.col("error")).alias("_w"))

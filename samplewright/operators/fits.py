@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,14 @@ from pyspark.sql import functions as F
 
 from samplewright.workers import on_workers
 
-from .resampling import covariance, double_jackknife_covariance, present
+from . import trust
+from .resampling import present
+from .weights import BY_SAMPLE, correlations, inverse, modified, of_covariance, shrunk_correlations, square, weight, with_means
+
+__all__ = [
+    "APART", "Function", "Options", "Problem", "at_points", "chi2_modes", "cosh", "cosh_mass", "degrees", "dispersion", "exponential", "fit", "fitted", "inverse", "modified", "parabola", "polynomial",
+    "refitted_q2", "simultaneous", "sinh", "together",
+]
 
 #: Steps: damping at first, its bounds and factor, the change of chi-square that ends a fit, the most steps.
 START, LEAST, MOST, FACTOR, TOLERANCE, STEPS = 1e-3, 1e-5, 1e6, 10.0, 1e-10, 500
@@ -146,20 +154,38 @@ class _Bounded:
         return p, slope
 
 
+@dataclass
+class Problem:
+    """A set of fits of one function: its free parameters as unbound numbers, priors and start."""
+
+    function: Function
+    options: Options
+    n: int
+    guess: np.ndarray | None = None
+    frozen: np.ndarray | None = None
+
+    def __post_init__(self):
+        names, options = list(self.function.names), self.options
+        fixed = [names.index(k) for k in options.frozen]
+        self.open = [k for k in range(len(names)) if k not in fixed]
+        start = options.guess if options.guess is not None else self.function.guess
+        start = np.tile(np.array(start, float), (self.n, 1)) if self.guess is None else np.array(self.guess, float).reshape(-1, len(names)) * np.ones((self.n, 1))
+        if fixed:
+            start[:, fixed] = list(options.frozen.values()) if self.frozen is None else self.frozen
+        self.bounded = _Bounded(names, {k: b for k, b in options.bounds.items() if k not in options.frozen})
+        self.pulls = [(names.index(k), value, width) for k, (value, width) in options.priors.items() if k not in options.frozen]
+        self.start = self.bounded.free(start)
+
+
 def fit(function: Function, x: np.ndarray, y: np.ndarray, weight: np.ndarray, options: Options = Options(), guess: np.ndarray | None = None, frozen: np.ndarray | None = None):
     """Parameters, chi-square and whether it converged, of each row of y.
 
     weight is the inverse covariance matrix, one for all rows or one each; frozen
     has a value for each row and frozen parameter, where they aren't one for all.
     """
-    names, n = list(function.names), len(y)
-    fixed = [names.index(k) for k in options.frozen]
-    open_ = [k for k in range(len(names)) if k not in fixed]
-    p = np.tile(np.array(options.guess if options.guess is not None else function.guess, float), (n, 1)) if guess is None else np.array(guess, float).reshape(-1, len(names)) * np.ones((n, 1))
-    if fixed:
-        p[:, fixed] = list(options.frozen.values()) if frozen is None else frozen
-    bounded = _Bounded(names, {k: b for k, b in options.bounds.items() if k not in options.frozen})
-    pulls = [(names.index(k), value, width) for k, (value, width) in options.priors.items() if k not in options.frozen]
+    n = len(y)
+    problem = Problem(function, options, n, guess, frozen)
+    open_, bounded, pulls = problem.open, problem.bounded, problem.pulls
     w = np.broadcast_to(weight, (n, len(x), len(x)))
 
     def cost(p):
@@ -170,7 +196,7 @@ def fit(function: Function, x: np.ndarray, y: np.ndarray, weight: np.ndarray, op
                 out = out + ((p[:, k] - value) / width) ** 2
         return r, np.where(np.isfinite(out), out, np.inf)
 
-    u = bounded.free(p)
+    u = problem.start
     p, _ = bounded.bound(u)
     r, best = cost(p)
     damping, done, failed = np.full(n, START), np.zeros(n, bool), ~np.isfinite(best)
@@ -220,82 +246,70 @@ def fit(function: Function, x: np.ndarray, y: np.ndarray, weight: np.ndarray, op
     return p, best, done & ~failed
 
 
-def inverse(matrix: np.ndarray, cutoff: float | None = None) -> tuple[np.ndarray, float, float]:
-    """Inverse by singular values, condition number, and size of matrix * inverse - 1.
-
-    With a cutoff, eigenvalues of a symmetric matrix up to it don't count.
-    """
-    if cutoff is not None:
-        values, vectors = np.linalg.eigh(matrix)
-        kept = values > cutoff
-        out = (vectors[:, kept] / values[kept]) @ vectors[:, kept].T
-        return out, float(values[kept].max() / values[kept].min()) if kept.any() else np.inf, float(np.linalg.norm(matrix @ out - np.eye(len(matrix))))
-    u, sizes, v = np.linalg.svd(matrix)
-    out = (v.T / sizes) @ u.T
-    return out, float(sizes[0] / sizes[-1]) if sizes[-1] else np.inf, float(np.linalg.norm(matrix @ out - np.eye(len(matrix))))
-
+def _points(triangle, n_by: dict) -> np.ndarray:
+    """A triangle's correlations as a matrix, and its sigmas, from rows with places in the fit range."""
+    c = square([(n_by[r["t_i"]], n_by[r["t_j"]], r["correlation"]) for r in triangle if r["t_i"] in n_by and r["t_j"] in n_by], len(n_by))
+    sigma = np.full(len(n_by), np.nan)
+    for r in triangle:
+        for t, name in (("t_i", "sigma_i"), ("t_j", "sigma_j")):
+            if r[t] in n_by and r[name] is not None:
+                sigma[n_by[r[t]]] = r[name]
+    return c, sigma
 
-def modified(correlation: np.ndarray, cutoff: float) -> np.ndarray:
-    """A correlation matrix whose eigenvalues up to the cutoff are left out and whose diagonal is set to 1 again."""
-    values, vectors = np.linalg.eigh(correlation)
-    kept = values > cutoff
-    out = (vectors[:, kept] * values[kept]) @ vectors[:, kept].T
-    np.fill_diagonal(out, 1.0)
-    return out
 
-
-def weights(covariances: np.ndarray, strategy: str = "correlated", cutoff: float | None = None) -> np.ndarray:
-    """The inverse covariance a fit uses: correlated (of the correlation matrix, scaled back) or uncorrelated (the diagonal)."""
-    sigma = np.sqrt(np.diag(covariances))
-    if strategy == "uncorrelated":
-        return np.diag(1 / sigma**2)
-    return inverse(covariances / np.outer(sigma, sigma), cutoff)[0] / np.outer(sigma, sigma)
-
-
-def _matrix(rows: list, n: int) -> np.ndarray:
-    out = np.full((n, n), np.nan)
-    for i, j, v in rows:
-        out[i, j] = out[j, i] = np.nan if v is None else v
-    return out
-
-
-def fitted(df: DataFrame, function: Function, low: float, high: float, strategy: str = "frozen", options: Options = Options(), frozen: DataFrame | None = None, cutoff: float | None = None, kind: str = "jackknife") -> DataFrame:
+def fitted(
+    df: DataFrame, function: Function, low: float, high: float, strategy: str = "frozen", options: Options = Options(), frozen: DataFrame | None = None, cutoff: float | None = None,
+    kind: str = "jackknife", size: int = 1, table: DataFrame | None = None, imported: DataFrame | None = None, inverted: bool = False, shrink: bool = False, modify: float | None = None, minimizer: str = "damped",
+) -> DataFrame:
     """(s, parameters by name, chi2, dof, converged): a fit to the points low <= t <= high of each sample of df (t, s, v).
 
-    Strategies: frozen (one covariance matrix from all samples), uncorrelated (its
-    diagonal), correlated (each jackknife sample its own matrix, from the double
-    jackknife of the raw samples in df; df's own jackknife is then taken here).
-    kind is what df holds: jackknife, or bootstrap samples with the central row
-    s = -1. frozen (s, name of each frozen parameter) gives values by sample.
-    Samples that lack a point of the range are left out.
+    Strategies: frozen (one covariance matrix from all samples) and uncorrelated (its
+    diagonal); kind says what df holds then, jackknife samples, or bootstrap ones with
+    the central row s = -1. correlated, block and hybrid take raw samples in df and
+    give each resampled one its own matrix (see weights.correlations: size is that of
+    bins, table a resample table for boots). imported (t_i, t_j[, s], correlation,
+    sigma_i, sigma_j), a triangle that may hold the inverse correlations, stands in
+    for the strategy's own; shrink, cutoff and modify change correlations before they
+    are inverted. minimizer is "damped" or one of trust.METHODS. frozen (s, name of
+    each frozen parameter) gives values by sample. Samples that lack a point of the
+    range are left out.
     """
     on_workers(df.sparkSession)
+    minimise = fit if minimizer == "damped" else partial(trust.fit, method=minimizer)
     df = present(df).where(F.col("t").between(low, high))
-    points = sorted(r["t"] for r in df.select("t").distinct().collect())  # the fit range
+    by_sample = None
+    if strategy in BY_SAMPLE:
+        df, by_sample = correlations(df, strategy, size, table)
+    if imported is not None:
+        by_sample = imported if "s" in imported.columns else None
+    if shrink:
+        if by_sample is None:
+            raise ValueError("how far to shrink is known from each sample's own matrix only")
+        by_sample = shrunk_correlations(by_sample)
+    treat = {"strategy": "uncorrelated" if strategy == "uncorrelated" else "correlated", "cutoff": cutoff, "modify": modify, "inverted": inverted}
+    # One pass tells the fit range, its covariances and its means; their number is the range squared.
+    found = [] if strategy in BY_SAMPLE else with_means(df.where("s >= 0"), kind).collect()
+    means = {r["t_i"]: r["mean"] for r in found if r["t_i"] == r["t_j"]}
+    points = sorted(means) if means else sorted(r["t"] for r in df.select("t").distinct().collect())
     x, place = np.array(points, float), {t: k for k, t in enumerate(points)}
-    own = None
-    if strategy == "correlated":
-        from .resampling import jackknife
-
-        entries = F.collect_list(F.struct("t_i", "t_j", "covariance")).alias("_c")
-        own = double_jackknife_covariance(df, "t").groupBy("s").agg(entries)
-        df = jackknife(df, ["t"])
-        weight = None
-    else:
-        found = covariance(df.where("s >= 0"), "t", kind)
-        entries = [(place[r["t_i"]], place[r["t_j"]], r["covariance"]) for r in found.collect()]  # the fit range squared
-        weight = weights(_matrix(entries, len(x)), "uncorrelated" if strategy == "uncorrelated" else "correlated", cutoff) if len(x) else None
+    one = None
+    if len(x) and by_sample is None:
+        if imported is not None:
+            one = weight(*_points(imported.collect(), place), **treat)
+        else:
+            matrix = square([(place[r["t_i"]], place[r["t_j"]], r["covariance"]) for r in found], len(x))
+            one = of_covariance(matrix, treat["strategy"], cutoff, modify)
     rows = df.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("_y")).where(F.size("_y") == len(x))
     if frozen is not None:
         rows = rows.join(frozen.select("s", F.array(*(F.col(k).cast("double") for k in options.frozen)).alias("_f")), "s")
-    means = {r["t"]: r["m"] for r in df.where("s >= 0").groupBy("t").agg(F.avg("v").alias("m")).collect()}
     guess = None
-    if weight is not None and len(x):
-        p, _, good = fit(function, x, np.array([[means[t] for t in points]]), weight, options)
+    if one is not None and means:
+        p, _, good = minimise(function, x, np.array([[means[t] for t in points]]), one, options)
         guess = p[0] if good[0] else None
-    if own is not None:
-        rows = rows.join(own, "s")
-    dof = len(x) + sum(k not in options.frozen for k in options.priors) - (len(function.names) - len(options.frozen))
+    if by_sample is not None:
+        entries = F.collect_list(F.struct("t_i", "t_j", "correlation", "sigma_i", "sigma_j")).alias("_c")
+        rows = rows.join(by_sample.groupBy("s").agg(entries), "s")
+    dof = degrees(function, len(x), options)
     schema = ", ".join([f"s {df.schema['s'].dataType.simpleString()}", *(f"{n} double" for n in function.names), "chi2 double, dof int, converged boolean"])
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -303,17 +317,20 @@ def fitted(df: DataFrame, function: Function, low: float, high: float, strategy:
             if not len(batch):
                 continue
             y = np.array([[e["v"] for e in row] for row in batch["_y"]], float)
-            w = weight
-            if "_c" in batch:
-                w = np.stack([weights(_matrix([(place[e["t_i"]], place[e["t_j"]], e["covariance"]) for e in row], len(x)), "correlated", cutoff) for row in batch["_c"]])
+            w = one if "_c" not in batch else np.stack([weight(*_points(row, place), **treat) for row in batch["_c"]])
             fixed = np.array(batch["_f"].tolist(), float) if "_f" in batch else None
-            p, chi2, good = fit(function, x, y, w, options, guess, fixed)
+            p, chi2, good = minimise(function, x, y, w, options, guess, fixed)
             out = pd.DataFrame(p, columns=list(function.names))
             yield pd.concat([batch[["s"]].reset_index(drop=True), out.assign(chi2=chi2, dof=dof, converged=good)], axis=1)
 
     return rows.mapInPandas(of, schema)
 
 
+def degrees(function: Function, points: int, options: Options) -> int:
+    """Degrees of freedom: points and priors less free parameters."""
+    return points + sum(k not in options.frozen for k in options.priors) - (len(function.names) - len(options.frozen))
+
+
 def chi2_modes(df: DataFrame, model: DataFrame, correlation: DataFrame, sigma: DataFrame) -> DataFrame:
     """(s, n, eigenvalue, contribution): chi-square of each sample by eigenmode of the correlation matrix.
 
@@ -322,7 +339,7 @@ def chi2_modes(df: DataFrame, model: DataFrame, correlation: DataFrame, sigma: D
     """
     points = sorted(r["t"] for r in sigma.select("t").collect())
     place = {t: k for k, t in enumerate(points)}
-    c = _matrix([(place[r["t_i"]], place[r["t_j"]], r["correlation"]) for r in correlation.select("t_i", "t_j", "correlation").collect()], len(points))
+    c = square([(place[r["t_i"]], place[r["t_j"]], r["correlation"]) for r in correlation.select("t_i", "t_j", "correlation").collect()], len(points))
     values, vectors = np.linalg.eigh(c)
     modes = df.sparkSession.createDataFrame(
         [(n, float(x), t, float(vectors[place[t], k])) for n, (k, x) in enumerate(reversed(list(enumerate(values)))) for t in points], f"n int, eigenvalue double, t {df.schema['t'].dataType.simpleString()}, _u double"

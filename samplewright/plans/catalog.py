@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extended, registry
+from . import extended, inference, registry
 
-QUERIES = registry.QUERIES | extended.QUERIES
-ORACLES = registry.ORACLES | extended.ORACLES
+QUERIES = registry.QUERIES | extended.QUERIES | inference.QUERIES
+ORACLES = registry.ORACLES | extended.ORACLES | inference.ORACLES

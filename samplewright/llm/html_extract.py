@@ -18,10 +18,12 @@ recur in articles too.
 
 Elements that the main text excludes by meaning (menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments, hidden parts) are told by
-element, role and class name, whether they vary or not. Inside an article only
-whole class names count, never parts of hyphenated ones. A marked article is
-evidence, not a switch: it is all that counts unless the rest of the page has
-more than REST times as much content.
+element, role and class name, whether they vary or not. Names are evidence only:
+an element that holds the article, or most of the page's text, is never left out
+for its name (see _verdicts). Inside an article only whole class names count,
+never parts of hyphenated ones. A marked article is evidence, not a switch: it is
+all that counts unless the rest of the page has more than REST times as much
+content.
 
 Skeletons, not pages, are aligned, so a host with a third of all pages costs no
 more than its distinct skeletons; slot statistics are sums over (host, slot,
@@ -61,7 +63,9 @@ REST = 4
 #: Cells of an alignment's table; larger ones are split in halves, which needs memory for two rows only.
 MAX_CELLS, MAX_CACHED = 1 << 20, 1 << 15
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: A tag with a quotation mark that never closes ends at the next angle bracket.
+_BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg math canvas object".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -88,8 +92,14 @@ class _Node:
         self.kids: list[_Node] = []
 
 
-def _opened(tag: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
-    """Label of an element, whether it has a role beside the text, whether it marks an article."""
+#: How surely names say that an element stands beside the text.
+_WEAK, _STRONG, _HIDDEN = 1, 2, 3
+#: Share of a page's text from which an element isn't beside it, where no article is marked elsewhere.
+MOST = 0.5
+
+
+def _opened(tag: str, attributes: str, inside: bool) -> tuple[str, int, bool]:
+    """Label of an element, how surely it has a role beside the text, whether it marks an article."""
     classes: list[str] = []
     role, hidden, body = "", False, False
     for m in _ATTRIBUTE.finditer(attributes):
@@ -103,89 +113,199 @@ def _opened(tag: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
         elif name == "itemprop" and value == "articlebody":
             body = True
     marks = tag in ("article", "main") or role in ("main", "article") or body
-    aside = hidden or tag in _ROLE_TAGS or role in _ROLES or tag == "header" and not inside
-    if classes and not aside and tag not in ("html", "body"):
-        # Parts of names tell outside articles only: "site-footer", but not "share-price".
-        aside = not _NAMES.isdisjoint(classes if inside or marks else (w for c in classes for w in re.split(r"[-_]+", c)))
+    beside = _HIDDEN if hidden else _STRONG if tag in _ROLE_TAGS or role in _ROLES or tag == "header" and not inside else 0
+    if classes and not beside and tag not in ("html", "body"):
+        if not _NAMES.isdisjoint(classes):
+            beside = _STRONG
+        elif not inside and not marks and not _NAMES.isdisjoint(w for c in classes for w in re.split(r"[-_]+", c)):
+            # Parts of names tell outside articles only: "site-footer", but not "share-price".
+            beside = _WEAK
     label = f"{tag}.{'.'.join(sorted({re.sub(r'[0-9|~ ]', '', c) for c in classes}))}" if classes else re.sub(r"[|~ ]", "", tag)
-    return label, aside, marks
+    return label, beside, marks
+
+
+class _Element:
+    """An open element: what it is, and what its text amounts to."""
+
+    __slots__ = ("tag", "label", "up", "beside", "marks", "inside", "heading", "mass", "marked", "out", "node")
+
+    def __init__(self, tag: str, label: str, up: "_Element | None", beside: int, marks: bool):
+        self.tag, self.label, self.up, self.beside, self.marks = tag, label, up, beside, marks
+        self.inside = marks or up is not None and up.inside
+        self.heading, self.mass, self.marked, self.out, self.node = False, 0, 0, False, None
+
+
+class _Stack:
+    """Open elements, and where those of each tag stand, so that none is searched for step by step."""
+
+    def __init__(self, root: _Element):
+        self.open, self.places, self.structure = [root], {}, []
+
+    def push(self, element: _Element) -> None:
+        self.places.setdefault(element.tag, []).append(len(self.open))
+        if element.tag in _STRUCTURE:
+            self.structure.append(len(self.open))
+        self.open.append(element)
+
+    def cut(self, k: int) -> None:
+        for element in self.open[k:]:
+            self.places[element.tag].pop()
+            if element.tag in _STRUCTURE:
+                self.structure.pop()
+        del self.open[k:]
+
+    def last(self, tags, stops=(), structure: bool = False) -> int:
+        """Place of the innermost element of these tags, 0 if a stop (or structure) is nearer or there is none."""
+        place = lambda names: max((self.places[t][-1] for t in names if self.places.get(t)), default=0)
+        found = place(tags)
+        barrier = max(place(stops), self.structure[-1] if structure and self.structure else 0)
+        return found if found >= barrier else 0
+
+
+def _verdicts(elements: list[_Element]) -> None:
+    """Which elements stand beside the text.
+
+    Names are evidence. An element that holds a marked article isn't beside the
+    text if only a part of its name says so, or if no article is marked outside
+    such elements; nor is one with most of the page's text where no article is
+    marked elsewhere, nor a heading's frame that a part of its name calls a header.
+    """
+    loose = 0
+    for e in elements:  # parents come first
+        e.out = e.beside >= _STRONG or e.up is not None and e.up.out
+    own_marked = {id(e): e.mass for e in elements if e.inside}
+    for e in reversed(elements):
+        mine = own_marked.get(id(e), 0)
+        loose += 0 if e.out else mine
+        e.marked += mine
+        if e.up is not None:
+            e.up.mass += e.mass
+            # An element's own mark doesn't speak for it, as comments are marked as articles too.
+            e.up.marked += e.marked
+            e.up.heading |= e.heading
+    total = elements[0].mass
+    for e in elements:
+        held = e.marked if not e.marks and not (e.up is not None and e.up.inside) else 0
+        if not e.beside or e.beside == _HIDDEN:
+            own = bool(e.beside)
+        elif held:
+            own = e.beside == _STRONG and loose > 0
+        elif not loose and e.mass > MOST * total:
+            own = False
+        else:
+            own = not (e.beside == _WEAK and e.heading and "header" in e.label)
+        e.out = own or e.up is not None and e.up.out
 
 
 def parse(html: str) -> tuple[_Node, list[tuple[str, _Node, bool, bool]]]:
     """The tree of structural elements, and blocks in page order: text, "#flow" node, in an article, heading.
 
-    What has a role beside the text is left out of both.
+    What has a role beside the text is left out of both. Time is in proportion to
+    the page, whatever is broken in it.
     """
-    root = _Node("#page")
-    stack: list[tuple[str, _Node, bool, bool]] = [("#page", root, False, False)]  # open elements: node they write to, aside, in an article
+    top = _Element("#page", "#page", None, 0, False)
+    stack, elements = _Stack(top), [top]
+    events: list[tuple[_Element, str | None]] = []  # an element opens, or has a block of text
     buffer: list[str] = []
-    blocks: list[tuple[str, _Node, bool, bool]] = []
 
     def flush() -> None:
         if buffer:
-            _, here, aside, inside = stack[-1]
-            block = "" if aside else " ".join("".join(buffer).split())
+            here = stack.open[-1]
+            block = " ".join("".join(buffer).split())
             buffer.clear()
             if block:
-                if not here.kids or here.kids[-1].label != "#flow":
-                    here.kids.append(_Node("#flow", here))
-                blocks.append((block, here.kids[-1], inside, stack[-1][0] in _HEADINGS))
-
-    def cut(k: int) -> None:
-        flush()
-        del stack[k:]
-
-    def last(tags, stops=frozenset()) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                return k
-            if stack[k][0] in stops:
-                return 0
-        return 0
-
-    at, end = 0, len(html)
+                here.mass += len(block)
+                here.heading |= here.tag == "h1"
+                events.append((here, block))
+
+    at, end, last_close = 0, len(html), html.rfind(">")
     while at < end:
-        m = _TOKEN.search(html, at)
-        if not m:
+        start = html.find("<", at)
+        if start < 0 or start > last_close:
             buffer.append(unescape(html[at:]))
             break
-        if m.start() > at:
-            buffer.append(unescape(html[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
+        if html.startswith("<!--", start):
+            m, after = None, html.find("-->", start + 4)
+            after = end if after < 0 else after + 3
+        elif html.startswith(("<!", "<?"), start):
+            m, after = None, html.find(">", start) + 1
+        else:
+            m = _TAG.match(html, start) or _BROKEN.match(html, start)
+            after = m.end() if m else start + 1
+        if m is None and after == start + 1:
+            buffer.append(unescape(html[at:after]))
+            at = after
+            continue
+        if start > at:
+            buffer.append(unescape(html[at:start]))
+        at = after
+        if m is None:
             continue
         tag = m[2].lower()
         if m[1]:
             if tag in _FLOW or tag in _STRUCTURE:
                 flush()
-                if k := last((tag,), frozenset() if tag in _STRUCTURE else _STRUCTURE):
-                    cut(k)
+                if k := stack.last((tag,), structure=tag not in _STRUCTURE):
+                    stack.cut(k)
             continue
         if tag in _RAW:
             # Up to its end tag, whatever stands there.
-            close = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(html, at) if not m[3].rstrip().endswith("/") or tag in ("script", "style", "title", "textarea") else m
-            at = close.end() if close else end
+            if not m[3].rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
+                close = re.compile(rf"</{re.escape(tag)}\b", re.IGNORECASE).search(html, at)
+                at = html.find(">", close.end()) + 1 if close else end
+                at = at or end
             continue
         if tag == "br":
             buffer.append(" ")
         elif tag in _FLOW or tag in _STRUCTURE:
             flush()
-            if k := last(("p",), _STRUCTURE):
-                cut(k)
-            if tag in _ENDS and (k := last(_ENDS[tag], _STRUCTURE | _STOPS if tag not in ("tr",) else _STRUCTURE | {"table"})):
-                cut(k)
+            if k := stack.last(("p",), structure=True):
+                stack.cut(k)
+            if tag in _ENDS and (k := stack.last(_ENDS[tag], _STOPS if tag != "tr" else ("table",), structure=True)):
+                stack.cut(k)
             if tag in _VOID:
                 continue
-            _, here, aside, inside = stack[-1]
-            if not aside and (m[3] or tag in _STRUCTURE):
-                label, aside, marks = _opened(tag, m[3], inside)
-                inside = inside or marks
-                if tag in _STRUCTURE and not aside and here.depth < MAX_DEPTH:
-                    if not here.kids or here.kids[-1].label != label:
-                        here.kids.append(_Node(label, here))
-                    here = here.kids[-1]
-            stack.append((tag, here, aside, inside))
+            here = stack.open[-1]
+            label, beside, marks = _opened(tag, m[3], here.inside) if m[3] or tag in _STRUCTURE else (tag, 0, False)
+            element = _Element(tag, label, here, beside, marks)
+            elements.append(element)
+            if tag in _STRUCTURE:
+                events.append((element, None))
+            stack.push(element)
     flush()
+    _verdicts(elements)
+    return _tree(elements, events)
+
+
+def _tree(elements: list[_Element], events: list[tuple[_Element, str | None]]) -> tuple[_Node, list[tuple[str, _Node, bool, bool]]]:
+    """Nodes and blocks of what isn't beside the text."""
+    root = elements[0].node = _Node("#page")
+    blocks: list[tuple[str, _Node, bool, bool]] = []
+
+    def node_of(element: _Element) -> _Node:
+        chain = []
+        while element.node is None:  # a flow element writes to its parent's node
+            chain.append(element)
+            element = element.up
+        for e in chain:
+            e.node = element.node
+        return element.node
+
+    for element, block in events:
+        if element.out:
+            continue
+        if block is None:
+            here = node_of(element.up)
+            if here.depth < MAX_DEPTH:
+                if not here.kids or here.kids[-1].label != element.label:
+                    here.kids.append(_Node(element.label, here))
+                here = here.kids[-1]
+            element.node = here
+        else:
+            here = node_of(element)
+            if not here.kids or here.kids[-1].label != "#flow":
+                here.kids.append(_Node("#flow", here))
+            blocks.append((block, here.kids[-1], element.inside, element.tag in _HEADINGS))
     return root, blocks
 
 

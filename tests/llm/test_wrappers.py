@@ -2,6 +2,7 @@
 
 import importlib
 import time
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -127,3 +128,79 @@ def test_odd_pages(spark):
     got = texts(spark, rows + rows[3:4])
     assert [got[k] for k in (0, 1, 2, 3, 4, 6)] == ["", "", "", "plain < text", "A&B c\n\nA&B c\n\nA&B c", "plain < text"]
     assert got[5] == ("word " * 200_000).strip()
+
+
+def test_what_holds_the_article_is_no_aside(spark):
+    """Names of containers, on a single page and where a host's pages all have them."""
+    pages = {
+        "<div class='container has-sidebar'><article><h1>T{0}</h1><p>Own text {0}.</p></article></div>": "T{0}\n\nOwn text {0}.",
+        "<form id=aspnetForm><article><h1>T{0}</h1><p>Own text {0}.</p></article></form>": "T{0}\n\nOwn text {0}.",
+        "<div id=main-nav-content><p>Own text {0}.</p></div>": "Own text {0}.",
+        "<div class='ad-free layout'><main><p>Own text {0}.</p></main></div>": "Own text {0}.",
+        "<section class='page header'><article><p>Own text {0}.</p></article></section>": "Own text {0}.",
+        "<div class=page-header><h1>Title {0}</h1></div><p>Own text {0} which goes on.</p>": "Title {0}\n\nOwn text {0} which goes on.",
+        "<nav>Menu of the site</nav><article><p>Own text {0}.</p></article><div class=comments><article><p>A comment {0} that is longer.</p></article></div>": "Own text {0}.",
+        "<div class=sidebar><p>A sidebar that is much longer than the article {0}.</p></div><article><p>Own {0}.</p></article>": "Own {0}.",
+        "<div hidden><article><p>Hidden {0}.</p></article></div><p>Shown {0}.</p>": "Shown {0}.",
+    }
+    rows = [(f"http://h{h}/", page.format(k)) for h, page in enumerate(pages) for k in range(5)] + [(f"http://one{h}/", page.format("x")) for h, page in enumerate(pages)]
+    got = texts(spark, rows)
+    want = [text.format(k) for text in pages.values() for k in range(5)] + [text.format("x") for text in pages.values()]
+    assert [got[k] for k in range(len(rows))] == want
+
+
+def test_broken_pages_take_time_in_proportion():
+    """Pages of about a megabyte that never close what they open, or close what they never opened."""
+    pages = ["<a " * 400_000, "<div>" * 90_000 + "</section>" * 60_000, "<div><td><div>" + "<ul>" * 120_000 + "</td>" * 100_000, "<a \"" * 300_000, "<a \"x' >" * 150_000, "<script></script " * 60_000, "<" * 1_000_000, "<!--" * 250_000, "<li>" * 250_000]
+    for page in pages:
+        began = time.perf_counter()
+        hx.flat(hx.parse(page)[0])
+        hx.flat(hx.parse(page + ">")[0])
+        assert time.perf_counter() - began < 30
+    assert [b[0] for b in hx.parse("a <b class=\"x> y</b> <p>z</p>")[1]] == ["a y", "z"]
+
+
+def by_hand(rows):
+    """Induction without Spark: rows (host, html) to texts."""
+    trees = []
+    for host, html in rows:
+        root, blocks = hx.parse(html or "")
+        trees.append((host, hx.flat(root), hx.article_of(blocks), blocks))
+    out, fills = [], defaultdict(set)
+    shapes = Counter((host, skeleton) for host, skeleton, _, _ in trees)
+    reference = {h: max((n, s) for (g, s), n in shapes.items() if g == h)[1] for h, _ in shapes}
+    for host, skeleton, article, blocks in trees:
+        places = hx.aligned(skeleton, reference[host])
+        for text, node, inside, _ in blocks:
+            if places[node.index] >= 0:
+                fills[host, places[node.index], inside].add((article, text))
+    template, pooled = set(), set()
+    for (host, slot, inside), own in fills.items():
+        n, articles = Counter(t for _, t in own), len({a for a, _ in own})
+        least, share = (hx.LEAST_INSIDE, hx.SHARE_INSIDE) if inside else (hx.LEAST, hx.SHARE)
+        template |= {(host, slot, inside, t) for t, c in n.items() if articles >= hx.LEAST and c >= max(least, hx.LEAST) and c >= share * articles}
+        if not inside and sum(c for c in n.values() if c >= hx.LEAST) >= hx.SHARE * sum(n.values()):
+            pooled.add((host, slot, inside))
+    for host, skeleton, _, blocks in trees:
+        places = hx.aligned(skeleton, reference[host])
+        kept = [(t, inside) for t, node, inside, _ in blocks if (host, places[node.index], inside, t) not in template and (host, places[node.index], inside) not in pooled]
+        mass = {i: sum(len(t) for t, inside in kept if inside == i) for i in (True, False)}
+        main = [t for t, inside in kept if inside] if mass[True] and hx.REST * mass[True] >= mass[False] else [t for t, _ in kept]
+        out.append("\n\n".join(main))
+    return out
+
+
+def test_query_is_induction_by_hand(spark):
+    rng, rows = np.random.default_rng(11), []
+    frames = ["<body><div class=x>{a}</div>{b}<div class=y><p>{c}</p></div></body>", "<body>{b}<div class=x>{a}</div></body>", "<section><div class=x>{a}</div><div class=z>{c}</div>{b}</section>"]
+    bodies = ["<article><h1>{t}</h1><p>{u}</p><p>{c}</p></article>", "<div class=t><h2>{t}</h2><p>{u}</p></div>", "<p>{u}</p>", "<article><p>{u}</p></article><article class=comment><p>{c}</p></article>"]
+    for host, n in (("h0", 40), ("h1", 15), ("h2", 7), ("h3", 2), ("", 6)):
+        for _ in range(n):
+            pool = [f"pooled {k}" for k in rng.integers(0, 4, 2)]
+            body = bodies[rng.integers(len(bodies))].format(t=f"T{rng.integers(30)}", u=f"unique {rng.integers(1000)} words", c=pool[0])
+            rows.append((host, frames[rng.integers(len(frames))].format(a=pool[1], b=body, c=f"{host} notice")))
+    rows += [rows[0]] * 30 + [("h4", None)]
+    want = by_hand(rows)
+    got = texts(spark, [(f"http://{h}/p" if h else None, html) for h, html in rows])
+    assert [got[k] for k in range(len(rows))] == want
+    assert want != [t for t in texts(spark, [(f"http://{h}/p" if h else None, html) for h, html in rows], induce=False).values()]

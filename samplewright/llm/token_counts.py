@@ -1,23 +1,27 @@
 """Token counts by a map-side two-tier lookup, without any pre-token shuffle.
 
 The first tier is a broadcast hash table of the lengths (numbers of tokens) of
-frequent pre-tokens: open addressing over 64-bit hashes, entries checked against
-their bytes, so a hit is exact. The frequent pre-tokens are the vocabulary's own
-entries: merges were learned in the order of frequency, so they hold the common
-words, their number is fixed, and no pass over the texts is needed to find them.
-Misses, words that only this corpus has often among them, go to the worker's own cache, then to the tokenizer's
-merges. A text is split into pre-tokens as the tokenizer does: special tokens
-first, then NFC, lower case by character, and the vocabulary file's pattern.
+the corpus's frequent pre-tokens: open addressing over 64-bit hashes, entries
+checked against their bytes, so a hit is exact. They are found in a pass over all
+texts: every task counts pre-tokens in a map of bounded size and gives out its
+most frequent ones, some thousand rows whatever it read; these are added up and
+the first FREQUENT are kept. Texts and their pre-tokens never travel. Misses go
+to the worker's own cache, then to the tokenizer's merges. A text is split into
+pre-tokens as the tokenizer does: special tokens first, then NFC, lower case by
+character, and the vocabulary file's pattern; the end-of-word marks of the
+vocabulary belong to the merges, pre-tokens have none.
 
 Defined results. Null and empty texts have no bytes and no tokens. Whole texts
 count, however long. Rows are independent: repeated rows, ties and further
-columns need no rule; an empty table gives an empty table.
+columns need no rule; an empty table gives an empty table. Which pre-tokens are
+in the table changes time only, never a count.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -35,8 +39,8 @@ from .common import on_workers, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 LIMIT = 2048
-#: Entries of the frequent tier at most, the first of the vocabulary; the number doesn't change results.
-FREQUENT = 1 << 16
+#: Entries of the frequent tier, pre-tokens that a task gives out, pre-tokens that it counts at once; none of them changes results.
+FREQUENT, GIVEN, HELD = 1 << 15, 1 << 14, 1 << 17
 CACHE_SIZE, CHUNK_CHARS = 1 << 18, 1 << 20
 
 
@@ -123,28 +127,45 @@ class FrequentLengths:
         return out
 
 
-def frequent(path: str = VOCABULARY, entries: int = FREQUENT) -> FrequentLengths:
-    """The first tier, from the vocabulary's entries in their order."""
+class Tops:
+    """Counts of the most frequent of a stream's words, in bounded memory.
+
+    When more than HELD are known the rarer half goes, so a word's count can be too
+    low, by less than that of the words that went each time.
+    """
+
+    def __init__(self, held: int = HELD):
+        self.held, self.counts = held, Counter()
+
+    def add(self, words: list[str]) -> None:
+        self.counts.update(words)
+        if len(self.counts) > self.held:
+            self.counts = Counter(dict(self.counts.most_common(self.held // 2)))
+
+
+def frequent(df: DataFrame, text: str = "text", path: str = VOCABULARY, entries: int = FREQUENT) -> FrequentLengths:
+    """The first tier: the most frequent pre-tokens of all texts and their lengths; `entries` short rows come to the driver."""
+    on_workers(df.sparkSession)
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, tops = splitter(path), Tops()
+        for batch in batches:
+            for t in batch["_t"]:
+                # Longer ones are no words, and would make the table large.
+                tops.add([w for w in own.split(t)[0] if len(w) <= 32])
+        yield pd.DataFrame(tops.counts.most_common(GIVEN), columns=["token", "n"])
+
+    parts = df.select(F.coalesce(F.col(text), F.lit("")).alias("_t")).mapInPandas(of, "token string, n long")
+    rows = parts.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(entries).collect()
     own = splitter(path)
-    with open(path, encoding="utf-8") as file:
-        vocabulary = json.load(file)["model"]["vocab"]
-    byte_of = {letter: b for b, letter in own.letters.items()}
-    found: dict[str, int] = {}
-    for entry in sorted(vocabulary, key=vocabulary.get)[:entries]:
-        if all(c in byte_of for c in entry):
-            try:
-                token = bytes(byte_of[c] for c in entry).decode("utf-8")
-            except UnicodeDecodeError:
-                continue  # part of a character
-            found[token] = own.length(token)
-    return FrequentLengths(found)
+    return FrequentLengths({r["token"]: own.length(r["token"]) for r in rows})
 
 
 def counted(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str = VOCABULARY) -> DataFrame:
     """keep, then n_bytes and n_tokens of each text."""
     spark = df.sparkSession
     on_workers(spark)
-    sent = spark.sparkContext.broadcast(frequent(path))
+    sent = spark.sparkContext.broadcast(frequent(df, text, path))
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -155,11 +155,22 @@ class Prints:
     """How stored fingerprints are compared (see shingles.links)."""
 
     similarity = staticmethod(lambda a, b: likeness(bytes(a).decode(), bytes(b).decode()))
-    keys = staticmethod(lambda stored, level: band_keys(bytes(stored), level))
 
     @staticmethod
-    def forest(rows: list[tuple], least: float) -> Iterator[tuple[int, int]]:
-        """Links that connect what is alike among rows (point, component, found, digits) of a key."""
+    def keyed_anew(wide: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+        """(key, point, component) of nodes of wide keys, dealt out by further samples within each."""
+
+        @F.pandas_udf("array<long>")
+        def deeper(stored: pd.Series) -> pd.Series:
+            return pd.Series([band_keys(bytes(s), 1) for s in stored], dtype=object)
+
+        dealt = wide.join(sets.select("point", "found"), "point").select("key", F.explode(deeper("found")).alias("_deeper"), "point", "component")
+        return dealt.select(F.xxhash64("key", "_deeper").alias("key"), "point", "component")
+
+    @staticmethod
+    def forest(rows: list[tuple], least: float, apart: bool) -> Iterator[tuple[int, int]]:
+        """Links that connect what is alike among rows (point, component, found, digits, block) of a key; of different blocks only, if apart."""
+        block = np.array([r[4] for r in rows])
         size = np.array([len(r[2]) for r in rows], np.int64)
         digits = np.zeros((len(rows), size.max(initial=0)), np.uint8)
         for row, r in enumerate(rows):
@@ -168,7 +179,8 @@ class Prints:
         whole = np.concatenate(([0.0], np.cumsum(weight)))
         label = np.unique([r[1] for r in rows], return_inverse=True)[1]
         for k in range(len(rows) - 1):
-            far = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
+            other = label[k + 1 :] != label[k]
+            far = np.flatnonzero(other & (block[k + 1 :] != block[k]) if apart else other) + k + 1
             for at in range(0, len(far), 4096):
                 part = far[at : at + 4096]
                 share = (digits[part, : size[k]] == digits[k, : size[k]]) @ weight[: size[k]] / np.maximum(whole[np.maximum(size[part], size[k])], 1)

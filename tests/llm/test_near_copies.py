@@ -2,6 +2,7 @@
 
 import importlib
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -45,15 +46,49 @@ def test_stage_removes_edited_copies(spark, tmp_path):
     assert len(left) < 70
 
 
-def test_wide_keys_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(shingles, "WIDE", 4)
-    rng = np.random.default_rng(23)
-    common = [f"c{k}" for k in range(120)]
-    texts = []
-    for _ in range(15):
-        # All share a passage of more than half; only copies of the same tail are alike.
-        tail = [f"t{k}" for k in rng.integers(0, 5000, 60)]
-        texts += [" ".join(common + tail), " ".join(common) + " " + edited(rng, tail, 2)]
+def passages(rng, groups, common=120, own=60):
+    """Texts that all share a passage of more than half; only copies of the same tail are alike."""
+    texts, head = [], [f"c{k}" for k in range(common)]
+    for _ in range(groups):
+        tail = [f"t{k}" for k in rng.integers(0, 50_000, own)]
+        texts += [" ".join(head + tail), " ".join(head) + " " + edited(rng, tail, 2)]
+    return texts
+
+
+@pytest.mark.parametrize(("wide", "chunk"), [(4, 1 << 26), (1000, 4000)])
+def test_wide_keys_lose_no_link(spark, monkeypatch, wide, chunk):
+    monkeypatch.setattr(shingles, "WIDE", wide)
+    monkeypatch.setattr(shingles, "CHUNK", chunk)
+    texts = passages(np.random.default_rng(23), 15)
+    # Some are nearly all passage, on both sides of 0.8 to each other.
+    texts += [" ".join([f"c{k}" for k in range(120)] + [f"u{k}x{j}" for j in range(n)]) for k, n in enumerate((4, 8, 12, 14, 16, 20, 30, 14, 12))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     left = {r["doc_id"] for r in shingles.one_of_each(docs).collect()}
     assert left == smallest_of_groups(texts, lambda a, b: similarity(a, b) >= 0.8)
+
+
+def test_alike_sets_share_a_prefix():
+    rng = np.random.default_rng(5)
+    common = rng.choice(np.arange(1, 60, dtype=np.uint64), 30, replace=False)
+    met = 0
+    for _ in range(20_000):
+        a = np.unique(rng.integers(1, 60, rng.integers(0, 40)).astype(np.uint64))
+        b = np.setdiff1d(np.union1d(a, rng.integers(1, 90, rng.integers(0, 4)).astype(np.uint64)), rng.integers(1, 60, rng.integers(0, 4)).astype(np.uint64))
+        if len(a) and len(b) and shingles.jaccard(a, b) >= 0.8:
+            met += 1
+            assert set(shingles.prefix(a, common, 0.8)) & set(shingles.prefix(b, common, 0.8))
+    assert met > 3000 and len(shingles.prefix(a[:0], common, 0.8)) == 0
+    assert shingles.prefix(np.array([3, 5, 9], np.uint64), common[:0], 0.8).tolist() == [3]
+    assert shingles.prefix(np.array([3, 5, 9, 11, 13], np.uint64), np.array([3, 9], np.uint64), 0.8).tolist() == [5, 11]
+
+
+def test_many_texts_with_one_passage_take_bounded_work(spark):
+    """Twenty thousand that share more than half: none of them meets all others."""
+    texts = passages(np.random.default_rng(29), 10_000, 100, 50)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    began = time.perf_counter()
+    left = [r["doc_id"] for r in shingles.one_of_each(docs).collect()]
+    assert time.perf_counter() - began < 300
+    # Copies of a tail are alike to 0.8 or more unless both edits fall so that more than a fifth of the shingles differ.
+    pair = lambda k: similarity(texts[2 * k], texts[2 * k + 1]) >= 0.8
+    assert sorted(left) == sorted(d for k in range(10_000) for d in ([2 * k] if pair(k) else [2 * k, 2 * k + 1]))

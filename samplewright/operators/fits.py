@@ -376,8 +376,8 @@ def refitted_q2(boots: DataFrame, function: Function, low: float, high: float, o
     return again.select("s", "chi2").unionByName(centre.select("s", "chi2"))
 
 
-def cosh_mass(df: DataFrame, period: float) -> DataFrame:
-    """(t, s, v): the m with C(t) / C(t + 1) = cosh(m (period / 2 - t)) / cosh(m (period / 2 - t - 1)).
+def cosh_mass(df: DataFrame, period: float, odd: bool = False) -> DataFrame:
+    """(t, s, v): the m with C(t) / C(t + 1) = cosh(m (period / 2 - t)) / cosh(m (period / 2 - t - 1)), or sinh for odd series.
 
     A t where any sample has no such m drops out whole.
     """
@@ -389,17 +389,22 @@ def cosh_mass(df: DataFrame, period: float) -> DataFrame:
         r, a = ratio.to_numpy(float, na_value=np.nan), period / 2 - t.to_numpy(float)
         b = a - 1
         with np.errstate(all="ignore"):
-            log_ratio = lambda m: np.logaddexp(m * a, -m * a) - np.logaddexp(m * b, -m * b)
-            rising = np.abs(a) > np.abs(b)
-            goal = np.where(rising, 1.0, -1.0) * np.log(r)
+            if odd:
+                size = lambda m, x: np.where(m == 0, np.log(np.abs(x)), m * np.abs(x) + np.log(-np.expm1(-2 * m * np.abs(x))))
+                sign = np.sign(a * b)
+            else:
+                size = lambda m, x: np.logaddexp(m * x, -m * x)
+                sign = np.ones_like(a)
+            rising = np.where(np.abs(a) > np.abs(b), 1.0, -1.0)
+            ahead = lambda m: rising * (size(m, a) - size(m, b))
+            goal = rising * np.log(r * sign)
             low, high = np.zeros_like(r), np.full_like(r, 1e-3)
-            size = lambda m: np.where(rising, 1.0, -1.0) * log_ratio(m)
             for _ in range(40):
-                high = np.where(size(high) < goal, high * 2, high)
-            fine = (goal >= 0) & (size(high) >= goal) & (np.abs(a) != np.abs(b))
+                high = np.where(ahead(high) < goal, high * 2, high)
+            fine = (goal >= ahead(low)) & (ahead(high) >= goal) & (np.abs(a) != np.abs(b)) & ((sign != 0) | (not odd))
             for _ in range(200):
                 middle = (low + high) / 2
-                above = size(middle) >= goal
+                above = ahead(middle) >= goal
                 low, high = np.where(above, low, middle), np.where(above, middle, high)
         return pd.Series(np.where(fine, (low + high) / 2, np.nan))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extended, inference, registry
+from . import extended, inference, points, registry
 
-QUERIES = registry.QUERIES | extended.QUERIES | inference.QUERIES
-ORACLES = registry.ORACLES | extended.ORACLES | inference.ORACLES
+QUERIES = registry.QUERIES | extended.QUERIES | inference.QUERIES | points.QUERIES
+ORACLES = registry.ORACLES | extended.ORACLES | inference.ORACLES | points.ORACLES

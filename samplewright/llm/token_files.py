@@ -36,77 +36,119 @@ the id and the text are read.
 from __future__ import annotations
 
 import os
+import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import on_workers, table, written
+from .common import dropped, on_workers, table, written
+from .token_counts import byte_letters
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
 #: Scale of the frequencies: shares of 2**BITS. States stay in 2**31 to 2**63.
-BITS, LOW = 20, 2**31
-LANES, STEPS, BLOCK, SEGMENT = 256, 256, 1 << 18, 1 << 20
+BITS, LOW = 18, 2**31
+LANES, STEPS, BLOCK, SEGMENT = 256, 256, 1 << 17, 1 << 22
 CACHE_SIZE = 1 << 18
 _HEAD = struct.Struct("<4s5I")
 FILES = "shard int, segment int, start long, n long, bytes binary"
 
 
+class _Known(dict):
+    """What has been made before, in two generations: when one is full, it takes the place of the older one."""
+
+    def __init__(self, make, size: int, longest: int):
+        self.make, self.size, self.longest, self.older = make, size, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Coder:
-    """Ids of texts by the tokenizers library, remembered by chunks of text.
+    """Ids of texts by the tokenizers library's model, remembered by chunks of text.
 
     Between a character that isn't a space and a space before one that is no
-    white space, byte-level tokens always part, so a text is cut there and chunks
-    are encoded one by one.
+    white space, byte-level tokens always part, so a text is cut there. Chunks of
+    Latin letters, in which there is no doubt what letters and white space are, are
+    cut into pre-tokens whose merges the model makes; all others, and what may hold a
+    special token, go through the library whole.
     """
 
+    #: A space before white space or the end: there a text isn't cut.
+    _ODD = re.compile(r" (?:\s|\Z)")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, bytes] = {}
-
-    def _library(self, chunk: str) -> bytes:
-        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        self.letters = byte_letters()
+        self.space = self.letters[32]
+        # White space below U+0250, spelled out: libraries differ on the separators 1C to 1F.
+        self.pattern = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", r"[^\t-\r \x85\xa0").replace(r"\s", r"[\t-\r \x85\xa0]").replace(r"(?!\S)", r"(?![^\t-\r \x85\xa0])"))
+        self.known = _Known(self._chunk, CACHE_SIZE, 32)
+        #: Ids take two bytes where the vocabulary allows it.
+        self.code = "H" if self.size <= 1 << 16 else "I"
+        self.dtype = f"<u{array(self.code).itemsize}"
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
+
+    def _token(self, token: str) -> bytes:
+        plain = token.isascii() and token.isprintable()
+        piece = token.replace(" ", self.space) if plain else "".join(map(self.letters.__getitem__, token.encode("utf-8", "surrogatepass")))
+        return self._packed([t.id for t in self.model.tokenize(piece)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        if "<|" in chunk or not (chunk.isascii() or max(chunk) < "\u0250"):
+            return self._packed(self.library.encode(chunk, add_special_tokens=False).ids)
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        if word.isalpha():
+            return self._token(chunk)
+        if word[:-1].isalpha() and word[-1] in ".,;:!?)":
+            return self.known[chunk[:-1]] + self.known[chunk[-1]]
+        found = self.pattern.findall(chunk)
+        # A pre-token by itself is cut no further.
+        return self._token(chunk) if len(found) == 1 else b"".join(map(self.known.__getitem__, found))
 
     def chunks(self, text: str) -> list[str]:
         """The text, cut before spaces that something other than white space follows."""
-        parts = text.split(" ")
-        if "" in parts or any(p[0].isspace() for p in parts):
-            out = [parts[0]]
-            for p in parts[1:]:
-                if p and not p[0].isspace():
-                    out.append(" " + p)
-                else:
-                    out[-1] += " " + p
-            return out
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        first, *rest = text.split(" ")
+        if not self._ODD.search(text):
+            return [first, *[" " + p for p in rest]]
+        out = [first]
+        for p in rest:
+            if p and not p[0].isspace():
+                out.append(" " + p)
+            else:
+                out[-1] += " " + p
+        return out
 
     def ids(self, text: str, end: int | None = END) -> bytes:
-        """A text's ids and the end id as little-endian unsigned 32-bit integers."""
-        known, out = self.known, []
-        for chunk in self.chunks(text):
-            found = known.get(chunk)
-            if found is None:
-                found = self._library(chunk)
-                if len(chunk) <= 64:
-                    if len(known) >= CACHE_SIZE:
-                        known.clear()
-                    known[chunk] = found
-            out.append(found)
-        if end is not None:
-            out.append(struct.pack("<I", end))
-        return b"".join(out)
+        """A text's ids and the end id, little-endian, of dtype."""
+        found = b"".join(map(self.known.__getitem__, self.chunks(text)))
+        return found if end is None else found + self._packed([end])
 
 
 @lru_cache(maxsize=2)
@@ -116,8 +158,9 @@ def coder(path: str) -> Coder:
 
 
 def encoded(df: DataFrame, id: str = "doc_id", text: str = "text", path: str = VOCABULARY, end: int | None = END) -> DataFrame:
-    """(doc_id, n, ids) of every text; ids as binary, little-endian, of 32 bits."""
+    """(doc_id, n, ids) of every text; ids as binary, little-endian, of 16 bits where the vocabulary allows it, else of 32."""
     on_workers(df.sparkSession)
+    width = int(coder(path).dtype[-1])
 
     @F.pandas_udf("binary")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -126,7 +169,12 @@ def encoded(df: DataFrame, id: str = "doc_id", text: str = "text", path: str = V
             yield pd.Series([own.ids(t, end) for t in texts], dtype=object)
 
     ids = df.select(F.col(id).cast("long").alias("doc_id"), of(F.coalesce(F.col(text), F.lit(""))).alias("ids"))
-    return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n"), "ids")
+    return ids.select("doc_id", F.expr(f"octet_length(ids) div {width}").alias("n"), "ids")
+
+
+def unpacked(ids: bytes, n: int) -> np.ndarray:
+    """n ids of a column `ids`."""
+    return np.frombuffer(ids, f"<u{len(ids) // n if n else 4}").astype(np.uint32)
 
 
 def frequencies(ids: DataFrame) -> np.ndarray:
@@ -136,14 +184,14 @@ def frequencies(ids: DataFrame) -> np.ndarray:
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for blob in batch["ids"]:
-                more = np.bincount(np.frombuffer(blob, "<u4"), minlength=len(counts))
+            for blob, n in zip(batch["ids"], batch["n"], strict=True):
+                more = np.bincount(unpacked(blob, n), minlength=len(counts))
                 more[: len(counts)] += counts
                 counts = more
         seen = np.flatnonzero(counts)
         yield pd.DataFrame({"id": seen, "n": counts[seen]})
 
-    rows = ids.select("ids").mapInPandas(of, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = ids.select("ids", "n").mapInPandas(of, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 1, object)
     counts[rows["id"].to_numpy()] = [int(n) for n in rows["n"]]
     return scaled(counts)
@@ -339,9 +387,9 @@ def files(ids: DataFrame, shares: np.ndarray, segment: int = SEGMENT) -> DataFra
             return pd.DataFrame({"shard": [shard], "segment": [number], "start": [start], "n": [size], "bytes": [blob]})
 
         for batch in batches:
-            for doc, null, blob in zip(batch["doc_id"], batch["_null"], batch["ids"], strict=True):
+            for doc, null, blob, n in zip(batch["doc_id"], batch["_null"], batch["ids"], batch["n"], strict=True):
                 docs.append(None if null else int(doc))
-                held.append(np.frombuffer(blob, "<u4"))
+                held.append(unpacked(blob, n))
                 size += len(held[-1])
                 if size >= segment:
                     yield file()
@@ -352,17 +400,19 @@ def files(ids: DataFrame, shares: np.ndarray, segment: int = SEGMENT) -> DataFra
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Rows that are equal in all but their place still part, so that no shard gets all copies.
-    rows = ids.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("_null"), "ids", F.xxhash64("ids").alias("_h"), F.monotonically_increasing_id().alias("_nth"))
+    rows = ids.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("_null"), "ids", "n", F.xxhash64("ids").alias("_h"), F.monotonically_increasing_id().alias("_nth"))
     by = [F.desc("_null"), F.asc("doc_id"), F.asc("_h"), F.asc("_nth")]
     ordered = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
-    return ordered.select("doc_id", "_null", "ids").mapInPandas(of, FILES)
+    return ordered.select("doc_id", "_null", "ids", "n").mapInPandas(of, FILES)
 
 
 def written_files(df: DataFrame, id: str = "doc_id", text: str = "text", path: str = VOCABULARY, end: int | None = END, segment: int = SEGMENT) -> tuple[DataFrame, np.ndarray]:
     """The files of a table's texts, stored in the shared folder, and their frequency table."""
     ids = written(encoded(df, id, text, path, end))
     shares = frequencies(ids)
-    return written(files(ids, shares, segment)), shares
+    stored = written(files(ids, shares, segment))
+    dropped(ids)
+    return stored, shares
 
 
 def read(stored: DataFrame, shares: np.ndarray) -> DataFrame:

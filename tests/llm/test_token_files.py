@@ -67,7 +67,7 @@ def test_damage_is_noticed():
     ids = np.arange(5000, dtype=np.uint32) % 900
     shared = files.Table(files.scaled(np.bincount(ids).astype(object)))
     blob = bytearray(files.packed([1], [5000], ids, shared))
-    blob[-1500] ^= 16
+    blob[-3000] ^= 16
     with pytest.raises(ValueError, match="checksum"):
         files.Segment(bytes(blob), shared).ids()
     other = files.Table(files.scaled(np.arange(1, 901).astype(object)))

@@ -25,9 +25,10 @@ ROOT2 = 2.0**0.5
 
 def placed(df: DataFrame, coordinates: Sequence[str], function: Function) -> tuple[DataFrame, Function]:
     """df (coordinates, s, v) as (t, s, v) with t the point's number, from 0 in order, and the function of coordinates as one of t."""
-    points = sorted(tuple(r) for r in present(df).select(*coordinates).distinct().collect())  # the fit range
+    points = [tuple(r) for r in present(df).select(*coordinates).distinct().collect()]  # the fit range
     if any(c is None for point in points for c in point):
         raise ValueError("a point lacks a coordinate")
+    points.sort()
     x = np.array(points, float).reshape(len(points), len(coordinates))
     schema = ", ".join(["_t long", *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in coordinates)])
     numbers = df.sparkSession.createDataFrame([(k, *point) for k, point in enumerate(points)], schema)

@@ -124,25 +124,52 @@ _SPELLED = re.compile(
     rf"|(?P<digits>\b(?:{_WORD})(?:[\s-]+(?:{_WORD}))*\b)",
     re.IGNORECASE,
 )
-#: Transducer of "at" between plain words, before a name that ends in letters after a spelled dot.
+#: Transducer of "at" between plain words, before a name that ends in letters after a dot, spelled or written.
 _NAME = "[A-Za-z0-9-]+"
 _AT = re.compile(
-    rf"(?<=\s)(?:at\s+(?={_NAME}(?:{_DOT}{_NAME})*?{_DOT}[A-Za-z]{{2,}}\b)|(?:arobase|arroba)\s+(?={_NAME}(?:[{_DOT}{_POINT}.]{_NAME})*?[{_DOT}{_POINT}.][A-Za-z]{{2,}}\b))",
+    rf"(?<=\s)(?:at\s+(?=(?P<domain>{_NAME}(?:[{_DOT}.]{_NAME})*[{_DOT}.][A-Za-z]{{2,}})\b)|(?:arobase|arroba)\s+(?={_NAME}(?:[{_DOT}{_POINT}.]{_NAME})*?[{_DOT}{_POINT}.][A-Za-z]{{2,}}\b))",
     re.IGNORECASE,
 )
-#: Words that stand before "at" in prose ("look at example dot com"); a plain "at" after them is no sign of an address.
-PROSE_BEFORE_AT = frozenset(
-    "a again aim aimed all am an and appear apply are arrive arrived arrives as available back base based be been before begin being book"
-    " buy by call came check come dinner down early end event everyone find first for found from gather get go going got great had happen"
-    " happened has have he held here him home hosted i in is it its join joined just keep later laugh learn learned live located look looked"
-    " looking looks lunch me meet meeting meets met more new not now of off on one online only open or order our out page people photo play"
-    " point posted published put read registered retail sat see seen session shop shot show sign sit site smile sold someone speak spoke stand"
-    " stare start started starts stay still stop stopped study talk that the them then there they this time times to today together up us visit"
-    " wait waiting was watch we website week were when where which who work worked working works yelled you your".split()
+#: Words before an address, and what stands before a noun; in the four languages of digit words.
+CUES = frozenset("address adresse an ask cc contact contactez correo courriel ecrivez email emails escribe escriba from is kontakt mail mailto mails message ping reach schreib schreibe schreiben send sent to via write écrivez écrire".split())
+DETERMINERS = frozenset("a all an any das dem den der die each ein eine every her his its la las le les los more most my new no one our some that the their these this those un una une your".split())
+#: Verbs, pronouns and particles that take "at" with a place; nouns aren't listed, as any may name a mailbox.
+PLACE_WORDS = frozenset(
+    "am are arrive arrived arrives available be been begin being bought buy by come dine done down everyone everything find found get go going got had happen happened has have he held her here him"
+    " hosted i in is it join joined just later learn live lived lives located look looked looking looks me meet meets meeting met now off on online only open or order out play played posted published"
+    " read registered retail sat saw see seen she sign sit smile sold someone speak spoke stand stare start started starts stay stayed still stop stopped studied studies study tell then there they time today together up"
+    " us visit wait waited waiting was watch we were work worked working works yelled you".split()
 )
+#: Sites of mailboxes.
+MAIL_SITES = frozenset("aol fastmail freenet gmail gmx hotmail icloud mail outlook posteo proton protonmail web yahoo yandex".split())
+
+
+def likely(before: str, local: str, domain: str, after: str) -> bool:
+    """Whether "local at domain" in plain words is an address rather than prose, by what is around it.
+
+    Scored: a dot that is spelled 1, one that is written -1; a digit or sign in the
+    local part 3, a word that goes with places -3; a cue among the two words before
+    3 (not before such a word), a determiner there -2, a colon or bracket right before 2; a site of mailboxes
+    2; an end after it, or nothing before and after, 1. More than 0 is an address.
+    """
+    score = 1 if _DOT in domain else -1
+    if any(not c.isalpha() for c in local):
+        score += 3
+    elif local.lower() in PLACE_WORDS:
+        score -= 3
+    tail = before.rstrip()
+    if tail.endswith((":", "(", "<", "[", "=", '"')):
+        score += 2
+    elif not tail.endswith((".", ",", ";", "!", "?", ")")) and "\n" not in before[len(tail) :]:
+        near = [w.lower() for w in re.split(r"[.,;:!?()\n]", tail)[-1].split()[-2:]]
+        score += 3 * (any(w in CUES for w in near) and local.lower() not in PLACE_WORDS) - 2 * any(w in DETERMINERS for w in near)
+    score += 2 * (re.split(rf"[{_DOT}.]", domain.lower())[-2] in MAIL_SITES)
+    return score + (not after.strip() or after[0] in ".,;:!?)>]\"\n") > 0
+
+
 #: Cheap necessary condition besides digit words: a spelled dot or sign, a bracketed one, an invisible character. (A plain
-#: "at" needs a spelled dot as well.)
-_SIGN = re.compile(rf"[\u00ad\u200b-\u200f\u2060\ufeff]|[\[({{<]\s*(?:[@.]|{_AT_WORD})|\b(?:{_DOT_WORD}|arobase|arroba|plus)\b", re.IGNORECASE)
+#: "at" needs a dot in the next word or a spelled one as well.)
+_SIGN = re.compile(rf"\bat\s+[A-Za-z0-9-]+\.[A-Za-z]|[\u00ad\u200b-\u200f\u2060\ufeff]|[\[({{<]\s*(?:[@.]|{_AT_WORD})|\b(?:{_DOT_WORD}|arobase|arroba|plus)\b", re.IGNORECASE)
 _DIGIT_WORD = re.compile(rf"\b(?:{_WORD})\b", re.IGNORECASE)
 _BESIDE = " \t\n\r\f\v().+-"
 
@@ -241,8 +268,10 @@ def _ats(text: str) -> list[tuple[str, int, int]]:
         local = start
         while local > free and (text[local - 1] in _LOCAL or text[local - 1] in _DOT + _POINT):
             local -= 1
-        plain_at = text[m.start() : m.start() + 2].lower() == "at" and text[m.start() + 2 : m.start() + 3].isspace()
-        if local < start and text[start - 1] not in "." + _DOT + _POINT and not (plain_at and text[local:start].lower() in PROSE_BEFORE_AT):
+        if local == start or text[start - 1] in "." + _DOT + _POINT:
+            continue
+        domain = m["domain"]
+        if domain is None or likely(text[max(0, local - 48) : local], text[local:start], domain, text[m.end() + len(domain) :][:8]):
             out.append(("@", start, m.end() - start))
             free = m.end()
     return out

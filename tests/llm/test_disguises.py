@@ -102,3 +102,31 @@ def test_random_disguises_map_back():
         text = before + shown + after
         got = {(k, text[a:b]) for k, a, b, _ in pii.spans(text)}
         assert (kind, shown) in got, (text, got)
+
+
+SITES = ["example dot com", "site dot ca", "mail dot example dot org", "acme (dot) net"]
+NAMES = ["bob", "jane", "info", "shop", "sales", "home", "talk", "press", "office", "j.doe", "team42", "maria"]
+ADDRESSES = ["Write to {0}", "Mail me: {0}", "Contact {0} for details.", "{0}", "My address is {0}.", "Email {0} today", "Reach us ({0})", "Send it to {0}, please.", "cc {0}", "Questions? {0}", "Anna, {0}, knows.", "Kontakt: {0}", "ask our friend, {0}"]
+PROSE = [
+    "Please look at {0} for news.", "the article at {0} says so", "Our office at {0} is closed.", "It was a party at {0}", "the annual conference at {0}", "See you at {0}!", "We met at {0}.", "It is sold at {0}.", "There is more to read at {0}.",
+    "They are available at {0}", "He works at {0}.", "She studied at {0}.", "their new shop at {0}", "Watch the show at {0}.", "Join us at {0}", "Everything at {0} is free.", "Visit the store at {0}.", "I live at {0}.", "this page at {0} is old", "You can order at {0}.",
+    "That event at {0} was fun.", "Sign up at {0}!", "some people at {0} say", "I saw it at {0}", "the best price at {0} ever", "Wait at {0}", "my desk at {0}.", "those days at {0}.",
+]
+
+
+def test_plain_at_is_told_by_its_context():
+    """Precision and recall of "name at site" in plain words; both are in the README."""
+    shown = [(text.format(address), address) for text in ADDRESSES for name in NAMES for site in SITES for address in (f"{name} at {site}",)]
+    hits = sum(("email", address) in kinds(text) for text, address in shown)
+    wrong = [text for text in (p.format(site) for p in PROSE for site in SITES) if any(k == "email" for k, _ in kinds(text))]
+    assert hits >= 0.97 * len(shown) and len(wrong) <= 0.03 * len(PROSE) * len(SITES), (hits, len(shown), wrong[:5])
+
+
+def test_sentences_that_a_list_of_words_got_wrong():
+    for text, address in (
+        ("Write to shop at example dot com", "shop at example dot com"), ("home at site dot ca", "home at site dot ca"), ("Mail people at acme dot org", "people at acme dot org"), ("talk at pycon dot org", "talk at pycon dot org"),
+        ("user at gmail.com", "user at gmail.com"), ("mail bob at site.org", "bob at site.org"), ("write to j.doe at site.org now", "j.doe at site.org"),
+    ):
+        assert ("email", address) in kinds(text), text
+    for text in ("the article at wikipedia dot org says", "the conference at stanford dot edu", "Our office at example dot com", "a party at noon dot com", "the shop at example.com is open", "look at example.com", "people at acme.org say", "We met at noon.then we left"):
+        assert not kinds(text), text

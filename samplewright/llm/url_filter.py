@@ -19,7 +19,7 @@ table gives an empty table. Only the columns named are read.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import pandas as pd
@@ -117,32 +117,46 @@ def _rank(rule: Rule) -> tuple:
 
 
 def judged(df: DataFrame, rules: Sequence[Rule], url: str = "url", keep: Sequence[str] = ("page_id",)) -> DataFrame:
-    """keep, then host, path, the deciding rule's name, tier and action (null: none fits)."""
+    """keep, then host, path, the deciding rule's name, tier and action (null: none fits).
+
+    A rule is compiled when a token first fetches it, once a task. Rules without a
+    token that an address must have whole are tried on every address, so a list
+    should have few of them; beyond MAX_BROADCAST rules that is a row for each
+    distinct address and such rule.
+    """
     spark = df.sparkSession
     on_workers(spark)
     host, path = host_and_path(F.col(url))
-    rows = df.select(*keep, host.alias("host"), path.alias("path"))
+    # One struct for what is kept: no names clash with these.
+    rows = df.select(F.struct(*keep).alias("_k"), host.alias("host"), path.alias("path"))
     index = filed(rows, rules)
     if len(rules) > MAX_BROADCAST:
-        return _joined(rows, index, keep)
+        return _joined(rows, index).select("_k.*", "host", "path", "name", "tier", "action")
     sent = spark.sparkContext.broadcast(index)
 
     @F.pandas_udf("name string, tier int, action string")
-    def decide(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        by_token = {t: [(_rank(r), re.compile(expression(r)), r) for r in own] for t, own in sent.value.items()}
-        always, none, out = by_token.pop("", []), (None, None, None), []
-        for h, p in zip(hosts, paths, strict=True):
-            address = h + p
-            fetched = [x for t in set(re.findall(TOKEN, address.translate(_FOLD))) if t in by_token for x in by_token[t]] if address else []
-            fits = [(rank, r) for rank, regex, r in fetched + always * bool(address) if regex.search(address)]
-            best = min(fits)[1] if fits else None
-            out.append((best.name, best.tier, best.action) if best else none)
-        return pd.DataFrame(out, columns=["name", "tier", "action"]).astype({"tier": "Int32"})
+    def decide(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        filed_, ready, none = sent.value, {}, (None, None, None)
+
+        def fetched(token: str) -> list[tuple]:
+            if token not in ready:
+                ready[token] = [(_rank(r), re.compile(expression(r)), r) for r in filed_[token]]
+            return ready[token]
+
+        for hosts, paths in batches:
+            out = []
+            for h, p in zip(hosts, paths, strict=True):
+                address = h + p
+                tokens = [t for t in {"", *re.findall(TOKEN, address.translate(_FOLD))} if t in filed_] if address else []
+                fits = [(rank, r) for t in tokens for rank, regex, r in fetched(t) if regex.search(address)]
+                best = min(fits)[1] if fits else None
+                out.append((best.name, best.tier, best.action) if best else none)
+            yield pd.DataFrame(out, columns=["name", "tier", "action"]).astype({"tier": "Int32"})
 
-    return rows.select(*keep, "host", "path", decide("host", "path").alias("_r")).select(*keep, "host", "path", "_r.*")
+    return rows.select("_k", "host", "path", decide("host", "path").alias("_r")).select("_k.*", "host", "path", "_r.*")
 
 
-def _joined(rows: DataFrame, index: dict[str, list[Rule]], keep: Sequence[str]) -> DataFrame:
+def _joined(rows: DataFrame, index: dict[str, list[Rule]]) -> DataFrame:
     """The same for any number of rules: distinct addresses joined with rules by token."""
     spark = rows.sparkSession
     flat = [(t, expression(r), *_rank(r), r.name, r.action) for t, own in index.items() for r in own]
@@ -153,7 +167,7 @@ def _joined(rows: DataFrame, index: dict[str, list[Rule]], keep: Sequence[str])
     tokens = F.array_union(F.array(F.lit("")), _tokens(address))
     fits = distinct.select("host", "path", "salt", F.explode(tokens).alias("token")).join(by_token, ["token", "salt"]).where(F.expr("concat(host, path) rlike regex"))
     best = fits.groupBy("host", "path").agg(F.min(F.struct("tier", "length", "tie", "name", "action")).alias("b"))
-    return rows.join(best, ["host", "path"], "left").select(*keep, "host", "path", "b.name", "b.tier", "b.action")
+    return rows.join(best, ["host", "path"], "left").select("_k", "host", "path", "b.name", "b.tier", "b.action")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import importlib
 import re
+import time
 
 import duckdb
 import pytest
@@ -67,3 +68,21 @@ def test_empty_table(spark):
             assert uf.judged(none, uf.FIXED + uf.PATTERNS).count() == 0
         finally:
             uf.MAX_BROADCAST = uf_most
+
+
+@pytest.mark.parametrize("most", [10**5, 0])
+def test_kept_columns_may_be_called_anything(spark, monkeypatch, most):
+    monkeypatch.setattr(uf, "MAX_BROADCAST", most)
+    rows = [(k, u, k, "x", "y") for k, u in enumerate(URLS)]
+    df = spark.createDataFrame(rows, "page_id long, url string, name long, token string, _r string")
+    got = uf.judged(df, uf.FIXED + uf.PATTERNS, keep=("page_id", "url", "token", "_r")).collect()
+    assert {(r["page_id"], r["url"], r["host"], r["action"]) for r in got} == {(k, u, brute(u, uf.FIXED + uf.PATTERNS)[0], brute(u, uf.FIXED + uf.PATTERNS)[3]) for k, u in enumerate(URLS)}
+
+
+def test_many_rules_compile_only_when_fetched(spark):
+    rules = [uf.Rule(f"r{k}", f"^word{k}^tail{k}^", "block") for k in range(50_000)]
+    df = spark.range(30_000).selectExpr("id AS page_id", "concat('http://h/word', id % 60000, '/tail', id % 60000, '/') AS url").repartition(4)
+    began = time.perf_counter()
+    got = {r["page_id"]: r["name"] for r in uf.judged(df, rules).collect()}
+    assert time.perf_counter() - began < 120
+    assert all(got[k] == f"r{k}" for k in range(30_000))

@@ -1,4 +1,4 @@
-"""Tail probabilities of the chi-square, F and T-square distributions, for arrays.
+"""The chi-square, F and T-square distributions, for arrays: densities, probabilities, moments.
 
 Incomplete gamma and beta functions by their series and continued fractions,
 all elements at once; columns get them through Arrow batches.
@@ -114,6 +114,69 @@ def t2_p_value(x, p, n) -> np.ndarray:
     return out
 
 
+def chi2_cdf(x, dof) -> np.ndarray:
+    """Probability of a chi-square below x."""
+    return 1 - chi2_p_value(x, dof)
+
+
+def _density(of, x, *numbers) -> np.ndarray:
+    """exp of a logarithm for x > 0, 0 below; nan where a number isn't positive."""
+    x, *numbers = np.broadcast_arrays(*(np.asarray(v, float) for v in (x, *numbers)))
+    out = np.where(np.isnan(x), np.nan, 0.0)
+    fine = (x > 0) & np.all([n > 0 for n in numbers], axis=0)
+    out[fine] = np.exp(of(x[fine], *(n[fine] for n in numbers)))
+    out[~np.all([n > 0 for n in numbers], axis=0)] = np.nan
+    return out
+
+
+def chi2_pdf(x, dof) -> np.ndarray:
+    """Density of chi-square."""
+    return _density(lambda x, k: (k / 2 - 1) * np.log(x) - x / 2 - k / 2 * np.log(2.0) - _lgamma(k / 2), x, dof)
+
+
+def f_pdf(x, d1, d2) -> np.ndarray:
+    """Density of F."""
+    log_beta = lambda a, b: _lgamma(a) + _lgamma(b) - _lgamma(a + b)
+    return _density(lambda x, a, b: a / 2 * np.log(a / b) + (a / 2 - 1) * np.log(x) - (a + b) / 2 * np.log1p(a * x / b) - log_beta(a / 2, b / 2), x, d1, d2)
+
+
+def _t2_scale(p, n) -> tuple[np.ndarray, np.ndarray]:
+    """What turns T-square into F, and F's second degrees of freedom; nan unless n - p + 1 > 0."""
+    p, n = np.broadcast_arrays(np.asarray(p, float), np.asarray(n, float))
+    rest = np.where(n - p + 1 > 0, n - p + 1, np.nan)
+    with np.errstate(all="ignore"):
+        return rest / p / n, rest
+
+
+def t2_cdf(x, p, n) -> np.ndarray:
+    """Probability of a T-square below x."""
+    return 1 - t2_p_value(x, p, n)
+
+
+def t2_pdf(x, p, n) -> np.ndarray:
+    """Density of T-square; nan unless n - p + 1 > 0."""
+    scale, rest = _t2_scale(p, n)
+    return scale * f_pdf(scale * np.asarray(x, float), p, np.where(np.isnan(rest), -1.0, rest))
+
+
+def t2_range(low, high, p, n) -> np.ndarray:
+    """Probability of a T-square from low to high."""
+    return t2_cdf(high, p, n) - t2_cdf(low, p, n)
+
+
+def t2_mean(p, n) -> np.ndarray:
+    """Mean of T-square; nan unless n > p + 1."""
+    p, n = np.broadcast_arrays(np.asarray(p, float), np.asarray(n, float))
+    return np.where(n - p - 1 > 0, n * p / np.where(n - p - 1 > 0, n - p - 1, 1), np.nan)
+
+
+def t2_variance(p, n) -> np.ndarray:
+    """Variance of T-square; nan unless n > p + 3."""
+    p, n = np.broadcast_arrays(np.asarray(p, float), np.asarray(n, float))
+    fine = n - p - 3 > 0
+    return np.where(fine, 2 * n * n * p * (n - 1) / np.where(fine, (n - p - 1) ** 2 * (n - p - 3), 1), np.nan)
+
+
 def _over_columns(of, *columns: Column) -> Column:
     on_workers(SparkSession.active())
 
@@ -135,12 +198,25 @@ def t2_p(x: Column, p: Column, n: Column) -> Column:
     return _over_columns(t2_p_value, x, p, n)
 
 
+#: Distributions by name, for columns: see distribution().
+OF_COLUMNS = {
+    "chi2_pdf": chi2_pdf, "chi2_cdf": chi2_cdf, "chi2_p_value": chi2_p_value, "f_pdf": f_pdf, "f_cdf": f_cdf, "t2_pdf": t2_pdf, "t2_cdf": t2_cdf, "t2_range": t2_range, "t2_p_value": t2_p_value, "t2_mean": t2_mean,
+    "t2_variance": t2_variance,
+}
+
+
+def distribution(name: str, *columns: Column) -> Column:
+    """A function of OF_COLUMNS of columns; null where it has no value."""
+    return _over_columns(OF_COLUMNS[name], *columns)
+
+
 def zeta_phi(q, twists: tuple[int, int, int] = (0, 0, 0), boost: tuple[float, float, float] = (0.0, 0.0, 0.0), gamma: float = 1.0, largest: int = 5) -> np.ndarray:
     """The phase atan(-gamma q pi^(3/2) / Z00(1; q^2)) of the finite-volume zeta function.
 
-    Z00 is a sum over whole vectors n of length up to `largest`, each shifted by
-    half the twists and the boost's momentum, with its integral term, and a power
-    series in q^2.
+    Z00 is a sum over whole vectors n, each shifted by half the twists and the
+    boost's momentum, with its integral term, and a power series in q^2. Of n, the
+    first two components lie within `largest` together, the third within the rounded
+    root of what they leave of its square.
     """
     q = np.atleast_1d(np.asarray(q, float))
     twist, d = np.array(twists, float), np.array(boost, float)

@@ -269,10 +269,13 @@ def supermulti_error(df: DataFrame, keys: Keys, ensemble: str, kind: str) -> Dat
     return present(df).groupBy(*keys, ensemble, kind).agg(of.alias("_e")).groupBy(*keys).agg(F.sqrt(F.sum("_e")).alias("error"))
 
 
-def bootstrap_autocorrelation(df: DataFrame, keys: Keys, most: int, size: int, boots: int, n: int, seed: int = 1234) -> DataFrame:
-    """(keys, lag, s, v): for each boot the binned lag products' mean over that of lag 0; n - most pairs at every lag."""
+def bootstrap_autocorrelation(df: DataFrame, keys: Keys, most: int, size: int, boots: int, n: int, seed: int = 1234, means: DataFrame | None = None) -> DataFrame:
+    """(keys, lag, s, v): for each boot the binned lag products' mean over that of lag 0; n - most pairs at every lag.
+
+    means (keys, v) are those the products are taken about, where they aren't df's own.
+    """
     df = present(df)
-    mean = df.groupBy(*keys).agg(F.avg("v").alias("_mean"))
+    mean = df.groupBy(*keys).agg(F.avg("v").alias("_mean")) if means is None else means.select(*keys, F.col("v").alias("_mean"))
     left = df.where(F.col("s") < n - most).withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("_at", F.col("s") + F.col("lag"))
     right = df.select(*keys, F.col("s").alias("_at"), F.col("v").alias("_w"))
     products = left.join(right, [*keys, "_at"]).join(mean, list(keys)).select(*keys, "lag", "s", F.expr("(v - _mean) * (_w - _mean)").alias("v"))

@@ -119,10 +119,26 @@ def momentum_product(source: DataFrame, sink: DataFrame, weights: DataFrame) ->
     return left.join(right, ["q", "t", "s"]).groupBy("t", "s").agg(F.sum(F.col("weight") * F.col("_a") * F.col("_b")).alias("v"))
 
 
-def less_vacuum(product: DataFrame, bubble: DataFrame) -> DataFrame:
-    """(t, s, v): a resampled product less the product of the resampled bubbles (s, v) at the same sample."""
-    other = bubble.select("s", (F.col("v") * F.col("v")).alias("_w"))
-    return product.join(other, "s").select("t", "s", (F.col("v") - F.col("_w")).alias("v"))
+def less_vacuum(product: DataFrame, bubble: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    """(t, s, v): a resampled product less the product of the resampled bubbles at the same sample, source and sink, or one of them twice.
+
+    Bubbles are (s, v), or (t, s, v) where they depend on the time.
+    """
+    out = product
+    for k, b in enumerate((bubble, other if other is not None else bubble)):
+        out = out.join(b.select(*(c for c in ("t", "s") if c in b.columns), F.col("v").alias(f"_{k}")), [c for c in ("t", "s") if c in b.columns])
+    return out.select("t", "s", (F.col("v") - F.col("_0") * F.col("_1")).alias("v"))
+
+
+def mixing(type4: DataFrame, mix4: DataFrame) -> DataFrame:
+    """(t, s, v): the coefficient alpha, what couples an operator to the vacuum over what couples the subtraction to it, sample by sample."""
+    return matched(type4, mix4, ["t", "s"]).select("t", "s", F.try_divide("v", "_w").alias("v"))
+
+
+def less_mixing(df: DataFrame, alpha: DataFrame, subtraction: DataFrame, scale: float = 1.0) -> DataFrame:
+    """(t, s, v): df less scale * alpha * subtraction, all (t, s, v)."""
+    product = matched(alpha, subtraction, ["t", "s"]).select("t", "s", (scale * F.col("v") * F.col("_w")).alias("v"))
+    return matched(df, product, ["t", "s"]).select("t", "s", (F.col("v") - F.col("_w")).alias("v"))
 
 
 def contracted(parts: DataFrame, coefficients: dict[str, float]) -> DataFrame:

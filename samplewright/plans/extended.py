@@ -365,10 +365,6 @@ _add(
 _add("events_numbered", lambda spark, d: S.numbered(spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id"), ["user_id"], "event_id", 64), "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS s FROM events")
 
 # Synthetic samples, determinants, saved parameters.
-_add(
-    "synthetic_samples", lambda spark, d: Z.synthetic(spark, 5, 200, 1.0, 0.5).join(spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").cast("long").alias("t")), "t"),
-    f"SELECT id // 200 AS t, id % 200 AS s, round(1 + 0.5 * {Z.gaussian('id', 1234)}, 7) AS v FROM range(1000) r(id) JOIN region ON r_regionkey = id // 200", v=7,
-)
 _add("determinants", lambda spark, d: G.determinants(_pair(spark, d), ["t", "s"]), f"WITH {_PR} SELECT t, s, round(a * c - b * b, 8) AS v FROM pr", v=8)
 _add(
     "orthonormal_rows", lambda spark, d: G.orthonormal(_pair(spark, d), ["t", "s"]).where("i = 0").select("t", "s", F.col("j").cast("long").alias("j"), "v"),

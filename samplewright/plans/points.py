@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samplewright.functions import couplings
+from samplewright.functions import couplings, special
 from samplewright.operators import coordinates as Q
 from samplewright.operators import fits as L
 from samplewright.operators import projections as J
 from samplewright.operators import resampling as R
+from samplewright.operators import selection as C
 
 from .extended import _PR, QUANTITY, _pair
-from .registry import _ER, _JK, _jack, _rounded
+from .registry import _ER, _JK, N, _jack, _rounded, samples
 
 QUERIES, ORACLES = {}, {}
 #: Samples of the cells by line number, channel and order.
@@ -131,3 +132,38 @@ def _steep(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RATIO = f"WITH {_JK}, r AS (SELECT a.s, a.v / b.v * exp(1.2) AS r FROM jk a JOIN jk b ON a.t = 5 AND b.t = 6 AND a.s = b.s)"
 _add("cosh_mass_closed", lambda spark, d: L.cosh_mass(_steep(spark, d).where("t >= 5"), 12).select("s", "v"), f"{_RATIO} SELECT s, round(acosh(r), 6) AS v FROM r", v=6)
 _add("sinh_mass_closed", lambda spark, d: L.cosh_mass(_steep(spark, d).where("t >= 5"), 14, odd=True).select("s", "v"), f"{_RATIO} SELECT s, round(acosh(r / 2), 6) AS v FROM r", v=6)
+
+
+# Distributions with a closed form: chi-square of 4, F of 2 and 10, T-square of 2 and 49 degrees of freedom.
+def _distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _jack(spark, sf_dir).select("t", "s", (F.col("v") / 10000).alias("x"))
+    of = lambda name, *numbers: special.distribution(name, F.col("x"), *map(F.lit, numbers)).alias(name)
+    return x.select("t", "s", of("chi2_pdf", 4), of("chi2_cdf", 4), of("f_pdf", 2, 10), of("f_cdf", 2, 10), of("t2_pdf", 2, 49), of("t2_cdf", 2, 49), special.distribution("t2_range", F.lit(1), *(F.col("x"), F.lit(2), F.lit(49))).alias("t2_range"))
+
+
+_add(
+    "distributions", _distributions,
+    f"WITH {_JK}, z AS (SELECT t, s, v / 10000 AS x FROM jk) SELECT t, s, round(x / 4 * exp(-x / 2), 9) AS chi2_pdf, round(1 - exp(-x / 2) * (1 + x / 2), 9) AS chi2_cdf, round(pow(1 + x / 5, -6), 9) AS f_pdf, round(1 - pow(1 + x / 5, -5), 9) AS f_cdf, round(24.0 / 49 * pow(1 + x / 49, -25), 9) AS t2_pdf, round(1 - pow(1 + x / 49, -24), 9) AS t2_cdf, round(pow(1 + 1.0 / 49, -24) - pow(1 + x / 49, -24), 9) AS t2_range FROM z",
+    chi2_pdf=9, chi2_cdf=9, f_pdf=9, f_cdf=9, t2_pdf=9, t2_cdf=9, t2_range=9,
+)
+
+# Subtractions: bubbles of source and sink, and the coefficient that takes the vacuum out.
+_add(
+    "two_bubbles", lambda spark, d: C.less_vacuum(_jack(spark, d), _jack(spark, d, QUANTITY), _jack(spark, d).where("t = 1").drop("t")),
+    f"WITH {_JK} SELECT a.t, a.s, round(a.v - a.q * b.v, 2) AS v FROM jk a JOIN jk b ON b.t = 1 AND a.s = b.s", v=2,
+)
+
+
+def _less_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price, quantity = _jack(spark, sf_dir), _jack(spark, sf_dir, QUANTITY)
+    later = lambda df: df.where("t > 0").withColumn("t", F.col("t") - 1)
+    early = lambda df: df.where("t < 6")
+    return C.less_mixing(early(price), C.mixing(later(price), later(quantity)), early(quantity), 0.5)
+
+
+_add("less_mixing", _less_mixing, f"WITH {_JK} SELECT a.t, a.s, round(a.v - 0.5 * b.v / b.q * a.q, 3) AS v FROM jk a JOIN jk b ON b.t = a.t + 1 AND a.s = b.s", v=3)
+# Autocorrelation about means from elsewhere.
+_add(
+    "autocorrelation_about_means", lambda spark, d: R.bootstrap_autocorrelation(samples(spark, d), ["t"], 3, 4, 10, N, means=_jack(spark, d, QUANTITY).where("s = 0").select("t", (F.col("v") * 1400).alias("v"))).where("s = -1").select("t", "lag", "v"),
+    f"WITH {_JK}, m AS (SELECT t, q * 1400 AS m FROM jk WHERE s = 0), p AS (SELECT a.t, g::INT AS lag, a.s // 4 AS b, avg((a.v - m) * (c.v - m)) AS p, count(*) AS n FROM li a JOIN range(4) r(g) ON TRUE JOIN li c ON c.t = a.t AND c.s = a.s + g JOIN m ON m.t = a.t WHERE a.s < 47 GROUP BY a.t, g, a.s // 4 HAVING count(*) = 4), l AS (SELECT t, lag, avg(p) AS p FROM p GROUP BY t, lag) SELECT t, lag, round(l.p / z.p, 8) AS v FROM l JOIN (SELECT t, p FROM l WHERE lag = 0) z USING (t)", v=8,
+)

@@ -81,3 +81,23 @@ def test_f_and_t_square_tails():
 def test_tails_of_columns(spark):
     df = spark.createDataFrame([(4.0, 2), (None, 2), (-1.0, 2)], "x double, dof int")
     assert [r[0] for r in df.select(D.chi2_p(F.col("x"), F.col("dof"))).collect()] == [pytest.approx(math.exp(-2)), None, None]
+
+
+def test_densities_are_slopes_of_probabilities():
+    x, h = np.linspace(0.05, 30, 400), 1e-5
+    for density, below, numbers in ((D.chi2_pdf, D.chi2_cdf, (1,)), (D.chi2_pdf, D.chi2_cdf, (7,)), (D.f_pdf, D.f_cdf, (3, 8)), (D.f_pdf, D.f_cdf, (10, 2)), (D.t2_pdf, D.t2_cdf, (4, 30)), (D.t2_pdf, D.t2_cdf, (1, 5))):
+        assert density(x, *numbers) == pytest.approx((below(x + h, *numbers) - below(x - h, *numbers)) / (2 * h), rel=1e-5, abs=1e-9)
+        assert density(np.array([-1.0]), *numbers) == 0
+    assert D.t2_range(2.0, 5.0, 4, 30) == pytest.approx(D.t2_cdf(5.0, 4, 30) - D.t2_cdf(2.0, 4, 30))
+    grid = np.linspace(1e-6, 4000, 4_000_001)
+    density = D.t2_pdf(grid, 3, 40)
+    mean = np.trapezoid(grid * density, grid)
+    assert D.t2_mean(3, 40) == pytest.approx(mean, rel=1e-4)
+
+
+def test_distributions_without_a_value(spark):
+    for wrong in (D.chi2_pdf(1.0, -1), D.f_pdf(1.0, 0, 3), D.t2_pdf(1.0, 5, 3), D.t2_cdf(1.0, 5, 3), D.t2_mean(5, 6), D.t2_variance(3, 6), D.chi2_pdf(np.nan, 3)):
+        assert np.isnan(wrong)
+    df = spark.createDataFrame([(1.0, 2, 9.0), (None, 2, 9.0), (1.0, 5, 3.0)], "x double, p int, n double")
+    got = [r[0] for r in df.select(D.distribution("t2_pdf", df["x"], df["p"], df["n"])).collect()]
+    assert got[0] > 0 and got[1:] == [None, None]

@@ -106,7 +106,7 @@ def _optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add(
-    "optimal_operator", _optimal,
+    "state_projection", _optimal,
     f"WITH {_PR}, r AS (SELECT s, c / (a * c - b * b) / 2 AS r0, -b / (a * c - b * b) / 2 AS r1 FROM pr WHERE t = 0) SELECT t, s, round(a * r0 * r0 + 2 * b * r0 * r1 + c * r1 * r1, 7) AS v FROM pr JOIN r USING (s) WHERE t > 0", v=7,
 )
 

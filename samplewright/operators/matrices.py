@@ -8,6 +8,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Ten weak operators in the chiral basis of seven, and back.
+SEVEN_FROM_TEN = (
+    (3, 2, -1, 0, 0, 0, 0, 0, 0, 0),
+    (2 / 5, -2 / 5, 1 / 5, 0, 0, 0, 0, 0, 0, 0),
+    (-3 / 5, 3 / 5, 1 / 5, 0, 0, 0, 0, 0, 0, 0),
+    (0, 0, 0, 0, 1, 0, 0, 0, 0, 0),
+    (0, 0, 0, 0, 0, 1, 0, 0, 0, 0),
+    (0, 0, 0, 0, 0, 0, 1, 0, 0, 0),
+    (0, 0, 0, 0, 0, 0, 0, 1, 0, 0),
+)
+TEN_FROM_SEVEN = (
+    (1 / 5, 1, 0, 0, 0, 0, 0),
+    (1 / 5, 0, 1, 0, 0, 0, 0),
+    (0, 3, 2, 0, 0, 0, 0),
+    (0, 2, 3, 0, 0, 0, 0),
+    (0, 0, 0, 1, 0, 0, 0),
+    (0, 0, 0, 0, 1, 0, 0),
+    (0, 0, 0, 0, 0, 1, 0),
+    (0, 0, 0, 0, 0, 0, 1),
+    (3 / 10, 0, -1, 0, 0, 0, 0),
+    (3 / 10, -1, 0, 0, 0, 0, 0),
+)
+
+
 def _sample(*dfs: DataFrame) -> list[str]:
     """The sample column, where all of them have one."""
     return ["s"] if all("s" in df.columns for df in dfs) else []

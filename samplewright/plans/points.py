@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from samplewright.functions import couplings, special
 from samplewright.operators import coordinates as Q
 from samplewright.operators import fits as L
+from samplewright.operators import matrices as M
 from samplewright.operators import projections as J
 from samplewright.operators import resampling as R
 from samplewright.operators import selection as C
 
 from .extended import _PR, QUANTITY, _pair
-from .registry import _ER, _JK, N, _jack, _rounded, samples
+from .registry import _ER, _JK, _LI, N, _jack, _rounded, samples
 
 QUERIES, ORACLES = {}, {}
 #: Samples of the cells by line number, channel and order.
@@ -167,3 +168,14 @@ _add(
     "autocorrelation_about_means", lambda spark, d: R.bootstrap_autocorrelation(samples(spark, d), ["t"], 3, 4, 10, N, means=_jack(spark, d, QUANTITY).where("s = 0").select("t", (F.col("v") * 1400).alias("v"))).where("s = -1").select("t", "lag", "v"),
     f"WITH {_JK}, m AS (SELECT t, q * 1400 AS m FROM jk WHERE s = 0), p AS (SELECT a.t, g::INT AS lag, a.s // 4 AS b, avg((a.v - m) * (c.v - m)) AS p, count(*) AS n FROM li a JOIN range(4) r(g) ON TRUE JOIN li c ON c.t = a.t AND c.s = a.s + g JOIN m ON m.t = a.t WHERE a.s < 47 GROUP BY a.t, g, a.s // 4 HAVING count(*) = 4), l AS (SELECT t, lag, avg(p) AS p FROM p GROUP BY t, lag) SELECT t, lag, round(l.p / z.p, 8) AS v FROM l JOIN (SELECT t, p FROM l WHERE lag = 0) z USING (t)", v=8,
 )
+
+
+# Seven operators in the basis of ten, and back again.
+def _ten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seven = samples(spark, sf_dir).select(F.col("t").alias("j"), F.lit(0).alias("t"), "s", "v")
+    return M.in_basis(seven, M.TEN_FROM_SEVEN)
+
+
+_MATRIX = ", ".join(f"({i}, {j}, {c!r}::DOUBLE)" for i, row in enumerate(M.TEN_FROM_SEVEN) for j, c in enumerate(row) if c)
+_add("basis_of_ten", lambda spark, d: _ten(spark, d).select("i", "s", "v"), f"WITH {_LI}, b(i, j, c) AS (VALUES {_MATRIX}) SELECT i, s, round(sum(c * v), 4) AS v FROM li JOIN b ON t = j GROUP BY i, s", v=4)
+_add("basis_of_seven", lambda spark, d: M.in_basis(_ten(spark, d).withColumnRenamed("i", "j"), M.SEVEN_FROM_TEN).select("i", "s", (F.col("v") * F.exp(F.lit(-0.1))).alias("v")), f"WITH {_LI} SELECT t::INT AS i, s, round(v * exp(-0.1), 4) AS v FROM li", v=4)

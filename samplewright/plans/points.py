@@ -177,5 +177,5 @@ def _ten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MATRIX = ", ".join(f"({i}, {j}, {c!r}::DOUBLE)" for i, row in enumerate(M.TEN_FROM_SEVEN) for j, c in enumerate(row) if c)
-_add("basis_of_ten", lambda spark, d: _ten(spark, d).select("i", "s", "v"), f"WITH {_LI}, b(i, j, c) AS (VALUES {_MATRIX}) SELECT i, s, round(sum(c * v), 4) AS v FROM li JOIN b ON t = j GROUP BY i, s", v=4)
+_add("basis_of_ten", lambda spark, d: _ten(spark, d).select("i", "s", (F.col("v") * F.exp(F.lit(-0.1))).alias("v")), f"WITH {_LI}, b(i, j, c) AS (VALUES {_MATRIX}) SELECT i, s, round(sum(c * v) * exp(-0.1), 4) AS v FROM li JOIN b ON t = j GROUP BY i, s", v=4)
 _add("basis_of_seven", lambda spark, d: M.in_basis(_ten(spark, d).withColumnRenamed("i", "j"), M.SEVEN_FROM_TEN).select("i", "s", (F.col("v") * F.exp(F.lit(-0.1))).alias("v")), f"WITH {_LI} SELECT t::INT AS i, s, round(v * exp(-0.1), 4) AS v FROM li", v=4)

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from samplewright.functions import special
 from samplewright.workers import on_workers
 
 from .fits import Function, Options, degrees, fit
@@ -71,6 +72,19 @@ def resampled_q2(
     return rows.mapInPandas(of, schema)
 
 
+def central(raw: DataFrame, function: Function, low: float, high: float, strategy: str = "frozen", size: int = 1, options: Options = Options(), cutoff: float | None = None) -> DataFrame:
+    """One row (parameters by name, chi2, dof, converged, p, p_t2): the fit to the means of raw samples, weighed as the strategy says for means.
+
+    p is the tail of chi-square, p_t2 that of T-square, which the finite number of
+    (binned) samples makes of it.
+    """
+    none = raw.sparkSession.createDataFrame([], "b long, pos long, s long")
+    n = raw.where(F.col("t").between(low, high) & F.col("v").isNotNull()).groupBy("t").agg(F.count("*").alias("n")).agg(F.min(F.floor(F.col("n") / (1 if strategy == "block" else size)) - 1).alias("_n"))
+    found = resampled_q2(raw, none, function, low, high, strategy, size, options, cutoff).drop("s").join(F.broadcast(n))  # one row each
+    tail = lambda name, *more: special.distribution(name, F.col("chi2"), F.col("dof"), *more)
+    return found.select(*function.names, "chi2", "dof", "converged", tail("chi2_p_value").alias("p"), tail("t2_p_value", F.col("_n")).alias("p_t2"))
+
+
 def placed(q2: DataFrame) -> DataFrame:
     """(p): the share of the boots' chi-squares after the one closest to the central one (s = -1), in order of size."""
     centre = q2.where("s = -1").first()  # one row

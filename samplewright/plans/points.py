@@ -10,6 +10,7 @@ from samplewright.operators import coordinates as Q
 from samplewright.operators import fits as L
 from samplewright.operators import matrices as M
 from samplewright.operators import projections as J
+from samplewright.operators import pvalues as V
 from samplewright.operators import resampling as R
 from samplewright.operators import selection as C
 
@@ -179,3 +180,9 @@ def _ten(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MATRIX = ", ".join(f"({i}, {j}, {c!r}::DOUBLE)" for i, row in enumerate(M.TEN_FROM_SEVEN) for j, c in enumerate(row) if c)
 _add("basis_of_ten", lambda spark, d: _ten(spark, d).select("i", "s", (F.col("v") * F.exp(F.lit(-0.1))).alias("v")), f"WITH {_LI}, b(i, j, c) AS (VALUES {_MATRIX}) SELECT i, s, round(sum(c * v) * exp(-0.1), 4) AS v FROM li JOIN b ON t = j GROUP BY i, s", v=4)
 _add("basis_of_seven", lambda spark, d: M.in_basis(_ten(spark, d).withColumnRenamed("i", "j"), M.SEVEN_FROM_TEN).select("i", "s", (F.col("v") * F.exp(F.lit(-0.1))).alias("v")), f"WITH {_LI} SELECT t::INT AS i, s, round(v * exp(-0.1), 4) AS v FROM li", v=4)
+
+# The fit to the means alone, with both tails; of two degrees of freedom they have a closed form.
+_add(
+    "fit_central", lambda spark, d: V.central(samples(spark, d), L.polynomial(0), 2, 4, "uncorrelated"),
+    f"WITH {_LI}, m AS (SELECT t, avg(v) AS m, (count(*) - 1) / var_pop(v) AS w FROM li WHERE t BETWEEN 2 AND 4 GROUP BY t), a AS (SELECT sum(w * m) / sum(w) AS a FROM m), c AS (SELECT any_value(a) AS a, sum(w * (m - a) ** 2) AS c FROM m, a) SELECT round(a, 3) AS a0, round(c, 5) AS chi2, 2::INT AS dof, true AS converged, round(exp(-c / 2), 7) AS p, round(pow(1 + c / 49, -24), 7) AS p_t2 FROM c", a0=3, chi2=5, p=7, p_t2=7,
+)

@@ -51,7 +51,11 @@ def xml_dump(df: DataFrame, path: str, tag: str) -> None:
 
 
 def unpacked(data: bytes) -> list[tuple[str, int, float]]:
-    """(ens, s, v) of one big-endian file of jackknife ensembles side by side, the average as s = -1 of each."""
+    """(ens, s, v) of one big-endian file: jackknife samples (type 2), boots (3) or jackknife ensembles side by side (4).
+
+    The average, or the boots' central value, is s = -1 of each ensemble; the first
+    two have one, without a name.
+    """
     at = 0
 
     def take(kind: str, n: int = 1) -> tuple:
@@ -61,9 +65,14 @@ def unpacked(data: bytes) -> list[tuple[str, int, float]]:
         return found
 
     kind, n = take("i", 2)
+    if kind not in (2, 3, 4):
+        raise ValueError(f"sample type 2, 3 or 4 expected, not {kind}")
+    samples, (average,) = take("d", n), take("d")
     if kind != 4:
-        raise ValueError(f"sample type 4 expected, not {kind}")
-    samples, (average,), (ensembles,) = take("d", n), take("d"), take("i")
+        if at != len(data):
+            raise ValueError(f"sample type 4 expected, not {kind}: {len(data) - at} bytes follow the samples")
+        return [("", -1, average), *(("", s, v) for s, v in enumerate(samples))]
+    (ensembles,) = take("i")
     if any(k != 2 for k in take("i", ensembles)) or take("i")[0] != ensembles:
         raise ValueError("ensembles of jackknife samples expected")
     out, start = [], 0

@@ -122,3 +122,15 @@ def test_orthonormal_rows(spark):
         got[r["i"], r["j"]] = r["v"]
     assert np.allclose(got @ got.T, np.eye(3)) and np.allclose(np.tril(a @ got.T), a @ got.T) and (np.diag(a @ got.T) > 0).all()
     assert {r["s"]: r["v"] for r in G.determinants(df, ["s"]).collect()} == {0: pytest.approx(np.linalg.det(a)), 1: None}
+
+
+def test_binary_files_of_one_ensemble(spark, tmp_path):
+    for kind, name in ((2, "jackknife.dat"), (3, "boots.dat")):
+        data = struct.pack(">ii", kind, 3) + Z.numbers([1.5, 2.5, 3.5]) + Z.numbers([2.25])
+        (tmp_path / name).write_bytes(data)
+        got = {(r["ens"], r["s"]): r["v"] for r in Z.binary_ensembles(spark, str(tmp_path / name)).collect()}
+        assert got == {("", -1): 2.25, ("", 0): 1.5, ("", 1): 2.5, ("", 2): 3.5}
+        with pytest.raises(ValueError, match="bytes follow"):
+            Z.unpacked(data + b"x")
+    with pytest.raises(ValueError, match="sample type"):
+        Z.unpacked(struct.pack(">ii", 1, 0))

@@ -38,7 +38,9 @@ from .common import joined_spread, on_workers, table, written
 
 MIN_DOCUMENTS, SMOOTHING, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Rows of counts that a task holds before it emits them, bytes of a text that are split at once, sources of a block.
-HELD, PIECE, BLOCK = 1 << 19, 1 << 22, 128
+HELD, PIECE, BLOCK = 1 << 20, 1 << 22, 128
+#: Bits of a term's occurrences beside its documents; a task emits long before they are full.
+SHIFT = 40
 #: Every byte that isn't part of a term becomes a blank, A to Z become a to z; bytes beyond ASCII are parts of letters.
 _FOLD = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
 _COUNTS = "lang string, term string, source string, document long, n_documents long, n long"
@@ -59,31 +61,35 @@ def counts(df: DataFrame, id: str = "doc_id") -> DataFrame:
     """df (id, text, lang, source) to each task's counts: documents and occurrences by lang, term and source."""
     on_workers(df.sparkSession)
 
-    def emitted(held: dict) -> pd.DataFrame:
-        rows = [(lang, term.decode("utf-8", "surrogatepass"), source, first, d, n) for (lang, source), own in held.items() for term, (first, d, n) in own.items()]
-        return pd.DataFrame(rows, columns=["lang", "term", "source", "document", "n_documents", "n"])
+    def emitted(held: dict, first: int) -> pd.DataFrame:
+        parts = []
+        for (lang, source), own in held.items():
+            both = np.fromiter(own.values(), np.int64, len(own))
+            term = b"\n".join(own).decode("utf-8", "surrogatepass").split("\n") if own else []
+            parts.append(pd.DataFrame({"lang": lang, "term": term, "source": source, "document": first, "n_documents": both >> SHIFT, "n": both & (1 << SHIFT) - 1}))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["lang", "term", "source", "document", "n_documents", "n"])
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[str, str], dict[bytes, list]] = {}
-        size = 0
+        # Documents and occurrences of a term in one number.
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
+        size, one, first, seen, docs = 0, 1 << SHIFT, None, 0, 0
         for batch in batches:
             for doc, text, lang, source in zip(batch["_id"], batch["text"], batch["lang"], batch["source"], strict=True):
                 found: Counter[bytes] = Counter()
                 for some in terms(text):
                     found.update(some)
+                first = doc if first is None else first
                 own = held.setdefault((lang, source), {})
                 size -= len(own)
+                seen, docs = seen + found.total(), docs + 1
+                get = own.get
                 for term, n in found.items():
-                    if (c := own.get(term)) is None:
-                        own[term] = [doc, 1, n]
-                    else:
-                        c[1] += 1
-                        c[2] += n
+                    own[term] = get(term, 0) + one + n
                 size += len(own)
-                if size > HELD:
-                    yield emitted(held)
-                    held, size = {}, 0
-        yield emitted(held)
+                if size > HELD or seen >= one >> 2 or docs >= 1 << 62 - SHIFT:
+                    yield emitted(held, first)
+                    held, size, first, seen, docs = {}, 0, None, 0, 0
+        yield emitted(held, first or 0)
 
     blank = lambda name: F.coalesce(F.col(name), F.lit("")).alias(name)
     return df.select(F.coalesce(F.col(id), F.lit(-1)).cast("long").alias("_id"), blank("text"), blank("lang"), blank("source")).mapInPandas(of, _COUNTS)

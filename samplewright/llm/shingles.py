@@ -1,10 +1,12 @@
 """Near copies by words: texts that share 0.8 or more of their 5-word shingles.
 
-At that similarity 64-bit SimHash fingerprints lie some ten bits apart, far
-outside any radius whose anchors can be counted out. So candidates come from
-min-hashes: BANDS keys of ROWS smallest shingle hashes each; a pair at 0.8 shares
-no key once in 40,000. Every candidate is then held against the exact Jaccard
-similarity of the shingle sets before it links.
+Candidates come from SimHash first: fingerprints within NEAR bits of each other
+are found by their anchors, as in op5, and a class of linked ones is a key. Texts
+at 0.8 may lie ten bits apart, though, far outside any radius whose anchors can be
+counted out. For these, min-hashes give further keys: BANDS of ROWS smallest
+shingle hashes each; a pair at 0.8 shares none of them once in 40,000. Every
+candidate, of either kind, is then held against the exact Jaccard similarity of
+the shingle sets before it links.
 
 Texts with the same words are one node. Of each key, first every node is held
 against the smallest one. Keys whose nodes are connected by then are done; the
@@ -38,9 +40,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import joined_spread, on_workers, written
-from .simhash import SEED, components
+from .simhash import SEED, components, fingerprint, near_duplicates
 
 WIDTH, LEAST = 5, 0.8
+#: Bits in which linked fingerprints may differ.
+NEAR = 2
 BANDS, ROWS = 20, 4
 #: Nodes of a block, and bytes of its sets.
 WIDE, CHUNK = 1024, 1 << 26
@@ -218,6 +222,13 @@ def links(keyed: DataFrame, sets: DataFrame, least: float = LEAST, kind: type =
     return starred.unionByName(found)
 
 
+def fingerprint_keys(nodes: DataFrame, threshold: int = NEAR) -> DataFrame:
+    """nodes (point, print) to (key, point): the class of fingerprints linked by op5's anchors, where it has more than one node."""
+    classes = written(near_duplicates(nodes.select(F.col("point").alias("node"), F.col("print").alias("point")), threshold, "node").select("class", "node"))
+    several = classes.groupBy("class").agg(F.count("*").alias("_rows")).where("_rows > 1")
+    return joined_spread(classes, written(several), ["class"]).select(F.col("class").alias("key"), F.col("node").alias("point"))
+
+
 def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """df with one row of each group of near copies left: the one with the smallest id, then hash.
 
@@ -225,10 +236,10 @@ def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", least: fl
     """
     on_workers(df.sparkSession)
 
-    @F.pandas_udf("point long, keys array<long>")
+    @F.pandas_udf("point long, print long, keys array<long>")
     def read(texts: pd.Series) -> pd.DataFrame:
-        points = np.array([point_of(t) for t in texts], np.uint64).view(np.int64)
-        return pd.DataFrame({"point": points, "keys": [band_keys(shingles(t)) for t in texts]})
+        points, prints = (np.array([f(t) for t in texts], np.uint64).view(np.int64) for f in (point_of, fingerprint))
+        return pd.DataFrame({"point": points, "print": prints, "keys": [band_keys(shingles(t)) for t in texts]})
 
     @F.pandas_udf("found binary, digits binary")
     def stored(texts: pd.Series) -> pd.DataFrame:
@@ -238,10 +249,10 @@ def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", least: fl
     key = [F.xxhash64(id, text).alias("_k"), F.hash(id, text).alias("_k2")]
     rows = written(df.select(F.col(id).alias("_id"), *key, read(F.coalesce(F.col(text), F.lit(""))).alias("_r")).select("_id", "_k", "_k2", "_r.*"))
     best = F.min(F.struct(F.coalesce("_id", F.lit(2**63 - 1)).alias("low"), "_k", "_k2")).alias("best")
-    nodes = written(rows.groupBy("point").agg(best))
+    nodes = written(rows.groupBy("point").agg(best, F.first("print").alias("print")))
     keyed = rows.select(F.explode("keys").alias("key"), "point").distinct()
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    keyed = written(keyed.join(shared, "key"))
+    keyed = written(keyed.join(shared, "key").unionByName(fingerprint_keys(nodes)).distinct())
     leads = nodes.join(keyed.select("point").distinct(), "point", "left_semi").select("point", "best._k", "best._k2")
     sets = df.select(*key, F.coalesce(F.col(text), F.lit("")).alias("_text")).join(leads, ["_k", "_k2"])
     sets = written(sets.select("point", stored("_text").alias("_s")).select("point", "_s.*").dropDuplicates(["point"]))

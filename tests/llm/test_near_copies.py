@@ -92,3 +92,21 @@ def test_many_texts_with_one_passage_take_bounded_work(spark):
     # Copies of a tail are alike to 0.8 or more unless both edits fall so that more than a fifth of the shingles differ.
     pair = lambda k: similarity(texts[2 * k], texts[2 * k + 1]) >= 0.8
     assert sorted(left) == sorted(d for k in range(10_000) for d in ([2 * k] if pair(k) else [2 * k, 2 * k + 1]))
+
+
+def test_fingerprints_alone_find_the_closest_copies(spark, monkeypatch, tmp_path):
+    """op5's fingerprints are a step of their own: without any min-hash the stage still links what lies within their radius and is alike."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    simhash = importlib.import_module("samplewright.llm.simhash")
+    monkeypatch.setattr(shingles, "band_keys", lambda found: np.zeros(0, np.int64))
+    rng = np.random.default_rng(31)
+    texts = []
+    for _ in range(10):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 1500)]
+        texts += [" ".join(words), *(edited(rng, words, n) for n in (1, 2, 5))]
+    texts += ["", " "]
+    near = lambda a, b: similarity(a, b) >= 0.8 and (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r["doc_id"] for r in pipeline.distinct(spark, docs, str(tmp_path)).collect()}
+    assert left == smallest_of_groups(texts, near)
+    assert len(left) < 25

@@ -165,13 +165,30 @@ def bootstrap_error(df: DataFrame, keys: Keys, confidence: int = 68) -> DataFram
     return df.where("s = -1").select(*keys, F.col("v").alias("central")).join(edges, list(keys))
 
 
-def autocorrelation(df: DataFrame, keys: Keys, most: int) -> DataFrame:
-    """(keys, lag, c, tau): autocorrelation by lag up to `most`, and its integral from 1/2."""
+def autocorrelation(df: DataFrame, keys: Keys, most: int, width: int = 4096) -> DataFrame:
+    """(keys, lag, c, tau): autocorrelation by lag up to `most`, and its integral from 1/2.
+
+    Samples go in blocks of `width` places; a block also gets the first ones of the
+    next, so each row travels once and no task holds a whole series. Places may have
+    gaps, and more than one sample: all pairs at a lag count.
+    """
+    width = max(width, most)
     df = present(df)
+    block = F.floor(F.col("s") / width)
     stats = df.groupBy(*keys).agg(F.avg("v").alias("_mean"), F.var_pop("v").alias("_var"))
-    left = df.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("_at", F.col("s") + F.col("lag"))
-    right = df.select(*keys, F.col("s").alias("_at"), F.col("v").alias("_w"))
-    by_lag = left.join(right, [*keys, "_at"]).join(stats, list(keys)).groupBy(*keys, "lag").agg(F.avg(F.expr("try_divide((v - _mean) * (_w - _mean), _var)")).alias("c"))
+    # Joined by block, as a few keys would leave the rows to as many tasks.
+    by_block = df.select(*keys, block.alias("_block")).union(df.where(F.pmod("s", F.lit(width)) < most).select(*keys, (block - 1).alias("_block"))).distinct()
+    by_block = by_block.join(stats, list(keys))
+    lent = F.when(F.pmod("s", F.lit(width)) < most, F.array(block, block - 1)).otherwise(F.array(block))
+    rows = df.select(*keys, "s", "v", block.alias("_own"), F.explode(lent).alias("_block")).join(by_block, [*keys, "_block"])
+    rows = rows.withColumn("_d", F.col("v") - F.col("_mean"))
+    order = W.partitionBy(*keys, "_block").orderBy("s")
+    at = [order.rangeBetween(lag, lag) for lag in range(most + 1)]
+    rows = rows.select(*keys, "_own", "_block", "_d", "_var", *(c for lag, w in enumerate(at) for c in (F.sum("_d").over(w).alias(f"_sum{lag}"), F.count("_d").over(w).alias(f"_n{lag}"))))
+    mine = rows.where("_own = _block")
+    sums = mine.groupBy(*keys).agg(*(c for lag in range(most + 1) for c in (F.sum(F.expr(f"try_divide(_d * _sum{lag}, _var)")).alias(f"_sum{lag}"), F.sum(f"_n{lag}").alias(f"_n{lag}"))))
+    lags = F.explode(F.array(*(F.struct(F.lit(lag).alias("lag"), F.col(f"_sum{lag}").alias("_sum"), F.col(f"_n{lag}").alias("_n")) for lag in range(most + 1))))
+    by_lag = sums.select(*keys, lags.alias("_l")).select(*keys, "_l.*").where("_n > 0").select(*keys, "lag", (F.col("_sum") / F.col("_n")).alias("c"))
     upto = W.partitionBy(*keys).orderBy("lag")
     return by_lag.withColumn("tau", F.sum(F.when(F.col("lag") == 0, F.lit(0.5)).otherwise(F.col("c"))).over(upto))
 

@@ -60,6 +60,39 @@ def test_autocorrelation_starts_at_one(raw):
     assert all(r["c"] == pytest.approx(1) and r["tau"] == pytest.approx(0.5) for r in first)
 
 
+@pytest.mark.parametrize("width", [1, 7, 4096])
+def test_autocorrelation_by_blocks_finds_all_pairs(spark, width):
+    rng = np.random.default_rng(3)
+    rows = [(t, int(s) - 20, float(v) if v > -1.5 else None) for t in range(2) for s, v in zip(rng.integers(0, 90, 80), rng.normal(5, 1, 80), strict=True)]
+    got = {(r["t"], r["lag"]): (r["c"], r["tau"]) for r in R.autocorrelation(spark.createDataFrame(rows, "t long, s long, v double"), ["t"], 4, width).collect()}
+    assert set(got) == {(t, lag) for t in range(2) for lag in range(5)}
+    for t in range(2):
+        own, tau = [(s, v) for k, s, v in rows if k == t and v is not None], 0
+        mean, var = np.mean([v for _, v in own]), np.var([v for _, v in own])
+        for lag in range(5):
+            want = np.mean([(v - mean) * (w - mean) / var for a, v in own for b, w in own if b - a == lag])
+            tau += 0.5 if lag == 0 else want
+            assert got[t, lag] == pytest.approx((want, tau))
+
+
+def test_autocorrelation_sends_a_sample_once(spark):
+    """Not once a lag, and not the samples of one series to one task."""
+    n = 100_000
+    df = spark.range(n).selectExpr("0L AS t", "id AS s", "rand(5) AS v")
+    sc = spark.sparkContext
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    before = {stages().apply(k).stageId() for k in range(stages().size())}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert R.autocorrelation(df, ["t"], 10).count() == 11
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    found = stages()
+    read = sum(found.apply(k).shuffleReadRecords() for k in range(found.size()) if found.apply(k).stageId() not in before)
+    assert n <= read < 2 * n
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "t long, s long, v double")
     assert R.jackknife(none, ["t"]).count() == 0

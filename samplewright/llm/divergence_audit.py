@@ -30,6 +30,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,45 +97,60 @@ def counts(df: DataFrame, id: str = "doc_id") -> DataFrame:
     return df.select(F.coalesce(F.col(id), F.lit(-1)).cast("long").alias("_id"), blank("text"), blank("lang"), blank("source")).mapInPandas(of, _COUNTS)
 
 
-def _runs(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
-    """Sorted counts to (lang, term, source, n, total, head): the kept terms' occurrences by source and in all; head on a term's first row."""
-    held: list[pd.DataFrame] = []
+def _arrow_runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Sorted counts to (lang, term, source, n, total, head): the kept terms' occurrences by source and in all; head on a term's first row.
 
-    def scanned(rows: pd.DataFrame) -> pd.DataFrame:
-        lang, term, source = (rows[c].to_numpy(object) for c in ("lang", "term", "source"))
-        new = np.concatenate(([True], (lang[1:] != lang[:-1]) | (term[1:] != term[:-1])))
-        part = np.flatnonzero(new | np.concatenate(([True], source[1:] != source[:-1])))
+    Columns stay in Arrow, as Python strings would cost more than the scan.
+    """
+    held: list[pa.Table] = []
+    key = ["lang", "term", "source"]
+
+    def scanned(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        other = {c: pc.not_equal(rows[c][1:], rows[c][:-1]).to_numpy() for c in key}
+        new = np.concatenate(([True], other["lang"] | other["term"]))
+        part = np.flatnonzero(new | np.concatenate(([True], other["source"])))
         run = np.flatnonzero(new[part])  # a term's first source
-        n, docs = (np.add.reduceat(rows[c].to_numpy(np.int64), part) for c in ("n", "n_documents"))
+        n, docs = (np.add.reduceat(rows[c].to_numpy(), part) for c in ("n", "n_documents"))
         length = np.diff(np.append(run, len(part)))
         kept = np.repeat(np.add.reduceat(docs, run) >= least, length)
         total, head = np.repeat(np.add.reduceat(n, run), length), new[part]
-        return pd.DataFrame({"lang": lang[part][kept], "term": term[part][kept], "source": source[part][kept], "n": n[kept], "total": total[kept], "head": head[kept]})
+        out = rows.select(key).take(pa.array(part[kept]))
+        for name, values in (("n", n), ("total", total), ("head", head)):
+            out = out.append_column(name, pa.array(values[kept]))
+        return out.to_batches()
 
     for batch in batches:
         if not len(batch):
             continue
-        last = (batch["lang"].iat[-1], batch["term"].iat[-1])
-        ended = np.flatnonzero((batch["lang"].to_numpy(object) != last[0]) | (batch["term"].to_numpy(object) != last[1]))
+        rows = pa.Table.from_batches([batch]).select([*key, "n_documents", "n"])
+        last = (rows["lang"][-1], rows["term"][-1])
+        ended = np.flatnonzero(pc.or_(pc.not_equal(rows["lang"], last[0]), pc.not_equal(rows["term"], last[1])).to_numpy())
         cut = int(ended[-1]) + 1 if len(ended) else 0
-        if held and (cut or (held[-1]["lang"].iat[-1], held[-1]["term"].iat[-1]) != last):
-            yield scanned(pd.concat([*held, batch[:cut]]))
+        if held and (cut or (held[-1]["lang"][-1], held[-1]["term"][-1]) != last):
+            yield from scanned(pa.concat_tables([*held, rows[:cut]]))
             held = []
         elif cut:
-            yield scanned(batch[:cut])
-        held.append(batch[cut:])
+            yield from scanned(rows[:cut])
+        held.append(rows[cut:])
         if len(held) > 1:
             # A term that goes on: one row for each of its sources is enough.
-            sums = {"document": "first", "n_documents": "sum", "n": "sum"}
-            held = [pd.concat(held).groupby(["lang", "term", "source"], sort=False, as_index=False).agg(sums)]
+            sums = pa.concat_tables(held).group_by(key, use_threads=False).aggregate([("n_documents", "sum"), ("n", "sum")])
+            held = [pa.table({c: sums[c if c in key else f"{c}_sum"] for c in rows.column_names})]
     if held:
-        yield scanned(pd.concat(held))
+        yield from scanned(pa.concat_tables(held))
+
+
+def _runs(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """The scan of _arrow_runs() on pandas frames."""
+    found = _arrow_runs((pa.RecordBatch.from_pandas(batch, preserve_index=False) for batch in batches), least)
+    return (batch.to_pandas() for batch in found)
 
 
 def kept_terms(df: DataFrame, least: int = MIN_DOCUMENTS, id: str = "doc_id") -> DataFrame:
     """(lang, term, source, n, total, head) of the terms that at least so many documents of their language have."""
-    sorted_ = counts(df, id).repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document")
-    return sorted_.mapInPandas(lambda batches: _runs(batches, least), "lang string, term string, source string, n long, total long, head boolean")
+    sorted_ = counts(df, id).repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document").drop("document")
+    return sorted_.mapInArrow(lambda batches: _arrow_runs(batches, least), "lang string, term string, source string, n long, total long, head boolean")
 
 
 def _share(n: Column, all_: Column, v: Column) -> Column:

@@ -67,6 +67,16 @@ def test_runs_go_on_over_batches():
         pd.testing.assert_frame_equal(pd.concat(audit._runs(iter(parts), 21)).reset_index(drop=True), whole)
 
 
+def test_runs_stay_in_arrow(spark):
+    """What is scanned never becomes Python strings, and the sort's last key isn't sent to the workers."""
+    docs = spark.createDataFrame([(k, "Ab ab c", "en", f"s{k % 3}") for k in range(40)], "doc_id long, text string, lang string, source string")
+    kept = audit.kept_terms(docs)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan.splitlines()[0]
+    assert " document#" not in plan.splitlines()[1]
+    assert sorted(map(tuple, kept.drop("head").collect())) == [("en", t, f"s{k}", n * (14 - (k > 0)), n * 40) for t, n in (("ab", 2), ("c", 1)) for k in range(3)]
+
+
 def test_shares_are_exact_beyond_longs(spark):
     F = importlib.import_module("pyspark.sql.functions")
     n, all_, v = 4 * 10**17 + 1, 9 * 10**17, 10**6

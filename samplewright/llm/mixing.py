@@ -63,12 +63,20 @@ def shuffle_steps(x: str, n: str, salt: str, inverse: bool = False) -> list[dict
 
 
 def _shuffled(df: DataFrame, x: str, n: str, salt: str, inverse: bool = False) -> DataFrame:
-    """The same as one expression: columns upon columns would multiply in the optimiser."""
-    rounds = [f"named_struct({', '.join(f'{k!r}, {v}L' for k, v in _constants(r).items())}, 'o', {re.sub(r'r[.]([a-g])', lambda m, r=r: f'{_constants(r)[m[1]]}L', OFFSET)})" for r in range(ROUNDS)]
-    array = f"array({', '.join(rounds[:: -1 if inverse else 1])})".replace("salt", f"({salt})").replace("% n", f"% ({n})")
-    coin = COIN.replace("//", "div").replace("salt", f"({salt})")
-    swap = f"aggregate({array}, {x}, (x, r) -> transform(array(pmod(r.o - x, {n})), y -> IF(({coin}) * ({coin}) % {PRIME} & 1024 > 0, y, x))[0])"
-    return df.withColumn(x, F.expr(swap))
+    """The same in Spark, a column upon a column each round, so that rounds are compiled, as functions on arrays are not.
+
+    Every few rounds x goes through an array of one, exploded. Filters on x stay
+    above it (below, each would nest all rounds within each other), and the rounds
+    are compiled to several methods; the JVM only interprets long ones.
+    """
+    for k, r in enumerate(range(ROUNDS)[:: -1 if inverse else 1]):
+        known = {"salt": f"({salt})", "n": f"({n})", "x": x, "y": "_y", **{f"r.{c}": f"{v}L" for c, v in _constants(r).items()}}
+        fill = lambda sql, known=known: re.sub(r"\b(r\.[a-g]|salt|n|x|y)\b", lambda m: known[m[0]], sql.replace("//", "div"))
+        coin = fill(COIN)
+        df = df.withColumn("_y", F.expr(fill(f"pmod({OFFSET} - x, n)"))).withColumn(x, F.expr(f"IF(({coin}) * ({coin}) % {PRIME} & 1024 > 0, _y, {x})")).drop("_y")
+        if k % 4 == 3:
+            df = df.withColumn(x, F.explode(F.array(x)))
+    return df
 
 
 #: A pseudorandom number from an id, or from the size where the id is null.

@@ -1,6 +1,7 @@
 """The mix: small sources, wide permutations, output shards."""
 
 import importlib
+import re
 from collections import Counter
 
 import duckdb
@@ -75,3 +76,26 @@ def test_shards_draw_from_all_sources(spark):
     for r in mixing.shard_counts(sources).where(f"shard < {len(shards) - 1}").collect():
         n, p = mixing.SHARD_SLOTS, share[r["rank"]]
         assert abs(r["n"] - n * p) < 5 * (n * p * (1 - p)) ** 0.5
+
+
+@pytest.mark.parametrize("inverse", [False, True])
+def test_permutations_are_compiled_and_as_in_sql(spark, capsys, inverse):
+    """No functions on arrays, which Spark only interprets, and no method longer than 8000 bytes, which the JVM only interprets."""
+    sizes = [1, 2, 7, 1000, 10**6, mixing.PRIME, mixing.PRIME + 1, 2 * 10**11, 10**17]
+    rows = [(k, n, s, x) for k, (n, s, x) in enumerate((n, s, x) for n in sizes for s in (0, 3, 90_000) for x in sorted({v * (n // min(n, 20)) for v in range(min(n, 20))}))]
+    df = mixing._shuffled(spark.createDataFrame(rows, "id long, n long, salt long, x long"), "x", "n", "salt", inverse).where("x >= 0")
+    df.explain()
+    df.explain("codegen")
+    shown = capsys.readouterr().out
+    assert "lambda" not in shown.lower() and max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", shown))) < 8000
+    sql = "SELECT *, 0::BIGINT AS _y, 0::BIGINT AS _t FROM given"
+    with duckdb.connect() as c:
+        c.execute("CREATE TABLE given (id BIGINT, n BIGINT, salt BIGINT, x BIGINT)")
+        c.executemany("INSERT INTO given VALUES (?, ?, ?, ?)", rows)
+        for r in range(mixing.ROUNDS):
+            for step in mixing.shuffle_steps("x", "n", "salt", inverse)[3 * r : 3 * r + 3]:
+                for column, text in step.items():
+                    sql = f"SELECT * REPLACE ({text} AS {column}) FROM ({sql})"
+            c.execute(f"CREATE TABLE r{r} AS {sql}")
+            sql = f"SELECT * FROM r{r}"
+        assert sorted(map(tuple, df.select("id", "x").collect())) == c.sql(f"SELECT id, x FROM r{mixing.ROUNDS - 1} ORDER BY id").fetchall()

@@ -41,12 +41,14 @@ import struct
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -62,7 +64,9 @@ END = 2
 #: Scale of the frequencies: shares of 2**BITS. States stay in 2**31 to 2**63.
 BITS, LOW = 18, 2**31
 LANES, STEPS, BLOCK, SEGMENT = 256, 256, 1 << 17, 1 << 22
-CACHE_SIZE = 1 << 18
+CACHE_SIZE = 1 << 19
+#: Texts are encoded together up to this many characters.
+TOGETHER = 1 << 24
 _HEAD = struct.Struct("<4s5I")
 FILES = "shard int, segment int, start long, n long, bytes binary"
 
@@ -74,9 +78,7 @@ class _Known(dict):
         self.make, self.size, self.longest, self.older = make, size, longest, {}
 
     def __missing__(self, key: str) -> bytes:
-        found = self.older.get(key)
-        if found is None:
-            found = self.make(key)
+        found = self.older.get(key) or self.make(key)
         if len(key) <= self.longest:
             if len(self) >= self.size:
                 self.older = dict(self)
@@ -85,6 +87,19 @@ class _Known(dict):
         return found
 
 
+def _ranges(pattern: str) -> str:
+    """The characters below U+0250 that fit, as part of a character class."""
+    return "".join(rf"\u{k:04x}" for k in range(0x250) if regex.fullmatch(pattern, chr(k)))
+
+
+def _latin_pattern() -> re.Pattern:
+    """The pattern of pre-tokens for characters below U+0250, spelled out: libraries differ on the separators 1C to 1F."""
+    inside = {r"\s": r"\t-\r \x85\xa0", r"\p{L}": _ranges(r"\p{L}"), r"\p{N}": _ranges(r"\p{N}")}
+    spelled = public_tokenizers.PATTERN.replace(r"\S", r"[^\s]")
+    # Within a class as it is, elsewhere in brackets.
+    return re.compile(re.sub(r"\[\^[^]]*\]|\\s|\\p\{.\}", lambda m: re.sub(r"\\s|\\p\{.\}", lambda c: inside[c[0]], m[0] if m[0][0] == "[" else f"[{m[0]}]"), spelled))
+
+
 class Coder:
     """Ids of texts by the tokenizers library's model, remembered by chunks of text.
 
@@ -92,7 +107,8 @@ class Coder:
     white space, byte-level tokens always part, so a text is cut there. Chunks of
     Latin letters, in which there is no doubt what letters and white space are, are
     cut into pre-tokens whose merges the model makes; all others, and what may hold a
-    special token, go through the library whole.
+    special token, go through the library whole. Many texts are cut in Arrow, and
+    each different chunk of theirs is put together once.
     """
 
     #: A space before white space or the end: there a text isn't cut.
@@ -102,11 +118,11 @@ class Coder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
+        self.tokenize = self.model.tokenize
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.letters = byte_letters()
         self.space = self.letters[32]
-        # White space below U+0250, spelled out: libraries differ on the separators 1C to 1F.
-        self.pattern = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", r"[^\t-\r \x85\xa0").replace(r"\s", r"[\t-\r \x85\xa0]").replace(r"(?!\S)", r"(?![^\t-\r \x85\xa0])"))
+        self.pattern = _latin_pattern()
         self.known = _Known(self._chunk, CACHE_SIZE, 32)
         #: Ids take two bytes where the vocabulary allows it.
         self.code = "H" if self.size <= 1 << 16 else "I"
@@ -118,9 +134,13 @@ class Coder:
     def _token(self, token: str) -> bytes:
         plain = token.isascii() and token.isprintable()
         piece = token.replace(" ", self.space) if plain else "".join(map(self.letters.__getitem__, token.encode("utf-8", "surrogatepass")))
-        return self._packed([t.id for t in self.model.tokenize(piece)])
+        return self._packed([t.id for t in self.tokenize(piece)])
 
     def _chunk(self, chunk: str) -> bytes:
+        # Most of what is new are plain words: as few calls as can be.
+        if chunk.isascii() and chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            ids = [t.id for t in self.tokenize(self.space + chunk[1:] if chunk[0] == " " else chunk)]
+            return array(self.code, ids).tobytes() if sys.byteorder == "little" else self._packed(ids)
         if "<|" in chunk or not (chunk.isascii() or max(chunk) < "\u0250"):
             return self._packed(self.library.encode(chunk, add_special_tokens=False).ids)
         word = chunk[1:] if chunk[:1] == " " else chunk
@@ -150,6 +170,54 @@ class Coder:
         found = b"".join(map(self.known.__getitem__, self.chunks(text)))
         return found if end is None else found + self._packed([end])
 
+    def many(self, texts: Iterable[str], end: int | None = END) -> list[bytes]:
+        """The ids of each text, as ids() gives them."""
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                out += self._together(held, end)
+                held, size = [], 0
+        return out + self._together(held, end)
+
+    def _parts(self, parts: Iterable[str]) -> list[bytes]:
+        """The ids of different parts that a space precedes; of what is cut further only the pre-tokens are remembered."""
+        known, find, out = self.known, self.pattern.findall, []
+        for part in parts:
+            if part.isalpha():
+                out.append(known[" " + part])
+            elif part.isascii() and "<" not in part or max(part) < "\u0250" and "<|" not in part:
+                # Most often a word with a sign.
+                if part[:-1].isalpha() and part[-1] in ".,;:!?)":
+                    out.append(known[" " + part[:-1]] + known[part[-1]])
+                else:
+                    out.append(b"".join([known[p] for p in find(" " + part)]))
+            else:
+                out.append(known[" " + part])
+        return out
+
+    def _together(self, texts: list[str], end: int | None) -> list[bytes]:
+        last = b"" if end is None else self._packed([end])
+        out, places, rests = [], [], []
+        for k, text in enumerate(texts):
+            first, space, rest = text.partition(" ")
+            if not space or self._ODD.search(text):
+                out.append(self.ids(text, end))
+            else:
+                out.append(self.known[first])
+                places.append(k)
+                rests.append(rest)
+        if rests:
+            parts = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+            coded = parts.flatten().dictionary_encode()
+            taken = pa.array(self._parts(coded.dictionary.to_numpy(zero_copy_only=False)), pa.large_binary()).take(coded.indices)
+            at = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1][parts.offsets.to_numpy()].tolist()
+            ids = memoryview(taken.buffers()[2])
+            for k, low, high in zip(places, at, at[1:], strict=False):
+                out[k] = b"".join((out[k], ids[low:high], last))
+        return out
+
 
 @lru_cache(maxsize=2)
 def coder(path: str) -> Coder:
@@ -166,7 +234,7 @@ def encoded(df: DataFrame, id: str = "doc_id", text: str = "text", path: str = V
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = coder(path)
         for texts in batches:
-            yield pd.Series([own.ids(t, end) for t in texts], dtype=object)
+            yield pd.Series(own.many(texts, end), dtype=object)
 
     ids = df.select(F.col(id).cast("long").alias("doc_id"), of(F.coalesce(F.col(text), F.lit(""))).alias("ids"))
     return ids.select("doc_id", F.expr(f"octet_length(ids) div {width}").alias("n"), "ids")

@@ -28,6 +28,25 @@ def test_ids_are_the_librarys(library):
         assert np.frombuffer(own.ids(text), own.dtype).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
 
 
+@pytest.mark.parametrize("together", [1, 300, files.TOGETHER])
+def test_many_texts_together(library, monkeypatch, together):
+    """The same ids however many texts go together; a word is merged once, whatever sign follows it, and only pre-tokens are remembered."""
+    monkeypatch.setattr(files, "TOGETHER", together)
+    rng = np.random.default_rng(5)
+    letters = ["a", "Naïve", "don't", "x1", "12", "é²", "日本", "ж", "\U0001f600", ".", "!?", "\n", "\t", "\x1c", "\xa0", "\x85", "<", "<|", "<|endoftext|>", "'s"]
+    texts = [" ".join("".join(rng.choice(letters, rng.integers(1, 5))) for _ in range(rng.integers(1, 9))) for _ in range(1500)]
+    texts += [t for t in TEXTS if t] + ["", " ", "a", "a ", " a", "  a", "a  b", "a b", "one two", "ж, ж."]
+    own = files.Coder(files.VOCABULARY)
+    for found, text in zip(own.many(texts), texts, strict=True):
+        assert np.frombuffer(found, own.dtype).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+    assert own.many(texts, None) == [own.ids(t, None) for t in texts] and own.many([]) == []
+    own = files.Coder(files.VOCABULARY)
+    assert own.many(["so zweebly, zweebly. zweebly\nzweebly; zweebly"]) == [own.ids("so zweebly, zweebly. zweebly\nzweebly; zweebly")]
+    own = files.Coder(files.VOCABULARY)
+    own.many(["so zweebly, zweebly. zweebly\nzweebly; zweebly"])
+    assert set(own.known) == {"so", " zweebly", "zweebly", ",", ".", "\n", ";"}
+
+
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 65_535, 65_536, 65_537, 1 << 18, (1 << 18) + 1, 700_001])
 def test_files_round_trip(n):
     rng = np.random.default_rng(n)

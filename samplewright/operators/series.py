@@ -108,10 +108,15 @@ def slope(df: DataFrame, target: float) -> DataFrame:
 
 
 def p_value(df: DataFrame, q2: float) -> DataFrame:
-    """(t, p): share of sorted values after the one closest to q2; of equally close ones the first counts."""
-    near = df.groupBy("t").agg(F.max(F.when(F.col("v") <= q2, F.col("v"))).alias("_lo"), F.min(F.when(F.col("v") > q2, F.col("v"))).alias("_hi"))
-    near = near.select("t", F.expr(f"CASE WHEN _lo IS NULL OR _hi - {q2!r}D < {q2!r}D - _lo THEN _hi ELSE _lo END").alias("_near"))
-    return df.join(near, "t").groupBy("t").agg(F.expr("(count(*) - count_if(v < _near) - 1) / count(*)").alias("p"))
+    """(t, p): share of sorted values after the one closest to q2; of equally close ones the first counts.
+
+    Values are counted by distance and side in one pass, not compared with a closest one found
+    in another: means of the same rows differ in their last bits where parts arrive in another order.
+    """
+    sides = df.where("t IS NOT NULL").groupBy("t", F.expr(f"abs(v - {q2!r}D)").alias("_d"), F.expr(f"v > {q2!r}D").alias("_above")).agg(F.count("*").alias("_n"))
+    near = F.min(F.when(F.col("_d").isNotNull(), F.struct("_d", "_above", "_n"))).alias("_near")
+    ends = sides.groupBy("t").agg(F.sum("_n").alias("_all"), F.sum(F.expr("IF(NOT _above, _n, 0)")).alias("_below"), near)
+    return ends.select("t", F.expr("(_all - (_below - IF(NOT _near._above, _near._n, 0)) - 1) / _all").alias("p"))
 
 
 def recentred(df: DataFrame, centre: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
+import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from samplewright.operators import resampling as R
@@ -43,6 +45,30 @@ def test_p_value_of_ties_takes_the_first(spark):
     assert [S.p_value(df, x).first()["p"] for x in (0.0, 2.0, 3.0, 9.0)] == [0.75, 0.5, 0.5, 0.0]
 
 
+def test_p_value_of_values_that_change_when_read_again(spark):
+    def noise(batches):
+        rng = np.random.default_rng()  # as sums do that add up in another order
+        for batch in batches:
+            yield batch.assign(v=batch["v"] + rng.normal(0, 1e-9, len(batch)))
+
+    df = spark.createDataFrame([(t, s, 5.0 + s) for t in range(40) for s in range(4)], "t long, s long, v double").mapInPandas(noise, "t long, s long, v double")
+    for target, p in ((0.0, 0.75), (5.9, 0.5), (6.1, 0.5), (9.0, 0.0)):
+        assert [r["p"] for r in S.p_value(df, target).collect()] == [p] * 40
+
+
+@pytest.mark.parametrize(
+    ("values", "target", "p"),
+    [([1.0, 2.0, 4.0], 1e17, 2 / 3), ([2.0, 4.0, 4.0], 3.0, 2 / 3), ([3.0, 3.0, 4.0, 4.0], 3.9, 0.25), ([1.0, None], 0.0, 0.5), ([None, None], 0.0, 0.5), ([-math.inf, math.inf, math.nan], 0.0, 2 / 3)],
+)
+def test_p_value_at_equal_distances_and_without_values(spark, values, target, p):
+    df = spark.createDataFrame([(t, k, v) for t in (0, None) for k, v in enumerate(values)], "t long, s long, v double")
+    assert [tuple(r) for r in S.p_value(df, target).collect()] == [(0, pytest.approx(p))]
+    with duckdb.connect() as c:
+        c.execute("CREATE TABLE li AS SELECT 0 AS t, unnest(?::DOUBLE[]) AS v", [values])
+        sql = "WITH c " + registry.ORACLES["closest_p_value"].split(", c ", 1)[1].replace("35000.0", f"{target}::DOUBLE")
+        assert c.sql(sql).fetchall() == [(0, pytest.approx(p))]
+
+
 def test_scrambling_is_a_permutation(line):
     assert sorted(r["v"] for r in S.scrambled(line, 3).collect()) == sorted(r["v"] for r in line.collect())
 
